@@ -33,26 +33,22 @@ def slice_hot_groups(
 
     ``totals`` are whole-group aggregates to attach to the rows of oversized groups (null elsewhere).
     """
-    totals = dict(totals or {})
-    where_at = df.withColumn("_at", position(df, order_col).cast("double"))
     hot = (
-        where_at.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"),
-             *[c.alias(n) for n, c in totals.items()])
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_rows"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"),
+             *[c.alias(n) for n, c in (totals or {}).items()])
         .where((F.col("_rows") > SPLIT_ROWS) & (F.col("_hi") > F.col("_lo")))
         .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT_GROUPS)
         .withColumn("_parts", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") * 4 / SPLIT_ROWS)))
         .drop("_rows")
     )
+    tagged = df.join(F.broadcast(hot), list(keys), "left")
     # Equal width between the group's first and last position; a null position sorts first, so slice 0.
-    along = (F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    nth = F.least(F.col("_parts") - 1, F.floor(F.coalesce(along, F.lit(0.0)) * F.col("_parts")))
-    return (
-        where_at.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth).cast("int"))
-        .drop("_at", "_lo", "_hi", "_parts")
-    )
+    at, lo, hi = (position(tagged, c).cast("double") for c in (order_col, "_lo", "_hi"))
+    along = F.coalesce((at - lo) / (hi - lo), F.lit(0.0))
+    nth = F.least(F.col("_parts") - 1, F.floor(along * F.col("_parts"))).cast("int")
+    return tagged.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi", "_parts")
 
 
 def carry_in(

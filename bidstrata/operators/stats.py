@@ -78,28 +78,24 @@ def compact(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_w"))
 
 
-def quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], n_distinct: str | None = None
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles of ``col`` per group: one column per entry of ``probs``.
-
-    Works on distinct values and their counts: running counts give every value its ranks, and the two values
-    beside each wanted rank are picked by an ordinary aggregation.
-    """
-    if not by:
-        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct).drop("_g")
-    by = list(by)
-    values = compact(df, by, col)
-    values = slice_hot_groups(values, by, col, totals={"_all": F.sum("_w")})
-    values = carry_in(
-        values, by, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before(by))}
-    )
-    n = F.coalesce(F.col("_all"), F.sum("_w").over(Window.partitionBy(*by, SLICE)))
+def _ranked(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Distinct values with the group's size ``_n`` and mean ``_mean`` and the rows up to and with each value,
+    ``_upto``."""
+    by, x = list(by), F.col(col)
+    values = compact(df, by, col).withColumn("_xw", x * F.col("_w"))
+    values = slice_hot_groups(values, by, col, totals={"_all_w": F.sum("_w"), "_all_xw": F.sum("_xw")})
+    values = carry_in(values, by, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before(by))})
+    # An oversized group brings its totals along; in any other the window sees the whole group.
+    whole = Window.partitionBy(*by, SLICE)
+    n = F.coalesce(F.col("_all_w"), F.sum("_w").over(whole))
+    total = F.coalesce(F.col("_all_xw"), F.sum("_xw").over(whole))
     upto = F.sum("_w").over(up_to_here(by, [col])) + F.coalesce(F.col("_carried"), F.lit(0))
-    ranked = values.select(*by, col, "_w", n.alias("_n"), upto.alias("_upto"))
-    below = F.col("_upto") - F.col("_w")
+    return values.select(*by, col, "_w", n.alias("_n"), (total / n).alias("_mean"), upto.alias("_upto"))
+
 
-    picks, outs = [], []
+def _picks(col: str, probs: Mapping[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over ranked values that find the two neighbours of each quantile, and the quantiles from them."""
+    below, picks, outs = F.col("_upto") - F.col("_w"), [], []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(p)
         for side, rank in (("lo", F.floor(at)), ("hi", F.floor(at) + 1)):
@@ -108,10 +104,33 @@ def quantiles(
         picks.append(F.max(at - F.floor(at)).alias(f"_frac_{name}"))
         lo, hi = F.col(f"_lo_{name}"), F.coalesce(F.col(f"_hi_{name}"), F.col(f"_lo_{name}"))
         outs.append((lo + (hi - lo) * F.col(f"_frac_{name}")).alias(name))
-    if n_distinct:
-        picks.append(F.count("*").alias(n_distinct))
-        outs.append(F.col(n_distinct))
-    return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
+    return picks, outs
+
+
+def quantiles(
+    df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], n_distinct: str | None = None,
+    method: str = "ranked",
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles of ``col`` per group: one column per entry of ``probs``.
+
+    ``ranked`` works on distinct values and their counts: running counts give every value its ranks, and the two
+    values beside each wanted rank are picked by an ordinary aggregation. ``histogram`` hands the counted values to
+    ``percentile``, which is cheaper and fit for columns of counts.
+    """
+    if not by:
+        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct, method).drop("_g")
+    by = list(by)
+    distinct = [F.count("*").alias(n_distinct)] if n_distinct else []
+    if method == "histogram":
+        values = compact(df, by, col).groupBy(*by).agg(
+            F.percentile(col, list(probs.values()), F.col("_w")).alias("_q"), *distinct)
+        outs = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
+        return values.select(*by, *outs, *([n_distinct] if n_distinct else []))
+    if method != "ranked":
+        raise ValueError(f"unknown method {method!r}")
+    picks, outs = _picks(col, probs)
+    found = _ranked(df, by, col).groupBy(*by).agg(*picks, *distinct)
+    return found.select(*by, *outs, *([n_distinct] if n_distinct else []))
 
 
 # --- distributions --------------------------------------------------------------------------------
@@ -130,15 +149,20 @@ def summary_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 
 
 def band_stats(long: DataFrame, by: Sequence[str], value: str = "PRICE") -> DataFrame:
-    """N, mean, std, min, quartiles, max and distinct values of a long band table, nulls left out."""
-    by = list(by)
-    x = F.col(value)
-    moments = long.where(x.isNotNull()).groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"),
+    """N, mean, std, min, quartiles, max and distinct values of a long band table, nulls left out.
+
+    All of it comes from one pass over the distinct values; the std is taken about the mean, not from squares.
+    """
+    by, x = list(by), F.col(value)
+    picks, quartiles = _picks(value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    spread = F.sum(F.col("_w") * (x - F.col("_mean")) * (x - F.col("_mean")))
+    found = _ranked(long, by, value).groupBy(*by).agg(
+        F.max("_n").alias("n"), F.max("_mean").alias("mean"), spread.alias("_spread"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.count("*").alias("n_distinct"), *picks,
     )
-    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    return moments.join(quantiles(long, by, value, probs, n_distinct="n_distinct"), by)
+    n, d = F.col("n"), F.col("n_distinct")
+    std = F.when(n > 1, F.when(d == 1, 0.0).otherwise(F.sqrt(F.col("_spread") / (n - 1))))
+    return found.select(*by, "n", "mean", std.alias("std"), "min", *quartiles, "max", "n_distinct")
 
 
 def unit_variation(
@@ -289,21 +313,21 @@ def services(df: DataFrame, col: str = "BIDTYPE") -> DataFrame:
 
 # --- box plots, histograms, verdicts --------------------------------------------------------------
 
-def _with_fences(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def _with_fences(df: DataFrame, by: Sequence[str], col: str, method: str) -> DataFrame:
     """Distinct values with their group's quartiles and 1.5·IQR fences."""
     by = list(by)
-    q = quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, method=method)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     q = q.withColumns({"_lower": F.col("q1") - reach, "_upper": F.col("q3") + reach})
     return compact(df, by, col).join(q, by)
 
 
-def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def box_stats(df: DataFrame, by: Sequence[str], col: str, method: str = "ranked") -> DataFrame:
     """Box-plot figures: N, quartiles, whiskers (last values within 1.5·IQR of the box, never inside it) and the
     number of outliers."""
     x, inside = F.col(col), F.col(col).between(F.col("_lower"), F.col("_upper"))
     return (
-        _with_fences(df, by, col)
+        _with_fences(df, by, col, method)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.sum("_w").alias("n"),
@@ -317,10 +341,10 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     )
 
 
-def box_outliers(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def box_outliers(df: DataFrame, by: Sequence[str], col: str, method: str = "ranked") -> DataFrame:
     """Distinct values beyond the whiskers, with how often each occurs."""
     outside = ~F.col(col).between(F.col("_lower"), F.col("_upper"))
-    return _with_fences(df, by, col).where(outside).select(*by, col, F.col("_w").alias("n"))
+    return _with_fences(df, by, col, method).where(outside).select(*by, col, F.col("_w").alias("n"))
 
 
 def int_histogram(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:

@@ -45,9 +45,9 @@ def _count_report(counts: DataFrame, col: str, services: Sequence[str]) -> dict[
         "mean_by_service": grid(F.avg(col)),
         "median_by_service": grid(F.percentile(col, 0.5)),
         "mean_bars": grid(F.avg(col), fill=0.0),
-        "boxes": s.box_stats(counts, [CATEGORY], col),
-        "boxes_by_service": s.box_stats(counts, [CATEGORY, "BIDTYPE"], col),
-        "battery_boxes_by_service": s.box_stats(batteries, [CATEGORY, "BIDTYPE"], col),
+        "boxes": s.box_stats(counts, [CATEGORY], col, "histogram"),
+        "boxes_by_service": s.box_stats(counts, [CATEGORY, "BIDTYPE"], col, "histogram"),
+        "battery_boxes_by_service": s.box_stats(batteries, [CATEGORY, "BIDTYPE"], col, "histogram"),
         "histogram": s.int_histogram(counts, [CATEGORY], col),
     }
 

@@ -264,7 +264,20 @@ def median_rebid_bars(spark, sf):
            count(*) FILTER (NOT inside) AS n_outliers
     FROM placed GROUP BY bidder_category, BIDTYPE, q1, median, q3""")
 def rebid_boxes(spark, sf):
-    return rounded(s.box_stats(counted(spark, sf), [CATEGORY, "BIDTYPE"], "num_rebids"),
+    return rounded(s.box_stats(counted(spark, sf), [CATEGORY, "BIDTYPE"], "num_rebids", "histogram"),
+                   "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@query(f"""WITH {FLEET}, long AS ({long_sql('daily', 'BIDTYPE, is_autobidder')}),
+    {box_sql('long', 'BIDTYPE, is_autobidder, PRICEBAND', 'PRICE')}
+    SELECT BIDTYPE, is_autobidder, PRICEBAND, count(*) AS n, {s4('q1')} AS q1, {s4('median')} AS median, {s4('q3')} AS q3,
+           {s4('least(min(PRICE) FILTER (inside), q1)')} AS whisker_low,
+           {s4('greatest(max(PRICE) FILTER (inside), q3)')} AS whisker_high,
+           count(*) FILTER (NOT inside) AS n_outliers
+    FROM placed GROUP BY BIDTYPE, is_autobidder, PRICEBAND, q1, median, q3""")
+def price_boxes(spark, sf):
+    long = b.bands_long(fleet_daily(spark, sf), ["BIDTYPE", "is_autobidder"], PRICES3)
+    return rounded(s.box_stats(long, ["BIDTYPE", "is_autobidder", "PRICEBAND"], "PRICE"),
                    "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
