@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidstrata.functions.periods import period_id
-from bidstrata.functions.units import unit_category
+from bidstrata.functions.units import is_autobidder, is_battery, unit_category
 from bidstrata.operators.slicing import last_known
 from bidstrata.schema import ALIGN_DETAIL, AUCTION, OFFER_TIME
 
@@ -31,6 +31,11 @@ def with_units(bids: DataFrame, units: DataFrame, how: str = "left", key: str =
     return bids.join(units, key, how).withColumn("bidder_category", unit_category())
 
 
+def battery_fleet(units: DataFrame) -> DataFrame:
+    """The batteries of the unit map with ``is_autobidder``."""
+    return units.where(is_battery()).select("DUID", is_autobidder().alias("is_autobidder"))
+
+
 def align_detail(qty: DataFrame) -> DataFrame:
     """Give the detail table the header table's names for day and offer time."""
     return qty.withColumnsRenamed(ALIGN_DETAIL)

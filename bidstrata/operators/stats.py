@@ -166,16 +166,16 @@ def band_stats(long: DataFrame, by: Sequence[str], value: str = "PRICE") -> Data
 
 
 def unit_variation(
-    df: DataFrame, by: Sequence[str] = ("DUID",), group: Sequence[str] = ("is_autobidder",),
-    bands: Sequence[str] = PRICE_BANDS,
+    df: DataFrame, by: Sequence[str] = ("DUID",), bands: Sequence[str] = PRICE_BANDS
 ) -> DataFrame:
     """Per unit and band: offers, std, coefficient of variation (0 for a zero mean) and distinct values.
 
     ``by=['DUID']`` pools a unit's services, as the daily report does; ``by=['DUID', 'BIDTYPE']`` keeps them apart.
+    Attributes of the unit are joined to the result, not to the offers: a join on DUID would put all offers of a
+    unit in one task and this aggregation would leave them there.
     """
-    long = bands_long(df, [*group, *by], bands)
     x = F.col("PRICE")
-    per_band = long.groupBy(*group, *by, band_number().alias("band")).agg(
+    per_band = bands_long(df, by, bands).groupBy(*by, band_number().alias("band")).agg(
         F.count("*").alias("n_offers"), F.stddev_samp(x).alias("std"), F.avg(x).alias("_mean"),
         F.count_distinct(x).alias("n_distinct"),
     )
@@ -191,14 +191,14 @@ def group_variation(variation: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def unit_service_variation(
-    df: DataFrame, by: Sequence[str] = ("DUID", "BIDTYPE"), group: Sequence[str] = ("is_autobidder",),
-    bands: Sequence[str] = PRICE_BANDS, shown: Sequence[int] = (1, 5, 10),
+    df: DataFrame, by: Sequence[str] = ("DUID", "BIDTYPE"), bands: Sequence[str] = PRICE_BANDS,
+    shown: Sequence[int] = (1, 5, 10),
 ) -> DataFrame:
     """One row per (unit, service): offers, mean std over the bands, all distinct values, and std and distinct
     values of the ``shown`` bands."""
-    per_band = unit_variation(df, by, group, bands)
+    per_band = unit_variation(df, by, bands)
     one = lambda i, c: F.max(F.when(F.col("band") == i, F.col(c)))
-    return per_band.groupBy(*group, *by).agg(
+    return per_band.groupBy(*by).agg(
         F.max("n_offers").alias("n_offers"),
         F.avg("std").alias("avg_std_across_bands"),
         F.sum("n_distinct").alias("total_distinct_values"),
@@ -222,18 +222,18 @@ def variation_summary(detail: DataFrame, by: Sequence[str] = ("is_autobidder",))
 
 
 def variation_by_entry_type(
-    df: DataFrame, by: Sequence[str] = ("is_autobidder", "ENTRYTYPE"), unit_keys: Sequence[str] = ("DUID", "BIDTYPE"),
-    bands: Sequence[str] = PRICE_BANDS, shown: Sequence[int] = (1, 5, 10),
+    df: DataFrame, fleet: DataFrame, entry_col: str = "ENTRYTYPE", unit_keys: Sequence[str] = ("DUID", "BIDTYPE"),
+    bands: Sequence[str] = PRICE_BANDS, shown: Sequence[int] = (1, 5, 10), group: str = "is_autobidder",
 ) -> DataFrame:
-    """Per group and entry type: units, entries, and per-(unit, service) means of entries, of distinct price
-    combinations and of the std of the ``shown`` bands."""
+    """Per group of the ``fleet`` and entry type: units, entries, and per-(unit, service) means of entries, of
+    distinct price combinations and of the std of the ``shown`` bands."""
     cols = {i: next(b for b in bands if b.endswith(f"D{i}")) for i in shown}
-    per_unit = df.groupBy(*by, *unit_keys).agg(
+    per_unit = df.groupBy(entry_col, *unit_keys).agg(
         F.count("*").alias("_entries"),
         F.count_distinct(F.array(*bands)).alias("_combos"),
         *[F.stddev_samp(c).alias(f"_std{i}") for i, c in cols.items()],
     )
-    return per_unit.groupBy(*by).agg(
+    return per_unit.join(fleet, unit_keys[0]).groupBy(group, entry_col).agg(
         F.count_distinct(unit_keys[0]).alias("n_units"),
         F.sum("_entries").alias("total_entries"),
         F.avg("_entries").alias("avg_entries_per_unit_service"),
@@ -243,9 +243,9 @@ def variation_by_entry_type(
 
 
 def unit_market_avg(
-    counts: DataFrame, by: Sequence[str] = (CATEGORY, "BIDTYPE", "DUID"), col: str = "num_true_rebids"
+    counts: DataFrame, by: Sequence[str] = ("BIDTYPE", "DUID"), col: str = "num_true_rebids"
 ) -> DataFrame:
-    """Mean, median, std and number of auctions of a count per unit and service."""
+    """Mean, median, std and number of auctions of a count per unit and service; join the category afterwards."""
     return counts.groupBy(*by).agg(
         F.avg(col).alias("mean_rebids"), F.percentile(col, 0.5).alias("median_rebids"),
         F.stddev_samp(col).alias("std_rebids"), F.count("*").alias("num_auctions"),

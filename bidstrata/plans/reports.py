@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidstrata.functions.checks import band_order_violations, mentions_automation
-from bidstrata.functions.units import ancillary_only, exclude_units, is_autobidder, is_battery
+from bidstrata.functions.units import ancillary_only, exclude_units
 from bidstrata.operators import bands as b
 from bidstrata.operators import joins as j
 from bidstrata.operators import outcomes as o
@@ -61,12 +61,11 @@ def rebid_report(
 
 
 def true_counts(
-    qty: DataFrame, units: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] = (OFFER_TIME,),
+    qty: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] = (OFFER_TIME,),
     bands: Sequence[str] = QUANTITY_BANDS, energy: str = "ENERGY",
 ) -> DataFrame:
-    """True rebids per auction and period, with the unit's category."""
-    flagged = v.flag_true_rebids(_eligible(qty, energy), keys, order, bands)
-    return j.with_units(s.true_rebid_counts(flagged, keys), units)
+    """True rebids per ancillary-service auction and period."""
+    return s.true_rebid_counts(v.flag_true_rebids(_eligible(qty, energy), keys, order, bands), keys)
 
 
 def true_rebid_report(
@@ -74,10 +73,10 @@ def true_rebid_report(
     bands: Sequence[str] = QUANTITY_BANDS, services: Sequence[str] = SERVICES, energy: str = "ENERGY",
 ) -> dict[str, DataFrame]:
     """How often does a rebid really change quantities?"""
-    counts = true_counts(qty, units, keys, order, bands, energy)
-    per_unit = s.unit_market_avg(counts)
+    counts = true_counts(qty, keys, order, bands, energy)
+    per_unit = j.with_units(s.unit_market_avg(counts), units)
     return {
-        **_count_report(counts, "num_true_rebids", services),
+        **_count_report(j.with_units(counts, units), "num_true_rebids", services),
         "per_unit": per_unit,
         "per_unit_by_category": s.avg_of_unit_means(per_unit),
         "periods": s.period_rebid_summary(counts),
@@ -155,12 +154,12 @@ def daily_band_report(
 ) -> dict[str, DataFrame]:
     """Do autobidder batteries vary their daily prices more than other batteries?"""
     daily = bids.where((F.col("ENTRYTYPE") == "DAILY") & F.col("BIDTYPE").isin(list(services)))
-    fleet = units.where(is_battery()).select("DUID", is_autobidder().alias("is_autobidder"))
-    daily = daily.join(fleet, "DUID")
-    long = b.bands_long(daily, ["is_autobidder"], bands)
-    per_unit = s.unit_variation(daily, ["DUID"], ["is_autobidder"], bands)
+    fleet = j.battery_fleet(units)
+    fleet_bids = daily.join(fleet, "DUID")
+    long = b.bands_long(fleet_bids, ["is_autobidder"], bands)
+    per_unit = s.unit_variation(daily, ["DUID"], bands).join(fleet, "DUID")
     return {
-        "profile": s.profile(daily, ["DUID", "SETTLEMENTDATE"]),
+        "profile": s.profile(fleet_bids, ["DUID", "SETTLEMENTDATE"]),
         "stats": s.band_stats(long, ["is_autobidder", "PRICEBAND"]),
         "boxes": s.box_stats(long, ["is_autobidder", "PRICEBAND"], "PRICE"),
         "variation": per_unit,
@@ -183,13 +182,13 @@ def variation_report(
     shown: Sequence[int] = (1, 5, 10),
 ) -> dict[str, DataFrame]:
     """How much does a unit vary its prices within one service, and does the entry type matter?"""
-    fleet = units.where(is_battery()).select("DUID", is_autobidder().alias("is_autobidder"))
-    offers = bids.where(F.col("BIDTYPE").isin(list(services))).join(fleet, "DUID")
-    detail = s.unit_service_variation(offers, bands=bands, shown=shown)
+    fleet = j.battery_fleet(units)
+    offers = bids.where(F.col("BIDTYPE").isin(list(services)))
+    detail = s.unit_service_variation(offers, bands=bands, shown=shown).join(fleet, "DUID")
     return {
         "detail": detail,
         "summary": s.labelled(s.variation_summary(detail)),
-        "by_entry_type": s.labelled(s.variation_by_entry_type(offers, bands=bands, shown=shown)),
+        "by_entry_type": s.labelled(s.variation_by_entry_type(offers, fleet, bands=bands, shown=shown)),
     }
 
 

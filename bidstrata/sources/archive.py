@@ -106,7 +106,9 @@ def ingest(df: DataFrame, dst: str, day: str = "SETTLEMENTDATE", sort: Sequence[
     file holds a narrow range of units, which makes its row-group statistics useful. Days present in ``df``
     replace those at ``dst``; other days stay, so months can be ingested one after another or again.
     """
-    spread = df.withColumn("market_day", F.to_date(day)).repartitionByRange("market_day", *sort)
+    # The row's hash comes last among the range columns, so that even one unit's day and service can be divided.
+    spread = df.withColumn("market_day", F.to_date(day)).repartitionByRange(
+        "market_day", *sort, F.xxhash64(*df.columns))
     (
         spread.sortWithinPartitions("market_day", *sort)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -121,21 +121,22 @@ def test_participation_modes(spark):
 def test_variation_of_constant_prices_is_exactly_zero(spark):
     data = [("a", "R1", True, 10000.1, 3.3)] * 50 + [("b", "R1", False, float(i), 0.0) for i in range(4)]
     df = spark.createDataFrame(data, "DUID string, BIDTYPE string, is_autobidder boolean, PRICEBAND1 double, PRICEBAND2 double")
-    detail = s.unit_service_variation(df, bands=["PRICEBAND1", "PRICEBAND2"], shown=(1, 2))
+    fleet = df.select("DUID", "is_autobidder").distinct()
+    detail = s.unit_service_variation(df, bands=["PRICEBAND1", "PRICEBAND2"], shown=(1, 2)).join(fleet, "DUID")
     got = {r.DUID: r for r in detail.collect()}
     assert (got["a"].n_offers, got["a"].avg_std_across_bands, got["a"].total_distinct_values) == (50, 0.0, 2)
     assert got["b"].std_pb1 == pytest.approx(statistics.stdev(range(4))) and got["b"].n_distinct_pb2 == 1
     summary = {r.is_autobidder: r for r in s.variation_summary(detail).collect()}
     assert (summary[True].n_units, summary[True].median_price_band_std) == (1, 0.0)
-    pooled = s.unit_variation(df, ["DUID"], ["is_autobidder"], ["PRICEBAND1", "PRICEBAND2"])
+    pooled = s.unit_variation(df, ["DUID"], ["PRICEBAND1", "PRICEBAND2"])
     assert rows(pooled.where("DUID = 'b' AND band = 2"), "std", "cv", "n_distinct") == [(0.0, 0.0, 1)]
 
 
 def test_variation_across_services_only_shows_when_pooled(spark):
     data = [("a", svc, True, price) for svc, price in (("R1", 1.0), ("R2", 9.0)) for _ in range(5)]
     df = spark.createDataFrame(data, "DUID string, BIDTYPE string, is_autobidder boolean, PRICEBAND1 double")
-    pooled = s.unit_variation(df, ["DUID"], ["is_autobidder"], ["PRICEBAND1"]).first()
-    apart = s.unit_variation(df, ["DUID", "BIDTYPE"], ["is_autobidder"], ["PRICEBAND1"])
+    pooled = s.unit_variation(df, ["DUID"], ["PRICEBAND1"]).first()
+    apart = s.unit_variation(df, ["DUID", "BIDTYPE"], ["PRICEBAND1"])
     assert pooled["std"] > 4 and {r["std"] for r in apart.collect()} == {0.0}
 
 

@@ -139,19 +139,24 @@ def flagged(spark, sf, null_equal=True):
     return v.flag_true_rebids(t.detail(spark, sf), SIDE_DETAIL, DETAIL_ORDER, MWS3, null_equal)
 
 
-def true_counted(spark, sf):
-    return reports.true_counts(
-        t.detail(spark, sf), t.units(spark, sf), SIDE_DETAIL, DETAIL_ORDER, MWS3, ENERGY
-    )
+def true_counts(spark, sf):
+    return reports.true_counts(t.detail(spark, sf), SIDE_DETAIL, DETAIL_ORDER, MWS3, ENERGY)
+
+
+def unit_means(spark, sf):
+    return j.with_units(s.unit_market_avg(true_counts(spark, sf)), t.units(spark, sf))
+
+
+def ancillary_offers(spark, sf):
+    return t.offers(spark, sf).where(F.col("BIDTYPE").isin(SERVICES))
 
 
-def fleet_offers(spark, sf):
-    fleet = t.units(spark, sf).where(u.is_battery()).select("DUID", u.is_autobidder().alias("is_autobidder"))
-    return t.offers(spark, sf).where(F.col("BIDTYPE").isin(SERVICES)).join(fleet, "DUID")
+def daily_offers(spark, sf):
+    return ancillary_offers(spark, sf).where(F.col("ENTRYTYPE") == "DAILY")
 
 
 def fleet_daily(spark, sf):
-    return fleet_offers(spark, sf).where(F.col("ENTRYTYPE") == "DAILY")
+    return daily_offers(spark, sf).join(j.battery_fleet(t.units(spark, sf)), "DUID")
 
 
 def initial_offers(spark, sf):
@@ -397,7 +402,8 @@ def true_rebid_counts(spark, sf):
 
 @query(f"WITH {TRUE_COUNTS} SELECT bidder_category, {summary_sql('num_true_rebids')} FROM true_counted GROUP BY 1")
 def true_rebid_summary(spark, sf):
-    return rounded(s.summary_stats(true_counted(spark, sf), [CATEGORY], "num_true_rebids"),
+    counted = j.with_units(true_counts(spark, sf), t.units(spark, sf))
+    return rounded(s.summary_stats(counted, [CATEGORY], "num_true_rebids"),
                    "mean", "median", "std", "pct_zero")
 
 
@@ -405,7 +411,8 @@ def true_rebid_summary(spark, sf):
         {s4('median(num_true_rebids)')} AS median_rebids, {s4('stddev_samp(num_true_rebids)')} AS std_rebids,
         count(*) AS num_auctions FROM true_counted GROUP BY ALL""")
 def unit_market_averages(spark, sf):
-    return rounded(s.unit_market_avg(true_counted(spark, sf)), "mean_rebids", "median_rebids", "std_rebids")
+    cols = ["mean_rebids", "median_rebids", "std_rebids"]
+    return rounded(unit_means(spark, sf).select(CATEGORY, "BIDTYPE", "DUID", *cols, "num_auctions"), *cols)
 
 
 @query(f"""WITH {TRUE_COUNTS}, per_unit AS (
@@ -413,7 +420,7 @@ def unit_market_averages(spark, sf):
     SELECT bidder_category, BIDTYPE, {s4('avg(m)')} AS avg_of_means, count(DISTINCT DUID) AS n_units
     FROM per_unit GROUP BY ALL""")
 def average_of_unit_means(spark, sf):
-    return rounded(s.avg_of_unit_means(s.unit_market_avg(true_counted(spark, sf))), "avg_of_means")
+    return rounded(s.avg_of_unit_means(unit_means(spark, sf)), "avg_of_means")
 
 
 @query(f"""WITH {TRUE_COUNTS} SELECT DUID, count(*) AS n_periods,
@@ -587,7 +594,8 @@ variation AS (
 
 
 def variation(spark, sf):
-    return s.unit_variation(fleet_daily(spark, sf), ["DUID"], ["is_autobidder"], PRICES3)
+    per_unit = s.unit_variation(daily_offers(spark, sf), ["DUID"], PRICES3)
+    return per_unit.join(j.battery_fleet(t.units(spark, sf)), "DUID")
 
 
 @query(f"""WITH {VARIATION} SELECT is_autobidder, DUID, band, n_offers, {s4('std')} AS std, n_distinct, {s4('cv')} AS cv
@@ -625,7 +633,8 @@ combos AS (
 
 
 def combos(spark, sf):
-    return s.unit_service_variation(fleet_offers(spark, sf), bands=PRICES3, shown=(1, 3))
+    detail = s.unit_service_variation(ancillary_offers(spark, sf), bands=PRICES3, shown=(1, 3))
+    return detail.join(j.battery_fleet(t.units(spark, sf)), "DUID")
 
 
 @query(f"""WITH {COMBOS} SELECT is_autobidder, DUID, BIDTYPE, n_offers, {s4('avg_std_across_bands')} AS avg_std_across_bands,
@@ -656,7 +665,8 @@ def variation_summary(spark, sf):
            {s4('avg(s1)')} AS avg_std_pb1, {s4('avg(s3)')} AS avg_std_pb3
     FROM per_unit GROUP BY ALL""")
 def variation_by_entry_type(spark, sf):
-    out = s.variation_by_entry_type(fleet_offers(spark, sf), bands=PRICES3, shown=(1, 3))
+    fleet = j.battery_fleet(t.units(spark, sf))
+    out = s.variation_by_entry_type(ancillary_offers(spark, sf), fleet, bands=PRICES3, shown=(1, 3))
     return rounded(out, "avg_entries_per_unit_service", "avg_price_combos", "avg_std_pb1", "avg_std_pb3")
 
 
