@@ -13,6 +13,8 @@ so a group left whole holds at most ``SPLIT_ROWS`` rows or less than 1/MAX_HOT_G
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ SLICE = "_slice"
 def slice_hot_groups(
     df: DataFrame, keys: Sequence[str], order_col: str, totals: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Add ``_slice``: null in ordinary groups, 0, 1, 2, … along ``order_col`` in oversized ones.
+    """Add ``_slice``: null in ordinary groups, 0, 1, 2, … along ``order_col`` in oversized ones, and the number
+    of slices in ``_parts``, which ``carry_in`` consumes.
 
     ``totals`` are whole-group aggregates to attach to the rows of oversized groups (null elsewhere).
     """
@@ -40,15 +43,19 @@ def slice_hot_groups(
         .where((F.col("_rows") > SPLIT_ROWS) & (F.col("_hi") > F.col("_lo")))
         .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT_GROUPS)
+        .dropna(subset=list(keys))  # groups lacking a key stay whole: the equality join in carry_in skips them
         .withColumn("_parts", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") * 4 / SPLIT_ROWS)))
         .drop("_rows")
+        .withColumnsRenamed({k: f"_key_{k}" for k in keys})
     )
-    tagged = df.join(F.broadcast(hot), list(keys), "left")
+    # Null-safe, so that Spark infers no key filter on this side and can read a common input once.
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    tagged = df.join(F.broadcast(hot), same, "left").drop(*[f"_key_{k}" for k in keys])
     # Equal width between the group's first and last position; a null position sorts first, so slice 0.
     at, lo, hi = (position(tagged, c).cast("double") for c in (order_col, "_lo", "_hi"))
     along = F.coalesce((at - lo) / (hi - lo), F.lit(0.0))
     nth = F.least(F.col("_parts") - 1, F.floor(along * F.col("_parts"))).cast("int")
-    return tagged.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi", "_parts")
+    return tagged.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi")
 
 
 def carry_in(
@@ -59,14 +66,15 @@ def carry_in(
     ``summary`` aggregates one slice; ``prefix`` maps a new column to an expression over those summaries,
     evaluated in ``slices_before``/``slice_order`` windows. Null in ordinary groups and in first slices.
     """
+    # Filtered on a column of the list itself: where the list proves empty, Spark drops this branch unrun.
     tails = (
-        sliced.where(F.col(SLICE).isNotNull())
+        sliced.where(F.col("_parts").isNotNull())
         .groupBy(*keys, SLICE)
         .agg(*[c.alias(n) for n, c in summary.items()])
     )
     carried = tails.select(*keys, SLICE, *[c.alias(n) for n, c in prefix.items()])
     # Stated, because an input already hashed on the keys would satisfy the window as it is, slices unspread.
-    spread = sliced.repartition(*keys, SLICE)
+    spread = sliced.drop("_parts").repartition(*keys, SLICE)
     return spread.join(carried, [*keys, SLICE], "left")
 
 
