@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from bidstrata.schema import ENERGY, PRICE_BANDS, QUANTITY_BANDS, REGIONAL_PRICES
 
 
+def _long(df: DataFrame, ids: Sequence[str], names: Mapping[str, str], var_name: str, value_name: str) -> DataFrame:
+    """One row per column of ``names`` (column → its label), nulls included.
+
+    An explode rather than ``unpivot``: two uses of the same long table then compare equal and share one shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(label).alias("k"), F.col(c).alias("v")) for c, label in names.items()])
+    return df.select(*ids, F.explode(cells).alias("_c")).select(
+        *ids, F.col("_c.k").alias(var_name), F.col("_c.v").alias(value_name)
+    )
+
+
 def bands_long(
     df: DataFrame, ids: Sequence[str], bands: Sequence[str] = PRICE_BANDS,
     var_name: str = "PRICEBAND", value_name: str = "PRICE",
 ) -> DataFrame:
     """One row per band, null bands included."""
-    return df.unpivot(list(ids), list(bands), var_name, value_name)
+    return _long(df, ids, {b: b for b in bands}, var_name, value_name)
 
 
 def changes_long(
     df: DataFrame, ids: Sequence[str], bands: Sequence[str] = PRICE_BANDS,
     var_name: str = "PRICEBAND", value_name: str = "PRICE_CHANGE",
 ) -> DataFrame:
-    """One row per band change, the ``_CHANGE`` ending taken off the band name."""
-    long = df.unpivot(list(ids), [f"{b}_CHANGE" for b in bands], var_name, value_name)
-    return long.withColumn(var_name, F.regexp_replace(var_name, "_CHANGE$", ""))
+    """One row per band change, labelled with the band's own name."""
+    return _long(df, ids, {f"{b}_CHANGE": b for b in bands}, var_name, value_name)
 
 
 def band_number(col: str = "PRICEBAND") -> Column:
@@ -40,11 +50,7 @@ def regional_prices_long(
     df: DataFrame, ids: Sequence[str] = ("SETTLEMENTDATE", "REGIONID"), prices: Sequence[str] = REGIONAL_PRICES
 ) -> DataFrame:
     """Region × interval × service × price from the wide price table; plain RRP is the energy price."""
-    long = df.unpivot(list(ids), list(prices), "_column", "PRICE")
-    service = F.regexp_replace("_column", "RRP$", "")
-    return long.select(
-        *ids, F.when(service == "", ENERGY).otherwise(service).alias("BIDTYPE"), F.col("PRICE")
-    )
+    return _long(df, ids, {p: p.removesuffix("RRP") or ENERGY for p in prices}, "BIDTYPE", "PRICE")
 
 
 def total_mw(bands: Sequence[str] = QUANTITY_BANDS) -> Column:

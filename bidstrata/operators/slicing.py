@@ -34,7 +34,7 @@ def slice_hot_groups(
     """Add ``_slice``: null in ordinary groups, 0, 1, 2, … along ``order_col`` in oversized ones, and the number
     of slices in ``_parts``, which ``carry_in`` consumes.
 
-    ``totals`` are whole-group aggregates to attach to the rows of oversized groups (null elsewhere).
+    ``totals`` are whole-group aggregates, never null, to attach to the rows of oversized groups (null elsewhere).
     """
     hot = (
         df.groupBy(*keys)
@@ -59,16 +59,19 @@ def slice_hot_groups(
 
 
 def carry_in(
-    sliced: DataFrame, keys: Sequence[str], summary: Mapping[str, Column], prefix: Mapping[str, Column]
+    sliced: DataFrame, keys: Sequence[str], summary: Mapping[str, Column], prefix: Mapping[str, Column],
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Attach to every row of a sliced group what the earlier slices of the group add up to.
 
     ``summary`` aggregates one slice; ``prefix`` maps a new column to an expression over those summaries,
     evaluated in ``slices_before``/``slice_order`` windows. Null in ordinary groups and in first slices.
     """
-    # Filtered on a column of the list itself: where the list proves empty, Spark drops this branch unrun.
+    # Filtered on columns of the list itself: where the list proves empty, Spark drops this branch unrun. All of
+    # its columns, so that both branches need the same list and it is made once.
+    oversized = reduce(and_, [F.col(c).isNotNull() for c in ("_parts", *totals)])
     tails = (
-        sliced.where(F.col("_parts").isNotNull())
+        sliced.where(oversized)
         .groupBy(*keys, SLICE)
         .agg(*[c.alias(n) for n, c in summary.items()])
     )

@@ -78,19 +78,21 @@ def compact(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_w"))
 
 
-def _ranked(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Distinct values with the group's size ``_n`` and mean ``_mean`` and the rows up to and with each value,
-    ``_upto``."""
-    by, x = list(by), F.col(col)
-    values = compact(df, by, col).withColumn("_xw", x * F.col("_w"))
-    values = slice_hot_groups(values, by, col, totals={"_all_w": F.sum("_w"), "_all_xw": F.sum("_xw")})
-    values = carry_in(values, by, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before(by))})
+def _ranked(df: DataFrame, by: Sequence[str], col: str, mean: bool = False) -> DataFrame:
+    """Distinct values with the group's size ``_n`` (and ``_mean``) and the rows up to and with each value,
+    ``_upto``. The group is one struct column, ``_g``: it is never null, so no branch of the plan adds a key
+    filter of its own and all of them read one counting shuffle."""
+    key, x = ["_g"], F.col(col)
+    values = compact(df.select(F.struct(*by).alias("_g"), col), key, col).withColumn("_xw", x * F.col("_w"))
+    summed = ["_w", "_xw"] if mean else ["_w"]
+    values = slice_hot_groups(values, key, col, totals={f"_all{c}": F.sum(c) for c in summed})
+    values = carry_in(values, key, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before(key))},
+                      totals=[f"_all{c}" for c in summed])
     # An oversized group brings its totals along; in any other the window sees the whole group.
-    whole = Window.partitionBy(*by, SLICE)
-    n = F.coalesce(F.col("_all_w"), F.sum("_w").over(whole))
-    total = F.coalesce(F.col("_all_xw"), F.sum("_xw").over(whole))
-    upto = F.sum("_w").over(up_to_here(by, [col])) + F.coalesce(F.col("_carried"), F.lit(0))
-    return values.select(*by, col, "_w", n.alias("_n"), (total / n).alias("_mean"), upto.alias("_upto"))
+    whole = {c: F.coalesce(F.col(f"_all{c}"), F.sum(c).over(Window.partitionBy("_g", SLICE))) for c in summed}
+    means = [(whole["_xw"] / whole["_w"]).alias("_mean")] if mean else []
+    upto = F.sum("_w").over(up_to_here(key, [col])) + F.coalesce(F.col("_carried"), F.lit(0))
+    return values.select("_g", col, "_w", whole["_w"].alias("_n"), *means, upto.alias("_upto"))
 
 
 def _picks(col: str, probs: Mapping[str, float]) -> tuple[list[Column], list[Column]]:
@@ -129,8 +131,8 @@ def quantiles(
     if method != "ranked":
         raise ValueError(f"unknown method {method!r}")
     picks, outs = _picks(col, probs)
-    found = _ranked(df, by, col).groupBy(*by).agg(*picks, *distinct)
-    return found.select(*by, *outs, *([n_distinct] if n_distinct else []))
+    found = _ranked(df, by, col).groupBy("_g").agg(*picks, *distinct)
+    return found.select("_g.*", *outs, *([n_distinct] if n_distinct else []))
 
 
 # --- distributions --------------------------------------------------------------------------------
@@ -156,13 +158,13 @@ def band_stats(long: DataFrame, by: Sequence[str], value: str = "PRICE") -> Data
     by, x = list(by), F.col(value)
     picks, quartiles = _picks(value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     spread = F.sum(F.col("_w") * (x - F.col("_mean")) * (x - F.col("_mean")))
-    found = _ranked(long, by, value).groupBy(*by).agg(
+    found = _ranked(long, by, value, mean=True).groupBy("_g").agg(
         F.max("_n").alias("n"), F.max("_mean").alias("mean"), spread.alias("_spread"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.count("*").alias("n_distinct"), *picks,
     )
     n, d = F.col("n"), F.col("n_distinct")
     std = F.when(n > 1, F.when(d == 1, 0.0).otherwise(F.sqrt(F.col("_spread") / (n - 1))))
-    return found.select(*by, "n", "mean", std.alias("std"), "min", *quartiles, "max", "n_distinct")
+    return found.select("_g.*", "n", "mean", std.alias("std"), "min", *quartiles, "max", "n_distinct")
 
 
 def unit_variation(
