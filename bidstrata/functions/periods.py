@@ -59,6 +59,11 @@ def stamp_label(ts: Column | str) -> Column:
     return F.coalesce(F.date_format(ts, "yyyyMMdd_HHmm"), F.lit("Unknown"))
 
 
+def has_position(df: DataFrame, col: str) -> bool:
+    """Whether ``position`` can lay ``col`` out."""
+    return isinstance(df.schema[col].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType, T.NumericType))
+
+
 def position(df: DataFrame, col: str) -> Column:
     """A number that rises exactly as ``col`` does, for columns of time or number type.
 

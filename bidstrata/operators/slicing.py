@@ -7,19 +7,20 @@ over the slices of the group, and joined back. Slices only decide where a row is
 of the plain window. Ordinary groups have no slice and cost one narrow count.
 
 The list of groups to cut is broadcast. Its size is bounded by construction: the ``MAX_HOT_GROUPS`` largest,
-so a group left whole holds at most ``SPLIT_ROWS`` rows or less than 1/MAX_HOT_GROUPS of all rows.
+so a group left whole holds at most ``SPLIT_ROWS`` rows or less than 1/MAX_HOT_GROUPS of all rows. How finely a
+group is cut depends on how many rows it has, never on which rows are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from bidstrata.functions.periods import position
+from bidstrata.functions.periods import has_position, position
 
 SPLIT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 100_000
@@ -28,34 +29,77 @@ MAX_SLICES = 65_536
 SLICE = "_slice"
 
 
-def slice_hot_groups(
-    df: DataFrame, keys: Sequence[str], order_col: str, totals: Mapping[str, Column] | None = None
-) -> DataFrame:
-    """Add ``_slice``: null in ordinary groups, 0, 1, 2, … along ``order_col`` in oversized ones, and the number
-    of slices in ``_parts``, which ``carry_in`` consumes.
-
-    ``totals`` are whole-group aggregates, never null, to attach to the rows of oversized groups (null elsewhere).
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"),
-             *[c.alias(n) for n, c in (totals or {}).items()])
-        .where((F.col("_rows") > SPLIT_ROWS) & (F.col("_hi") > F.col("_lo")))
+def _largest(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The biggest of the groups over ``SPLIT_ROWS``, at most ``MAX_HOT_GROUPS``, and ``_parts``, into how many
+    slices to cut each. Groups lacking a key stay whole: the equality join in ``carry_in`` would skip them."""
+    return (
+        groups.where(F.col("_rows") > SPLIT_ROWS)
         .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT_GROUPS)
-        .dropna(subset=list(keys))  # groups lacking a key stay whole: the equality join in carry_in skips them
+        .dropna(subset=list(keys))
         .withColumn("_parts", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") * 4 / SPLIT_ROWS)))
         .drop("_rows")
         .withColumnsRenamed({k: f"_key_{k}" for k in keys})
     )
+
+
+def _attach(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Null-safe, so that Spark infers no key filter on this side and can read a common input once.
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    tagged = df.join(F.broadcast(hot), same, "left").drop(*[f"_key_{k}" for k in keys])
-    # Equal width between the group's first and last position; a null position sorts first, so slice 0.
-    at, lo, hi = (position(tagged, c).cast("double") for c in (order_col, "_lo", "_hi"))
+    return df.join(F.broadcast(listed), same, "left").drop(*[f"_key_{k}" for k in keys])
+
+
+def _nth(df: DataFrame, col: str, low: str, high: str, parts: str) -> Column:
+    """Which of ``parts`` equal widths between ``low`` and ``high`` a row lies in; a null sorts first, so 0."""
+    at, lo, hi = (position(df, c).cast("double") for c in (col, low, high))
     along = F.coalesce((at - lo) / (hi - lo), F.lit(0.0))
-    nth = F.least(F.col("_parts") - 1, F.floor(along * F.col("_parts"))).cast("int")
-    return tagged.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi")
+    return F.least(F.col(parts) - 1, F.floor(along * F.col(parts))).cast("bigint")
+
+
+def _oversized(totals: Iterable[str]) -> Column:
+    """Rows of groups on the list. The filter is on columns of the list itself: where that proves empty, Spark
+    drops the branch unrun. It names all of them, so that every branch needs the same list and it is made once."""
+    return reduce(and_, [F.col(c).isNotNull() for c in ("_parts", *totals)])
+
+
+def slice_hot_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column] | None = None,
+    shared: str | None = None,
+) -> DataFrame:
+    """Add ``_slice``: null in ordinary groups, rising along ``order`` in oversized ones, and ``_parts``, set in
+    the latter, which ``carry_in`` consumes.
+
+    A group is cut into equal widths of the first order column. A slice that is still oversized, because rows
+    crowd there, is cut again within its own range, or along the second order column if it is a single instant.
+
+    ``totals`` are whole-group aggregates, never null, to attach to the rows of oversized groups (null elsewhere).
+    ``shared`` names a non-null column aggregated by the shuffle that makes ``df``: with every branch using it, the
+    branches have that shuffle in common and it runs once.
+    """
+    first = order[0]
+    hot = _largest(
+        df.groupBy(*keys).agg(
+            F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
+            *[c.alias(n) for n, c in (totals or {}).items()],
+        ).where(F.col("_hi") >= F.col("_lo")), keys)
+    cut = _attach(df, hot, keys)
+    nth = F.when(F.col("_hi") > F.col("_lo"), _nth(cut, first, "_lo", "_hi", "_parts")).otherwise(0)
+    cut = cut.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi")
+
+    second = order[1] if len(order) > 1 and has_position(df, order[1]) else first
+    crowded = _largest(
+        cut.where(_oversized(totals or ())).groupBy(*keys, SLICE).agg(
+            F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
+            F.count_if(F.col(first).isNull()).alias("_untimed"),
+            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"),
+            F.max(shared or first).alias("_shared"),
+        ).where(F.col("_shared").isNotNull()).drop("_shared"), [*keys, SLICE]).withColumnRenamed("_parts", "_again")
+    again = _attach(cut, crowded, [*keys, SLICE])
+    zoom = F.when(F.col("_hi") > F.col("_lo"), _nth(again, first, "_lo", "_hi", "_again")).when(
+        (F.col("_untimed") == 0) & (F.col("_hi2") > F.col("_lo2")), _nth(again, second, "_lo2", "_hi2", "_again"))
+    return again.withColumn(
+        SLICE, F.col(SLICE) * MAX_SLICES + F.coalesce(F.when(F.col("_again").isNotNull(), zoom), F.lit(0))
+    ).drop("_again", "_lo", "_hi", "_untimed", "_lo2", "_hi2")
 
 
 def carry_in(
@@ -67,11 +111,8 @@ def carry_in(
     ``summary`` aggregates one slice; ``prefix`` maps a new column to an expression over those summaries,
     evaluated in ``slices_before``/``slice_order`` windows. Null in ordinary groups and in first slices.
     """
-    # Filtered on columns of the list itself: where the list proves empty, Spark drops this branch unrun. All of
-    # its columns, so that both branches need the same list and it is made once.
-    oversized = reduce(and_, [F.col(c).isNotNull() for c in ("_parts", *totals)])
     tails = (
-        sliced.where(oversized)
+        sliced.where(_oversized(totals))
         .groupBy(*keys, SLICE)
         .agg(*[c.alias(n) for n, c in summary.items()])
     )
@@ -101,7 +142,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     """Running totals along ``order`` within ``keys``; ``order`` must be a total order. Nulls add nothing, and
     a total is null until the first value."""
     inputs = {n: f"_in_{n}" for n in sums}
-    df = slice_hot_groups(df.withColumns({inputs[n]: c for n, c in sums.items()}), keys, order[0])
+    df = slice_hot_groups(df.withColumns({inputs[n]: c for n, c in sums.items()}), keys, order)
     df = carry_in(
         df, keys,
         {f"_sum_{n}": F.sum(inputs[n]) for n in sums},
@@ -120,7 +161,7 @@ def previous_row(
 ) -> DataFrame:
     """Struct of ``cols`` from the row before along ``order`` (``name``) and whether there is none (``first``)."""
     row = F.struct(*cols)
-    df = slice_hot_groups(df, keys, order[0])
+    df = slice_hot_groups(df, keys, order)
     df = carry_in(
         df, keys,
         {"_last": F.max_by(row, F.struct(*order))},
@@ -142,7 +183,7 @@ def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
     """Latest non-null ``value`` up to and including each row along ``order``; ``order`` must be total."""
-    df = slice_hot_groups(df.withColumn("_v", value), keys, order[0])
+    df = slice_hot_groups(df.withColumn("_v", value), keys, order)
     known = F.col("_v").isNotNull()
     df = carry_in(
         df, keys,

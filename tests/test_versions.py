@@ -90,11 +90,32 @@ def test_flags_match_a_plain_loop(spark, monkeypatch, null_equal, whole):
 
 
 def test_slices_really_cut_the_big_group(spark, cut):
-    sliced = slicing.slice_hot_groups(offers(spark, random_offers()), KEYS, "t")
+    sliced = slicing.slice_hot_groups(offers(spark, random_offers()), KEYS, ORDER)
     n = {r.u: r.n for r in sliced.groupBy("u").agg(F.count_distinct("_slice").alias("n")).collect()}
     assert n["hot"] > 20
 
 
+def test_one_instant_is_cut_along_the_tiebreak(spark, cut):
+    t0, t1 = at("2025-10-01T00:00:00"), at("2025-10-02T00:00:00")
+    rnd = random.Random(8)
+    data = [("hot", 1, t1 if i % 10 == 0 else t0, i, rnd.choice([1.0, 2.0]), 0.0) for i in range(200)]
+    df = offers(spark, data)
+    sliced = slicing.slice_hot_groups(df, KEYS, ORDER)
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 6
+    got = {r.n: (r.is_first, r.is_true_rebid) for r in v.flag_true_rebids(df, KEYS, ORDER, ["a", "b"]).collect()}
+    assert got == walk(data)
+
+
+def test_crowded_times_are_cut_again(spark, cut):
+    base = at("2025-10-01T00:00:00")
+    data = [("hot", 1, base + timedelta(microseconds=i), i, float(i % 3), 0.0) for i in range(200)]
+    data += [("hot", 1, base + timedelta(days=9000), 200, 0.0, 0.0)]
+    df = offers(spark, data)
+    sizes = slicing.slice_hot_groups(df, KEYS, ORDER).groupBy("_slice").count().agg(F.max("count")).first()[0]
+    assert sizes <= 6
+    assert {r.n: r.version_index for r in v.version_index(df, KEYS, ORDER).collect()} == {i: i + 1 for i in range(201)}
+
+
 def test_slices_with_missing_keys_and_times(spark, cut):
     data = [r if r[3] % 9 else (None, 1, r[2], *r[3:]) for r in random_offers(80)]
     data = [r if r[3] % 7 else (r[0], 1, None, *r[3:]) for r in data]
