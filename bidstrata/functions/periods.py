@@ -59,26 +59,24 @@ def stamp_label(ts: Column | str) -> Column:
     return F.coalesce(F.date_format(ts, "yyyyMMdd_HHmm"), F.lit("Unknown"))
 
 
-def has_position(df: DataFrame, col: str) -> bool:
-    """Whether ``position`` can lay ``col`` out."""
-    return isinstance(df.schema[col].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType, T.NumericType))
+def has_position(kind: T.DataType) -> bool:
+    """Whether ``position`` can lay out columns of this type."""
+    return isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType, T.NumericType))
 
 
-def position(df: DataFrame, col: str) -> Column:
-    """A number that rises exactly as ``col`` does, for columns of time or number type.
+def position(kind: T.DataType, name: str) -> str:
+    """SQL for a number that rises exactly as the column of type ``kind`` does, for times and numbers.
 
     Local times are laid out from their fields, so no session time zone can fold or skip an hour.
     """
-    kind = df.schema[col].dataType
-    c = F.col(col)
+    c = f"`{name}`"
     if isinstance(kind, T.TimestampNTZType):
-        micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
-        day = F.unix_date(F.to_date(c)).cast("bigint")
-        return ((day * 24 + F.hour(c)) * 60 + F.minute(c)) * F.lit(60_000_000) + micros
+        minutes = f"(unix_date(to_date({c})) * 24L + hour({c})) * 60 + minute({c})"
+        return f"(({minutes}) * 60000000L + cast(date_part('SECOND', {c}) * 1000000 AS bigint))"
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c)
+        return f"unix_micros({c})"
     if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("bigint")
+        return f"cast(unix_date({c}) AS bigint)"
     if isinstance(kind, T.NumericType):
         return c
-    raise TypeError(f"{col}: expected a time or number column, got {kind.simpleString()}")
+    raise TypeError(f"{name}: expected a time or number column, got {kind.simpleString()}")

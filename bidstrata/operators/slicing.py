@@ -14,11 +14,10 @@ group is cut depends on how many rows it has, never on which rows are kept.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidstrata.functions.periods import has_position, position
 
@@ -29,37 +28,30 @@ MAX_SLICES = 65_536
 SLICE = "_slice"
 
 
-def _largest(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The biggest of the groups over ``SPLIT_ROWS``, at most ``MAX_HOT_GROUPS``, and ``_parts``, into how many
-    slices to cut each. Groups lacking a key stay whole: the equality join in ``carry_in`` would skip them."""
-    return (
-        groups.where(F.col("_rows") > SPLIT_ROWS)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_GROUPS)
-        .dropna(subset=list(keys))
-        .withColumn("_parts", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") * 4 / SPLIT_ROWS)))
-        .drop("_rows")
-        .withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    )
+def _largest(groups: DataFrame, keys: Sequence[str], keep: Sequence[str], parts: str) -> DataFrame:
+    """The biggest of the groups over ``SPLIT_ROWS``, at most ``MAX_HOT_GROUPS``, and into how many slices to cut
+    each. Groups lacking a key stay whole: the equality join in ``carry_in`` would skip them."""
+    biggest = groups.where(f"_rows > {SPLIT_ROWS}").orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_GROUPS)
+    return biggest.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).selectExpr(
+        *[f"`{k}` AS `_key_{k}`" for k in keys], *keep,
+        f"least({MAX_SLICES}, ceil(_rows * 4 / {SPLIT_ROWS})) AS {parts}")
 
 
 def _attach(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Null-safe, so that Spark infers no key filter on this side and can read a common input once.
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
-    return df.join(F.broadcast(listed), same, "left").drop(*[f"_key_{k}" for k in keys])
+    return df.join(F.broadcast(listed), F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)), "left")
 
 
-def _nth(df: DataFrame, col: str, low: str, high: str, parts: str) -> Column:
+def _nth(kind: T.DataType, col: str, low: str, high: str, parts: str) -> str:
     """Which of ``parts`` equal widths between ``low`` and ``high`` a row lies in; a null sorts first, so 0."""
-    at, lo, hi = (position(df, c).cast("double") for c in (col, low, high))
-    along = F.coalesce((at - lo) / (hi - lo), F.lit(0.0))
-    return F.least(F.col(parts) - 1, F.floor(along * F.col(parts))).cast("bigint")
+    at, lo, hi = (f"cast({position(kind, c)} AS double)" for c in (col, low, high))
+    return f"least({parts} - 1, floor(coalesce(({at} - {lo}) / ({hi} - {lo}), 0D) * {parts}))"
 
 
-def _oversized(totals: Iterable[str]) -> Column:
+def _oversized(totals: Iterable[str]) -> str:
     """Rows of groups on the list. The filter is on columns of the list itself: where that proves empty, Spark
     drops the branch unrun. It names all of them, so that every branch needs the same list and it is made once."""
-    return reduce(and_, [F.col(c).isNotNull() for c in ("_parts", *totals)])
+    return " AND ".join(f"{c} IS NOT NULL" for c in ("_parts", *totals))
 
 
 def slice_hot_groups(
@@ -76,30 +68,31 @@ def slice_hot_groups(
     ``shared`` names a non-null column aggregated by the shuffle that makes ``df``: with every branch using it, the
     branches have that shuffle in common and it runs once.
     """
-    first = order[0]
+    keys, totals, schema = list(keys), dict(totals or {}), df.schema
+    first, kind = order[0], schema[order[0]].dataType
     hot = _largest(
         df.groupBy(*keys).agg(
             F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
-            *[c.alias(n) for n, c in (totals or {}).items()],
-        ).where(F.col("_hi") >= F.col("_lo")), keys)
-    cut = _attach(df, hot, keys)
-    nth = F.when(F.col("_hi") > F.col("_lo"), _nth(cut, first, "_lo", "_hi", "_parts")).otherwise(0)
-    cut = cut.withColumn(SLICE, F.when(F.col("_parts").isNotNull(), nth)).drop("_lo", "_hi")
+            *[c.alias(n) for n, c in totals.items()],
+        ), keys, ["_lo", "_hi", *totals], "_parts")
+    nth = _nth(kind, first, "_lo", "_hi", "_parts")
+    cut = _attach(df, hot, keys).select(*schema.names, *totals, "_parts", F.expr(
+        f"CASE WHEN _parts IS NOT NULL THEN CASE WHEN _hi > _lo THEN {nth} ELSE 0L END END").alias(SLICE))
 
-    second = order[1] if len(order) > 1 and has_position(df, order[1]) else first
+    second = order[1] if len(order) > 1 and has_position(schema[order[1]].dataType) else first
     crowded = _largest(
-        cut.where(_oversized(totals or ())).groupBy(*keys, SLICE).agg(
+        cut.where(_oversized(totals)).groupBy(*keys, SLICE).agg(
             F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
-            F.count_if(F.col(first).isNull()).alias("_untimed"),
-            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"),
-            F.max(shared or first).alias("_shared"),
-        ).where(F.col("_shared").isNotNull()).drop("_shared"), [*keys, SLICE]).withColumnRenamed("_parts", "_again")
-    again = _attach(cut, crowded, [*keys, SLICE])
-    zoom = F.when(F.col("_hi") > F.col("_lo"), _nth(again, first, "_lo", "_hi", "_again")).when(
-        (F.col("_untimed") == 0) & (F.col("_hi2") > F.col("_lo2")), _nth(again, second, "_lo2", "_hi2", "_again"))
-    return again.withColumn(
-        SLICE, F.col(SLICE) * MAX_SLICES + F.coalesce(F.when(F.col("_again").isNotNull(), zoom), F.lit(0))
-    ).drop("_again", "_lo", "_hi", "_untimed", "_lo2", "_hi2")
+            F.expr(f"count_if(`{first}` IS NULL)").alias("_untimed"),
+            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"), F.max(shared or first).alias("_shared"),
+        ).where("_shared IS NOT NULL"),
+        [*keys, SLICE], ["_lo", "_hi", "_untimed", "_lo2", "_hi2"], "_again")
+    in_range = _nth(kind, first, "_lo", "_hi", "_again")
+    in_instant = _nth(schema[second].dataType, second, "_lo2", "_hi2", "_again")
+    zoom = F.expr(
+        f"{SLICE} * {MAX_SLICES} + coalesce(CASE WHEN _again IS NULL THEN 0L WHEN _hi > _lo THEN {in_range} "
+        f"WHEN _untimed = 0 AND _hi2 > _lo2 THEN {in_instant} END, 0L)")
+    return _attach(cut, crowded, [*keys, SLICE]).select(*schema.names, *totals, "_parts", zoom.alias(SLICE))
 
 
 def carry_in(

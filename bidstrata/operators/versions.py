@@ -57,7 +57,7 @@ def keep_true_rebids(
 
 def _latest_first(df: DataFrame, order: Sequence[str]) -> Column:
     """Sort key whose minimum is the latest offer, and among tied times the first by the tiebreak."""
-    return F.struct((-position(df, order[0])).alias("_t"), *order[1:])
+    return F.struct((-F.expr(position(df.schema[order[0]].dataType, order[0]))).alias("_t"), *order[1:])
 
 
 def initial_offer(

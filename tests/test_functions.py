@@ -52,7 +52,7 @@ def test_position_follows_local_time_through_a_clock_change(spark):
         spark.conf.set("spark.sql.session.timeZone", "Australia/Sydney")
         times = [at("2025-10-05T01:59:59.999999"), at("2025-10-05T02:30:00"), at("2025-10-05T03:00:00"), at("2025-10-05T03:30:00")]
         df = spark.createDataFrame([(i, x) for i, x in enumerate(times)], "i int, t timestamp_ntz")
-        got = [r[0] for r in df.orderBy("i").select(periods.position(df, "t")).collect()]
+        got = [r[0] for r in df.orderBy("i").select(F.expr(periods.position(df.schema["t"].dataType, "t"))).collect()]
         assert got == sorted(set(got)) and got[2] - got[1] == 30 * 60 * 10**6 and got[1] - got[0] == 1800 * 10**6 + 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
