@@ -52,7 +52,7 @@ def price_quantity_panel(
 
 
 def share_within(df: DataFrame, group: Sequence[str], value: str, name: str = "share_pct", scale: int = 2) -> DataFrame:
-    """Each row's share of its group's total, in percent, rounded half-even as the reference's tables are."""
+    """Each row's share of its group's total, in percent, rounded half-even."""
     totals = df.groupBy(*group).agg(F.sum(value).alias("_total"))
     share = F.bround(F.try_divide(F.col(value), F.col("_total")) * 100, scale)
     return df.join(totals, list(group)).withColumn(name, share).drop("_total")

@@ -64,7 +64,7 @@ TABLES: dict[str, list[tuple[str, str]]] = {
         ("PASAAVAILABILITY", "double"), ("ENERGYLIMIT", "double"), ("PERIODIDTO", "int"),
         ("RECALL_PERIOD", "double"),
     ],
-    # Tables the reference only documents: the columns its text names, read by header name.
+    # Tables known by some of their columns only; the reader finds those by name.
     "DISPATCHOFFERTRK": [
         ("SETTLEMENTDATE", "timestamp_ntz"), ("DUID", "string"), ("BIDTYPE", "string"),
         ("BIDSETTLEMENTDATE", "date"), ("BIDOFFERDATE", "timestamp_ntz"),

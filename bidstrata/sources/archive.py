@@ -41,8 +41,23 @@ def _typed(name: str, kind: str) -> Column:
     return text.try_cast(kind).alias(name)
 
 
-def _columns(table: str, columns: Sequence[tuple[str, str]] | None) -> list[tuple[str, str]]:
-    return list(columns) if columns else TABLES[table]
+def column_names(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Column names of an archive table, from the first I line found: one line read, as a CSV header would be."""
+    line = spark.read.text(path).where(F.col("value").startswith("I,")).first()
+    if line is None:
+        raise ValueError(f"no column-name line in {path}")
+    return [c.strip().strip('"') for c in line["value"].split(",")[len(LINE_PREFIX):]]
+
+
+def _columns(
+    spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None
+) -> tuple[list[str], list[tuple[str, str]]]:
+    """The file's columns in file order, and the (name, type) list to return."""
+    if columns:
+        return [c for c, _ in columns], list(columns)
+    present = column_names(spark, path)
+    declared = TABLES.get(table) or [(c, "string") for c in present]
+    return present, [(c, kind) for c, kind in declared if c in present]
 
 
 def read_archive(
@@ -50,21 +65,21 @@ def read_archive(
 ) -> DataFrame:
     """Data rows of an archive table with declared types; cells that do not parse are null.
 
-    ``columns`` overrides the registry with the file's own (name, type) list, in file order.
+    Columns are found by the file's own I line and typed by the registry; a table the registry lacks comes as
+    strings. ``columns`` gives the (name, type) list in file order instead, and saves looking at the I line.
     """
-    cols = _columns(table, columns)
-    raw = _lines(spark, path, [c for c, _ in cols])
-    return raw.where((F.col("REC") == "D") & (F.col("TABLENAME") == table)).select(*[_typed(*c) for c in cols])
+    names, wanted = _columns(spark, path, table, columns)
+    rows = _lines(spark, path, names).where((F.col("REC") == "D") & (F.col("TABLENAME") == table))
+    return rows.select(*[_typed(*c) for c in wanted])
 
 
 def rejected_cells(
     spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
     """Number of non-empty cells per column that ``read_archive`` turns into null."""
-    typed = [c for c in _columns(table, columns) if c[1] not in ("string", "upper")]
-    raw = _lines(spark, path, [c for c, _ in _columns(table, columns)]).where(
-        (F.col("REC") == "D") & (F.col("TABLENAME") == table)
-    )
+    names, wanted = _columns(spark, path, table, columns)
+    typed = [c for c in wanted if c[1] not in ("string", "upper")]
+    raw = _lines(spark, path, names).where((F.col("REC") == "D") & (F.col("TABLENAME") == table))
     lost = raw.agg(*[F.count_if(F.col(n).isNotNull() & _typed(n, k).isNull()).alias(n) for n, k in typed])
     return lost.unpivot([], [n for n, _ in typed], "column_name", "rejected")
 

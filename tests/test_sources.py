@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from bidstrata.schema import ALIGN_DETAIL, PRICE_BANDS, QUANTITY_BANDS, TABLES
@@ -35,6 +36,21 @@ def test_archive_rows_and_types(spark, tmp_path):
     assert rows(lost.where("rejected > 0")) == [("T1", 1)]
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "price.csv").write_text("\n".join([
+        "C,SOURCE,ARCHIVE", "I,DISPATCH,DISPATCHPRICE,5,SETTLEMENTDATE,RUNNO,REGIONID,DISPATCHINTERVAL,INTERVENTION,RRP,EEP,LOWERREGRRP",
+        "D,DISPATCH,DISPATCHPRICE,5,2025/10/01 00:05:00,1,N,20251001001,0,61.5,0,7", "C,END OF REPORT,4"]) + "\n")
+    df = archive.read_archive(spark, str(tmp_path / "price.csv"), "DISPATCHPRICE")
+    assert df.columns == ["SETTLEMENTDATE", "RUNNO", "REGIONID", "INTERVENTION", "RRP", "LOWERREGRRP"]
+    assert df.first()[1:] == (1, "N", 0, 61.5, 7.0)
+    other = tmp_path / "other.csv"
+    other.write_text("C,x\nI,P,REGION,1,REGIONID,NAME\nD,P,REGION,1,N,North\nC,END OF REPORT,4\n")
+    assert rows(archive.read_archive(spark, str(other), "REGION")) == [("N", "North")]
+    other.with_name("empty.csv").write_text("C,x\n")
+    with pytest.raises(ValueError):
+        archive.column_names(spark, str(other.with_name("empty.csv")))
+
+
 def test_every_part_of_a_table_is_read(spark, tmp_path):
     write_part(tmp_path, "BIDDAYOFFER", 1, [header()])
     write_part(tmp_path, "BIDDAYOFFER", 2, [header("B"), header("C")], suffix="csv")
