@@ -8,6 +8,8 @@ or of the metadata columns alone touches only their pages.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -18,49 +20,123 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import doc_starts, pieces, shared_folder, split_words, spread
+from bidstrata.llm.common import doc_starts, lower_ascii, pieces, shared_folder, split_words, spread
 
-#: Distinct words a worker remembers the ids of, and the longest it remembers.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words whose ids a worker remembers (twice as many at most), and the longest remembered.
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Text encoded at a time.
+PIECE_BYTES = 2 << 20
+_BAR = "|"
+#: Marks at a word's end that are tokens of their own after a letter.
+_TAIL = ".,!?;:%$*&#"
 
 
-def _encode(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class WordEncoder:
+    """Ids of words, as int32 bytes, remembered from task to task of one Python worker.
+
+    New words are encoded in one string with bars between them, which costs far less than a call a word; words that
+    hold a bar, or a special token's string, go one by one; marks after a word's last letter go apart. The memory has two generations: a full one becomes the
+    old one, and what is still in use moves over.
+    """
+
+    _made: dict[str, WordEncoder] = {}
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bar = self.tokenizer.encode(_BAR, add_special_tokens=False).ids
+        self.odd = re.compile("|".join(map(re.escape, [
+            _BAR, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]])))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        texts = [f" {_BAR} ".join(words[at:at + 500]) for at in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            some = words[len(out):len(out) + 500]
+            ids = np.array(e.ids, np.int32)
+            bars = np.flatnonzero(ids == self.bar[0]).tolist() if len(self.bar) == 1 else []
+            if len(bars) != len(some) - 1:  # a tokenizer for which bars don't do
+                out += [self._alone(w) for w in some]
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a:4 * b] for a, b in zip([0, *[x + 1 for x in bars]], [*bars, len(ids)], strict=True)]
+        return out
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._alone(tail)
+        return self.tails[tail]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        stems, ids, fresh = [], [], {}
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            if not stem or not stem[-1].isalpha():
+                stem = w
+            got = young.get(stem)
+            if got is None and stem not in fresh:
+                got = old.get(stem)
+                if got is None and self.odd.search(stem):
+                    got = self._alone(stem)
+                if got is None:
+                    fresh[stem] = b""
+                elif len(stem) <= CACHE_LENGTH:
+                    young[stem] = got
+            stems.append(stem)
+            ids.append(got)
+        if fresh:
+            fresh.update(zip(fresh, self._together(list(fresh)), strict=True))
+            ids = [fresh[stem] if got is None else got for stem, got in zip(stems, ids, strict=True)]
+            young.update((stem, got) for stem, got in fresh.items() if len(stem) <= CACHE_LENGTH)
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+        return [got if len(stem) == len(w) else got + self._tail(w[len(stem):]) for w, stem, got in zip(words, stems, ids, strict=True)]
+
+
+def encode_texts(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with the end id after it, and where each text ends."""
+    words, counts = split_words(texts)
+    coded = lower_ascii(words).dictionary_encode()
+    each = encoder.encode(coded.dictionary.to_pylist())
+    lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    ids = np.frombuffer(b"".join(each), np.int32)
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    per_word = lengths[which]
+    flat = ids[spread((np.cumsum(lengths) - lengths)[which], per_word)]
+    ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(counts)]
+    flat = np.insert(flat, ends, np.int32(end_id)).astype(np.int32)
+    return flat, ends + np.arange(1, len(ends) + 1)
+
+
+def _encode(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(path)
         shard, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(batch):
-                words, counts = split_words(piece.column("text"))
-                coded = words.dictionary_encode()
-                vocabulary = coded.dictionary.to_pylist()
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                fresh = [w for w in vocabulary if w not in known]
-                for at in range(0, len(fresh), 20_000):
-                    some = fresh[at:at + 20_000]
-                    for word, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                        known[word] = np.array(e.ids, np.int32).tobytes()
-                each = [known[w] for w in vocabulary]
-                for w in fresh:
-                    if len(w) > CACHE_LENGTH:
-                        del known[w]
-                lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
-                ids = np.frombuffer(b"".join(each), np.int32)
-                which = coded.indices.to_numpy(zero_copy_only=False)
-                per_word = lengths[which]
-                flat = ids[spread((np.cumsum(lengths) - lengths)[which], per_word)]
-                before = np.concatenate([[0], np.cumsum(per_word)])
-                ends = before[np.cumsum(counts)]
-                flat = np.insert(flat, ends, np.int32(end_id)).astype(np.int32)
-                ends = ends + np.arange(1, len(ends) + 1)
+            for piece in pieces(batch, limit=PIECE_BYTES):
+                flat, ends = encode_texts(piece.column("text"), encoder, end_id)
                 n = np.diff(np.concatenate([[0], ends]))
-                rest = [piece.column(c) for c in piece.schema.names if c != "text"]
                 names = [c for c in piece.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([
-                    *rest, pa.array(np.full(len(n), shard, np.int32)), pa.array(offset + doc_starts(n)), pa.array(n),
+                    *[piece.column(c) for c in names], pa.array(np.full(len(n), shard, np.int32)),
+                    pa.array(offset + doc_starts(n)), pa.array(n),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),
                 ], [*names, "shard", "offset", "n_tokens", "tokens"])
                 offset += int(n.sum())
@@ -75,8 +151,8 @@ def write_tokens(
 ) -> None:
     """Encode ``text`` and write it in ascending ``doc_id`` order.
 
-    ``tokenizer_path`` is read on every executor. The words of a text are encoded one by one and their ids
-    remembered, which equals encoding the text for tokenizers that split at white space and drop it.
+    ``tokenizer_path`` is read on every executor. Words are encoded apart and lower-cased (A-Z), and their ids are
+    remembered; this equals encoding the text for tokenizers that lower-case, split at white space and drop it.
     ``encoding``: "dictionary", or "delta" (binary packed differences). ``metadata``: columns to keep; where one
     is called shard, offset, n_tokens or tokens, it is left out in favour of the file's own.
 
@@ -114,7 +190,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         rows.groupBy("shard").agg(F.sum("n_tokens").alias("_ids"))
         .select("shard", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
     )
-    return rows.join(starts, "shard").withColumn("start", F.col("_before") + F.col("offset")).drop("_before")
+    return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("_before") + F.col("offset")).drop("_before")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
