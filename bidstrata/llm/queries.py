@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidstrata.llm import simhash, token_files
+from bidstrata.llm import decontaminate, mixing, simhash, token_files, toxicity
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,23 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+#: Shares of expected words by language that the mixing query and the pipeline aim at.
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents' language, as the domain to learn."""
+    return load(spark, sf_dir, "labels").select("doc_id").join(
+        load(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS domain"), "doc_id")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates, _ = mixing.mixing_rates(
+        load(spark, sf_dir, "documents"), labelled_languages(spark, sf_dir), LANGUAGE_WEIGHTS)
+    return rates.select("doc_id", "n_words", "posteriors", "rate")
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
@@ -26,6 +43,51 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, public_tokenizers.path("word_bpe_49k.json"), 1, metadata=["lang", "source"])
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+ORACLES["op9_decontamination"] = r"""
+WITH item AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i + 12], ' ') AS phrase, ws[i:i + 12] AS words, least(13, len(ws)) AS n
+  FROM item, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), word AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split
+), run AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER s AS phrase, count(*) OVER s AS n
+  FROM word WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), short AS (
+  SELECT DISTINCT phrase, n, unnest(words) AS w, unnest(range(0, n)) AS k FROM win WHERE n < 13
+), hit AS (
+  SELECT doc_id, i, phrase, 13 AS n FROM run WHERE n = 13 AND phrase IN (SELECT phrase FROM win WHERE n = 13)
+  UNION ALL
+  SELECT doc_id, i - k, phrase, short.n FROM word JOIN short USING (w) GROUP BY doc_id, i - k, phrase, short.n HAVING count(*) = short.n
+), words AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN win USING (phrase)) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM split LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
