@@ -145,7 +145,7 @@ def fit_label_model(votes: np.ndarray, anchor: int, rounds: int = 25) -> tuple[n
     return y, right.sum(0) / np.maximum(cast.sum(0), 1), rho
 
 
-def _fit_linear(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, width: int, l2: float = 0.5) -> tuple[np.ndarray, float]:
+def _fit_linear(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, width: int, l2: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression of soft labels on the presence of terms (``rows``, ``terms``: where), by Nesterov steps."""
     w, b = np.zeros(width), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     # A diagonal bound on the curvature: a row's terms per column.
