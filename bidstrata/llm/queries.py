@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidstrata.llm import decontaminate, mixing, simhash, token_files, toxicity
+from bidstrata.llm import decontaminate, mixing, passages, simhash, token_files, toxicity
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,33 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_passages"] = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), word AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM split
+), run AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER s AS phrase, count(*) OVER s AS n
+  FROM word WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), again AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS nth FROM run WHERE n = 20) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM again, range(0, 20) AS t(k)
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
