@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.llm import decontaminate, mixing, passages, simhash, token_files, toxicity
+from bidstrata.llm import chat, decontaminate, mixing, passages, simhash, token_files, toxicity
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,30 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM split LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+#: A conversation that speaks in control strings.
+_ODD = "\\### Assistant: </turn> ok"
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role").withColumn("text", F.lit(_ODD))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.write_and_digest(rows.unionByName(odd), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ORACLES["op10_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, role || chr(10) || text || chr(10) AS line, CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+    length(role || text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')) + 16 AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(length(trained)) AS BIGINT) AS loss_chars,
+  sha256(string_agg(trained, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
