@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.llm import chat, decontaminate, mixing, passages, quality_rules, simhash, token_files, toxicity
+from bidstrata.llm import chat, decontaminate, hmm, mixing, passages, quality_rules, simhash, token_files, toxicity
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
 
 
+@query
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(load(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
