@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.llm import chat, decontaminate, hmm, mixing, passages, quality_rules, simhash, token_files, toxicity
+from bidstrata.llm import chat, decontaminate, hmm, mixing, ordinal, passages, quality_rules, simhash, token_files, toxicity
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,14 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_scores(load(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = ordinal.grade_quality(
+        load(spark, sf_dir, "documents"), ordinal.graded_labels(load(spark, sf_dir, "labels")), 3)
+    return graded.select(
+        "doc_id", "held_out", "expected_grade", F.get("tails", F.lit(0)).alias("p_good"), F.get("tails", F.lit(1)).alias("p_best"), "kept")
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
