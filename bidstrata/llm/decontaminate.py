@@ -33,6 +33,7 @@ class Index:
     windows: DataFrame
     items: DataFrame
     postings: DataFrame
+    n_windows: int
 
 
 def _split(text: Column) -> Column:
@@ -102,13 +103,13 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         .select("term", "doc_id", "text_hash", "place", F.slice("ws", first, 2 * window - 1).alias("near"),
                 (first - 1).alias("at"))
     )
-    return Index(lengths, windows, items, postings)
+    return Index(lengths, windows, items, postings, windows.count())
 
 
 def _lists(index: Index, nth: int, *columns: str) -> DataFrame:
     """Postings of each window's first or second search term, and where the window would start."""
     wanted = index.windows.where(f"term{nth} IS NOT NULL").withColumnRenamed(f"term{nth}", "term")
-    return index.postings.join(wanted, "term").select(
+    return index.postings.join(_small(wanted, index.n_windows), "term").select(
         "phrase", "length", "doc_id", "text_hash", (F.col("place") - F.col(f"offset{nth}")).alias("start"), *columns)
 
 

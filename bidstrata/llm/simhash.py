@@ -23,6 +23,8 @@ from bidstrata.llm.common import doc_starts, lower_ascii, pieces, settled, split
 from bidstrata.llm.components import least_reachable
 
 THRESHOLD = 3
+#: Rows to remove are broadcast up to so many, and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: An anchor with more homes than this (or than a 100,000th of all) is split further; see ``_split_hot``.
 HOT_HOMES, MAX_HOT = 4_096, 100_000
 
@@ -78,15 +80,17 @@ def fingerprint_texts(texts: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long, and what tells rows of one doc_id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 fp = fingerprint_texts(piece.column("text"), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    long = T.LongType()
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text_hash", long), T.StructField("fp", long)]))
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -214,6 +218,16 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return links.distinct()
 
 
+def _classes(rows: DataFrame, **least) -> DataFrame:
+    """(fp, root, *least): each distinct fingerprint's component, and aggregates of ``rows`` over the component, each
+    given as a function of the column to take the least of."""
+    classes = settled(rows.groupBy("fp").agg(*[F.min(c).alias(n) for n, c in least.items()]))  # equal ones meet here
+    roots = least_reachable(fingerprint_links(classes))
+    placed = classes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    over = placed.groupBy("root").agg(*[F.min(n).alias(n) for n in least])
+    return placed.select("fp", "root").join(over, "root")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id linked directly or through others.
 
@@ -222,9 +236,21 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     the least one unless its component has no other. An empty table gives no rows. Other columns are ignored.
     """
     rows = settled(fingerprints(docs, shingle))
-    classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))  # equal fingerprints meet here
-    roots = least_reachable(fingerprint_links(classes))
-    placed = classes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = _classes(rows, component_id=F.col("doc_id"))
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (null ones last), then of the least hash of its
+    text. Rows alike in doc_id and text are copies, of which one stays. All columns are kept."""
+    rows = settled(fingerprints(docs, shingle))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    gone = settled(
+        rows.join(_classes(rows, first=key), "fp").where(~key.eqNullSafe(F.col("first")))
+        .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    n = gone.count()
+    left = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (
+        F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    copies = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if copies else left
