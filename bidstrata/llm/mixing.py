@@ -54,6 +54,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS,
     if len(share) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     names = tuple(share)
+    if not names:
+        return DomainModel((), (), docs.sparkSession.range(0).select(F.col("id").cast("int").alias("bucket")))
     taught = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # about fit_rows rows
     words = taught.select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''")
     counts = words.groupBy(_bucket(F.col("word"), buckets).alias("bucket"), "domain").agg(F.count("*").alias("n"))
@@ -63,9 +65,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS,
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(by_bucket, "bucket", "left")
     scores = [
         F.log((F.coalesce(F.col(f"n{k}"), F.lit(0)) + 0.5) / F.lit(totals.get(d, 0) + 0.5 * buckets)) for k, d in enumerate(names)]
-    mean = sum(scores[1:], scores[0]) / len(names) if names else None
+    mean = sum(scores[1:], scores[0]) / len(names)
     table = every.select("bucket", *[(s - mean).alias(f"s{k}") for k, s in enumerate(scores)])
-    known = sum(share.values()) or 1
+    known = sum(share.values())
     return DomainModel(names, tuple(math.log(n / known) for n in share.values()), settled(table))
 
 
@@ -182,9 +184,9 @@ def mixing_rates(
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs`` with each row repeated floor(rate) or one more times, the latter with the rate's fraction as
     probability, decided by a hash of doc_id and text: the same rows every run."""
-    keys = rates.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rate")
-    joined = docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("_id"), F.col("_hash")), F.lit(1 << 20)) / float(1 << 20)
-    times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("_times", times).where("_times > 0").withColumn(
-        "_nth", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    keys = rates.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("rate").alias("_mix_rate"))
+    joined = docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (F.xxhash64(docs["text"]) == F.col("_mix_hash")))
+    rate = F.col("_mix_rate")
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("_mix_id"), F.col("_mix_hash")), F.lit(1 << 20)) / float(1 << 20)
+    times = (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    return joined.withColumn("_mix_times", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])

@@ -88,7 +88,7 @@ class WordEncoder:
         stems, ids, fresh = [], [], {}
         for w in words:
             stem = w.rstrip(_TAIL)
-            if not stem or not stem[-1].isalpha():
+            if not stem or not stem[-1].isalpha() or not stem[-1].lower()[-1].isalpha():  # İ ends in a mark lower-cased
                 stem = w
             got = young.get(stem)
             if got is None and stem not in fresh:
