@@ -27,13 +27,14 @@ def unique_units(units: DataFrame, key: str = "DUID") -> DataFrame:
 
 
 def with_units(bids: DataFrame, units: DataFrame, how: str = "left", key: str = "DUID") -> DataFrame:
-    """Attach the unit map and ``bidder_category``. ``how='inner'`` keeps only mapped units."""
-    return bids.join(units, key, how).withColumn("bidder_category", unit_category())
+    """Attach the unit map and ``bidder_category``. ``how='inner'`` keeps only mapped units. Here as in every join with a
+    map of units, a unit listed twice is an error."""
+    return bids.join(unique_units(units, key), key, how).withColumn("bidder_category", unit_category())
 
 
 def battery_fleet(units: DataFrame) -> DataFrame:
     """The batteries of the unit map with ``is_autobidder``."""
-    return units.where(is_battery()).select("DUID", is_autobidder().alias("is_autobidder"))
+    return unique_units(units).where(is_battery()).select("DUID", is_autobidder().alias("is_autobidder"))
 
 
 def align_detail(qty: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def price_quantity_panel(
     """Quantity detail with the prices of its offer version, optionally with the unit's ``dispatch_type``."""
     panel = qty.join(price, list(keys), "inner")
     if units is not None:
-        panel = panel.join(units.select("DUID", F.col("DISPATCHTYPE").alias("dispatch_type")), "DUID", "left")
+        panel = panel.join(unique_units(units.select("DUID", F.col("DISPATCHTYPE").alias("dispatch_type"))), "DUID", "left")
     return panel
 
 
@@ -90,13 +91,13 @@ def applied_offers(
 
 def with_region(df: DataFrame, unit_summary: DataFrame) -> DataFrame:
     """Attach the region a unit is registered in."""
-    return df.join(unit_summary.select("DUID", "REGIONID"), "DUID", "left")
+    return df.join(unique_units(unit_summary.select("DUID", "REGIONID")), "DUID", "left")
 
 
 def offer_in_force(
     intervals: DataFrame, offers: DataFrame, keys: Sequence[str] = ("DUID", "BIDTYPE"),
     interval_time: str = "SETTLEMENTDATE", offer_time: str = OFFER_TIME, cols: Sequence[str] = (),
-    tiebreak: str | None = None,
+    tiebreak: str | None = None, split_rows: int | None = None,
 ) -> DataFrame:
     """For each interval the latest offer made before it (at the same instant is too late), where dispatch
     tracking is missing. Adds ``offer_ts`` and ``cols`` of that offer, null where none was made yet.
@@ -118,7 +119,7 @@ def offer_in_force(
         allowMissingColumns=True,
     )
     # An interval sorts ahead of offers of its own instant.
-    filled = last_known(both, keys, ["_t", "_kind", "_tie"], F.col("_offer"), "_in_force")
+    filled = last_known(both, keys, ["_t", "_kind", "_tie"], F.col("_offer"), "_in_force", split_rows)
     return filled.where(F.col("_kind") == 0).select(
         *keys, *[F.col(f"_row.{c}").alias(c) for c in kept],
         F.col("_in_force.offer_ts").alias("offer_ts"), *[F.col(f"_in_force.{c}").alias(c) for c in cols],

@@ -38,7 +38,7 @@ def fcas_revenue(
 
 def cumulative_energy(
     load: DataFrame, keys: Sequence[str] = ("DUID",), order: Sequence[str] = ("SETTLEMENTDATE",),
-    mw: Column | str = "MW", efficiency: float = 1.0,
+    mw: Column | str = "MW", efficiency: float = 1.0, split_rows: int | None = None,
 ) -> DataFrame:
     """Running energy taken in, in MWh, as a stand-in for state of charge.
 
@@ -46,4 +46,4 @@ def cumulative_energy(
     """
     flow = F.col(mw) if isinstance(mw, str) else mw
     stored = F.when(flow < 0, -flow * efficiency).otherwise(-flow) * HOURS
-    return running_sums(load, keys, order, {"cumulative_mwh": stored})
+    return running_sums(load, keys, order, {"cumulative_mwh": stored}, split_rows)

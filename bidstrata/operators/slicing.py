@@ -1,14 +1,14 @@
 """Ordered computations that stay parallel when one group holds a large share of all rows.
 
-A window over (keys; order) puts each group into one task. Here a group larger than ``SPLIT_ROWS`` is cut
+A window over (keys; order) puts each group into one task. Here a group larger than ``split_rows`` is cut
 into time (or value) slices: the window runs per (keys, slice), and what a slice needs from the ones before
 it — a last row, a row count, a running sum — is summarised per slice by an ordinary aggregation, prefixed
 over the slices of the group, and joined back. Slices only decide where a row is computed; results are those
 of the plain window. Ordinary groups have no slice and cost one narrow count.
 
-The list of groups to cut is broadcast. Its size is bounded by construction: the ``MAX_HOT_GROUPS`` largest,
-so a group left whole holds at most ``SPLIT_ROWS`` rows or less than 1/MAX_HOT_GROUPS of all rows. How finely a
-group is cut depends on how many rows it has, never on which rows are kept.
+The list of groups to cut is broadcast. Arithmetic bounds it: a listed group holds more than a ``MAX_HOT_GROUPS``-th
+of all rows, so there are fewer than that. How finely a group is cut depends on how many rows it has, never on which
+rows are kept. A group is one struct column, ``_key``, which is never null even where its parts are.
 """
 
 from __future__ import annotations
@@ -21,31 +21,46 @@ from pyspark.sql import types as T
 
 from bidstrata.functions.periods import has_position, position
 
+#: Default of ``split_rows``: rows a group may have before it is cut.
 SPLIT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 100_000
 MAX_SLICES = 65_536
 
-SLICE = "_slice"
+KEY, SLICE = "_key", "_slice"
 
 
-def _largest(groups: DataFrame, keys: Sequence[str], keep: Sequence[str], parts: str) -> DataFrame:
-    """The biggest of the groups over ``SPLIT_ROWS``, at most ``MAX_HOT_GROUPS``, and into how many slices to cut
-    each. Groups lacking a key stay whole: the equality join in ``carry_in`` would skip them."""
-    biggest = groups.where(f"_rows > {SPLIT_ROWS}").orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_GROUPS)
-    return biggest.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).selectExpr(
-        *[f"`{k}` AS `_key_{k}`" for k in keys], *keep,
-        f"least({MAX_SLICES}, ceil(_rows * 4 / {SPLIT_ROWS})) AS {parts}")
+def _largest(groups: DataFrame, by: Sequence[str], keep: Sequence[str], parts: str, split_rows: int) -> DataFrame:
+    """The groups over ``split_rows`` and over a ``MAX_HOT_GROUPS``-th of all rows, and into how many slices to cut
+    each."""
+    total = groups.agg(F.sum("_rows")).scalar()
+    biggest = groups.where((F.col("_rows") > split_rows) & (F.col("_rows") > total / MAX_HOT_GROUPS))
+    return biggest.selectExpr(
+        *[f"`{k}` AS `_hot{k}`" for k in by], *keep,
+        f"least({MAX_SLICES}, ceil(_rows * 4 / {split_rows})) AS {parts}")
 
 
-def _attach(df: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _attach(df: DataFrame, listed: DataFrame, by: Sequence[str]) -> DataFrame:
     # Null-safe, so that Spark infers no key filter on this side and can read a common input once.
-    return df.join(F.broadcast(listed), F.expr(" AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)), "left")
+    return df.join(F.broadcast(listed), F.expr(" AND ".join(f"`{k}` <=> `_hot{k}`" for k in by)), "left")
+
+
+def _placeable(kind: T.DataType) -> bool:
+    return has_position(kind) or isinstance(kind, T.StringType)
+
+
+def _place(kind: T.DataType, name: str) -> str:
+    """SQL for a number that never falls along the column. Of text, the first six bytes."""
+    if isinstance(kind, T.StringType):
+        return f"cast(conv(rpad(left(hex(cast(left(`{name}`, 6) AS binary)), 12), 12, '0'), 16, 10) AS bigint)"
+    return position(kind, name)
 
 
 def _nth(kind: T.DataType, col: str, low: str, high: str, parts: str) -> str:
     """Which of ``parts`` equal widths between ``low`` and ``high`` a row lies in; a null sorts first, so 0."""
-    at, lo, hi = (f"cast({position(kind, c)} AS double)" for c in (col, low, high))
-    return f"least({parts} - 1, floor(coalesce(({at} - {lo}) / ({hi} - {lo}), 0D) * {parts}))"
+    if not _placeable(kind):
+        return "0L"
+    at, lo, hi = (f"cast({_place(kind, c)} AS double)" for c in (col, low, high))
+    return f"least({parts} - 1, floor(coalesce(try_divide({at} - {lo}, {hi} - {lo}), 0D) * {parts}))"
 
 
 def _oversized(totals: Iterable[str]) -> str:
@@ -56,111 +71,116 @@ def _oversized(totals: Iterable[str]) -> str:
 
 def slice_hot_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column] | None = None,
-    shared: str | None = None,
+    shared: str | None = None, split_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``_slice``: null in ordinary groups, rising along ``order`` in oversized ones, and ``_parts``, set in
-    the latter, which ``carry_in`` consumes.
+    """Add ``_key``, the group; ``_slice``: null in ordinary groups, rising along ``order`` in oversized ones; and
+    ``_parts``, set in the latter, which ``carry_in`` consumes.
 
-    A group is cut into equal widths of the first order column. A slice that is still oversized, because rows
-    crowd there, is cut again within its own range, or along the second order column if it is a single instant.
+    A group is cut into equal widths of the first order column, a time, number or text. A slice that is still
+    oversized, because rows crowd there, is cut again within its own range, or along the second order column if it is a
+    single instant or has no time at all. Only rows that tie on both columns stay together.
 
     ``totals`` are whole-group aggregates, never null, to attach to the rows of oversized groups (null elsewhere).
     ``shared`` names a non-null column aggregated by the shuffle that makes ``df``: with every branch using it, the
-    branches have that shuffle in common and it runs once.
+    branches have that shuffle in common and it runs once. ``split_rows`` defaults to ``SPLIT_ROWS``.
     """
-    keys, totals, schema = list(keys), dict(totals or {}), df.schema
+    totals, split_rows = dict(totals or {}), split_rows or SPLIT_ROWS
+    df = df.withColumn(KEY, F.struct(*keys))
+    schema = df.schema
     first, kind = order[0], schema[order[0]].dataType
     hot = _largest(
-        df.groupBy(*keys).agg(
+        df.groupBy(KEY).agg(
             F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
             *[c.alias(n) for n, c in totals.items()],
-        ), keys, ["_lo", "_hi", *totals], "_parts")
+        ), [KEY], ["_lo", "_hi", *totals], "_parts", split_rows)
     nth = _nth(kind, first, "_lo", "_hi", "_parts")
-    cut = _attach(df, hot, keys).select(*schema.names, *totals, "_parts", F.expr(
+    cut = _attach(df, hot, [KEY]).select(*schema.names, *totals, "_parts", F.expr(
         f"CASE WHEN _parts IS NOT NULL THEN CASE WHEN _hi > _lo THEN {nth} ELSE 0L END END").alias(SLICE))
 
-    second = order[1] if len(order) > 1 and has_position(schema[order[1]].dataType) else first
+    second = order[1] if len(order) > 1 and _placeable(schema[order[1]].dataType) else first
     crowded = _largest(
-        cut.where(_oversized(totals)).groupBy(*keys, SLICE).agg(
+        cut.where(_oversized(totals)).groupBy(KEY, SLICE).agg(
             F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
             F.expr(f"count_if(`{first}` IS NULL)").alias("_untimed"),
-            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"), F.max(shared or first).alias("_shared"),
-        ).where("_shared IS NOT NULL"),
-        [*keys, SLICE], ["_lo", "_hi", "_untimed", "_lo2", "_hi2"], "_again")
+            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"), F.count(shared or first).alias("_shared"),
+        ).where("_shared >= 0"),
+        [KEY, SLICE], ["_rows AS _crowd", "_lo", "_hi", "_untimed", "_lo2", "_hi2"], "_again", split_rows)
     in_range = _nth(kind, first, "_lo", "_hi", "_again")
     in_instant = _nth(schema[second].dataType, second, "_lo2", "_hi2", "_again")
     zoom = F.expr(
         f"{SLICE} * {MAX_SLICES} + coalesce(CASE WHEN _again IS NULL THEN 0L WHEN _hi > _lo THEN {in_range} "
-        f"WHEN _untimed = 0 AND _hi2 > _lo2 THEN {in_instant} END, 0L)")
-    return _attach(cut, crowded, [*keys, SLICE]).select(*schema.names, *totals, "_parts", zoom.alias(SLICE))
+        f"WHEN _untimed IN (0, _crowd) AND _hi2 > _lo2 THEN {in_instant} END, 0L)")
+    return _attach(cut, crowded, [KEY, SLICE]).select(*schema.names, *totals, "_parts", zoom.alias(SLICE))
 
 
 def carry_in(
-    sliced: DataFrame, keys: Sequence[str], summary: Mapping[str, Column], prefix: Mapping[str, Column],
-    totals: Sequence[str] = (),
+    sliced: DataFrame, summary: Mapping[str, Column], prefix: Mapping[str, Column], totals: Sequence[str] = (),
 ) -> DataFrame:
     """Attach to every row of a sliced group what the earlier slices of the group add up to.
 
     ``summary`` aggregates one slice; ``prefix`` maps a new column to an expression over those summaries,
     evaluated in ``slices_before``/``slice_order`` windows. Null in ordinary groups and in first slices.
     """
-    tails = (
-        sliced.where(_oversized(totals))
-        .groupBy(*keys, SLICE)
-        .agg(*[c.alias(n) for n, c in summary.items()])
-    )
-    carried = tails.select(*keys, SLICE, *[c.alias(n) for n, c in prefix.items()])
+    tails = sliced.where(_oversized(totals)).groupBy(KEY, SLICE).agg(*[c.alias(n) for n, c in summary.items()])
+    carried = tails.select(KEY, SLICE, *[c.alias(n) for n, c in prefix.items()])
     # Stated, because an input already hashed on the keys would satisfy the window as it is, slices unspread.
-    spread = sliced.drop("_parts").repartition(*keys, SLICE)
-    return spread.join(carried, [*keys, SLICE], "left")
+    spread = sliced.drop("_parts").repartition(KEY, SLICE)
+    return spread.join(carried, [KEY, SLICE], "left")
+
 
+def slice_order() -> WindowSpec:
+    return Window.partitionBy(KEY).orderBy(SLICE)
 
-def slice_order(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(SLICE)
 
+def slices_before() -> WindowSpec:
+    return slice_order().rowsBetween(Window.unboundedPreceding, -1)
 
-def slices_before(keys: Sequence[str]) -> WindowSpec:
-    return slice_order(keys).rowsBetween(Window.unboundedPreceding, -1)
 
+def whole_slice() -> WindowSpec:
+    return Window.partitionBy(KEY, SLICE)
 
-def within(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
+def within(order: Sequence[str]) -> WindowSpec:
+    return whole_slice().orderBy(*order)
 
-def up_to_here(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return within(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def up_to_here(order: Sequence[str]) -> WindowSpec:
+    return within(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], split_rows: int | None = None,
+) -> DataFrame:
     """Running totals along ``order`` within ``keys``; ``order`` must be a total order. Nulls add nothing, and
     a total is null until the first value."""
     inputs = {n: f"_in_{n}" for n in sums}
-    df = slice_hot_groups(df.withColumns({inputs[n]: c for n, c in sums.items()}), keys, order)
+    df = slice_hot_groups(df.withColumns({inputs[n]: c for n, c in sums.items()}), keys, order, split_rows=split_rows)
     df = carry_in(
-        df, keys,
+        df,
         {f"_sum_{n}": F.sum(inputs[n]) for n in sums},
-        {f"_carried_{n}": F.sum(f"_sum_{n}").over(slices_before(keys)) for n in sums},
+        {f"_carried_{n}": F.sum(f"_sum_{n}").over(slices_before()) for n in sums},
     )
-    here = {n: F.sum(inputs[n]).over(up_to_here(keys, order)) for n in sums}
+    here = {n: F.sum(inputs[n]).over(up_to_here(order)) for n in sums}
     df = df.withColumns(here)
     carried = {n: F.col(f"_carried_{n}") for n in sums}
     return df.withColumns({
         n: F.coalesce(F.col(n) + carried[n], F.col(n), carried[n]) for n in sums
-    }).drop(*inputs.values(), *[f"_carried_{n}" for n in sums], SLICE)
+    }).drop(*inputs.values(), *[f"_carried_{n}" for n in sums], KEY, SLICE)
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], name: str, first: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], name: str, first: str,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Struct of ``cols`` from the row before along ``order`` (``name``) and whether there is none (``first``)."""
     row = F.struct(*cols)
-    df = slice_hot_groups(df, keys, order)
+    df = slice_hot_groups(df, keys, order, split_rows=split_rows)
     df = carry_in(
-        df, keys,
+        df,
         {"_last": F.max_by(row, F.struct(*order))},
-        {"_carried": F.lag("_last").over(slice_order(keys))},
+        {"_carried": F.lag("_last").over(slice_order())},
     )
-    w = within(keys, order)
+    w = within(order)
     opens = F.row_number().over(w) == 1
     return (
         df.withColumns({"_opens": opens, "_before": F.lag(row).over(w)})
@@ -168,20 +188,21 @@ def previous_row(
             name: F.when(F.col("_opens"), F.col("_carried")).otherwise(F.col("_before")),
             first: F.col("_opens") & F.col("_carried").isNull(),
         })
-        .drop("_opens", "_before", "_carried", SLICE)
+        .drop("_opens", "_before", "_carried", KEY, SLICE)
     )
 
 
 def last_known(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` up to and including each row along ``order``; ``order`` must be total."""
-    df = slice_hot_groups(df.withColumn("_v", value), keys, order)
+    df = slice_hot_groups(df.withColumn("_v", value), keys, order, split_rows=split_rows)
     known = F.col("_v").isNotNull()
     df = carry_in(
-        df, keys,
+        df,
         {"_last": F.max_by("_v", F.when(known, F.struct(*order)))},
-        {"_carried": F.last("_last", ignorenulls=True).over(slices_before(keys))},
+        {"_carried": F.last("_last", ignorenulls=True).over(slices_before())},
     )
-    here = F.last("_v", ignorenulls=True).over(up_to_here(keys, order))
-    return df.withColumn(name, F.coalesce(here, F.col("_carried"))).drop("_v", "_carried", SLICE)
+    here = F.last("_v", ignorenulls=True).over(up_to_here(order))
+    return df.withColumn(name, F.coalesce(here, F.col("_carried"))).drop("_v", "_carried", KEY, SLICE)

@@ -17,7 +17,7 @@ from bidstrata.functions.units import autobidder_label
 from bidstrata.operators.bands import band_number, bands_long
 from bidstrata.operators.joins import share_within
 from bidstrata.operators.slicing import (
-    SLICE, carry_in, slice_hot_groups, slices_before, up_to_here,
+    carry_in, slice_hot_groups, slices_before, up_to_here, whole_slice,
 )
 from bidstrata.schema import AUCTION, PERIOD, PRICE_BANDS
 
@@ -78,7 +78,9 @@ def compact(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_w"))
 
 
-def _ranked(df: DataFrame, by: Sequence[str], col: str, mean: bool = False) -> DataFrame:
+def _ranked(
+    df: DataFrame, by: Sequence[str], col: str, mean: bool = False, split_rows: int | None = None
+) -> DataFrame:
     """Distinct values with the group's size ``_n`` (and ``_mean``) and the rows up to and with each value,
     ``_upto``. The group is one struct column, ``_g``: it is never null, so no branch of the plan adds a key
     filter of its own and all of them read one counting shuffle."""
@@ -86,13 +88,13 @@ def _ranked(df: DataFrame, by: Sequence[str], col: str, mean: bool = False) -> D
     values = compact(df.select(F.struct(*by).alias("_g"), col), key, col).withColumn("_xw", x * F.col("_w"))
     summed = ["_w", "_xw"] if mean else ["_w"]
     values = slice_hot_groups(values, key, [col], totals={f"_all{c}": F.sum(c) for c in summed},
-                              shared="_w")
-    values = carry_in(values, key, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before(key))},
+                              shared="_w", split_rows=split_rows)
+    values = carry_in(values, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before())},
                       totals=[f"_all{c}" for c in summed])
     # An oversized group brings its totals along; in any other the window sees the whole group.
-    whole = {c: F.coalesce(F.col(f"_all{c}"), F.sum(c).over(Window.partitionBy("_g", SLICE))) for c in summed}
+    whole = {c: F.coalesce(F.col(f"_all{c}"), F.sum(c).over(whole_slice())) for c in summed}
     means = [(whole["_xw"] / whole["_w"]).alias("_mean")] if mean else []
-    upto = F.sum("_w").over(up_to_here(key, [col])) + F.coalesce(F.col("_carried"), F.lit(0))
+    upto = F.sum("_w").over(up_to_here([col])) + F.coalesce(F.col("_carried"), F.lit(0))
     return values.select("_g", col, "_w", whole["_w"].alias("_n"), *means, upto.alias("_upto"))
 
 
@@ -112,16 +114,17 @@ def _picks(col: str, probs: Mapping[str, float]) -> tuple[list[Column], list[Col
 
 def quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], n_distinct: str | None = None,
-    method: str = "ranked",
+    method: str = "ranked", split_rows: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``col`` per group: one column per entry of ``probs``.
 
     ``ranked`` works on distinct values and their counts: running counts give every value its ranks, and the two
     values beside each wanted rank are picked by an ordinary aggregation. ``histogram`` hands the counted values to
-    ``percentile``, which is cheaper and fit for columns of counts.
+    ``percentile``, which is cheaper and fit for columns of counts. A group of more than ``split_rows`` distinct values
+    (``slicing.SPLIT_ROWS`` if not given) is ranked in slices.
     """
     if not by:
-        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct, method).drop("_g")
+        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct, method, split_rows).drop("_g")
     by = list(by)
     distinct = [F.count("*").alias(n_distinct)] if n_distinct else []
     if method == "histogram":
@@ -132,7 +135,7 @@ def quantiles(
     if method != "ranked":
         raise ValueError(f"unknown method {method!r}")
     picks, outs = _picks(col, probs)
-    found = _ranked(df, by, col).groupBy("_g").agg(*picks, *distinct)
+    found = _ranked(df, by, col, split_rows=split_rows).groupBy("_g").agg(*picks, *distinct)
     return found.select("_g.*", *outs, *([n_distinct] if n_distinct else []))
 
 

@@ -12,10 +12,10 @@ N_BANDS = 10
 PRICE_BANDS = [f"PRICEBAND{i}" for i in range(1, N_BANDS + 1)]
 QUANTITY_BANDS = [f"BANDAVAIL{i}" for i in range(1, N_BANDS + 1)]
 
-SERVICES = [
-    "LOWER1SEC", "LOWER5MIN", "LOWER60SEC", "LOWER6SEC", "LOWERREG",
-    "RAISE1SEC", "RAISE5MIN", "RAISE60SEC", "RAISE6SEC", "RAISEREG",
-]
+SERVICES = sorted([
+    "RAISE1SEC", "RAISE6SEC", "RAISE60SEC", "RAISE5MIN", "RAISEREG",
+    "LOWER1SEC", "LOWER6SEC", "LOWER60SEC", "LOWER5MIN", "LOWERREG",
+])
 ENERGY = "ENERGY"
 
 AUTOBIDDER_BATTERY = "Autobidder Battery"
@@ -30,19 +30,17 @@ VIRTUAL_PLANTS = ["VSSEL1V1"]
 # battery bids a GEN and a LOAD side under the same unit and service.
 AUCTION = ["DUID", "BIDTYPE", "DIRECTION", "SETTLEMENTDATE"]
 OFFER_TIME = "OFFERDATE"
+# What settles offers of one instant, before their bands.
+TIEBREAKS = ["VERSIONNO", "REFERENCE_ID"]
 PERIOD = "PERIODID"
 
 # Leading columns of every archive line: record type, package, table name, table version.
 LINE_PREFIX = ["REC", "PACKAGE", "TABLENAME", "TABLEVERSION"]
 
-# --- declared types -------------------------------------------------------------------------------
+# --- declared types (fixed values: names and types of the archive's tables) -------------------------------------------------------------------------------
 # "date" = a market day, "timestamp_ntz" = local market time (the market has no daylight saving).
 
-_PRICE_SERVICES = [
-    "RAISE6SEC", "RAISE60SEC", "RAISE5MIN", "RAISEREG", "LOWER6SEC",
-    "LOWER60SEC", "LOWER5MIN", "LOWERREG", "RAISE1SEC", "LOWER1SEC",
-]
-REGIONAL_PRICES = ["RRP"] + [f"{s}RRP" for s in _PRICE_SERVICES]
+REGIONAL_PRICES = ["RRP", *[f"{s}RRP" for s in SERVICES]]
 
 TABLES: dict[str, list[tuple[str, str]]] = {
     "BIDDAYOFFER": [
@@ -73,6 +71,32 @@ TABLES: dict[str, list[tuple[str, str]]] = {
         ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("REGIONID", "string"), ("INTERVENTION", "int"),
         *[(p, "double") for p in REGIONAL_PRICES],
     ],
+    "DISPATCHLOAD": [
+        ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("DUID", "string"), ("INTERVENTION", "int"),
+        ("INITIALMW", "double"), ("TOTALCLEARED", "double"), *[(s, "double") for s in SERVICES],
+    ],
+    "DISPATCHREGIONSUM": [
+        ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("REGIONID", "string"), ("INTERVENTION", "int"),
+        ("TOTALDEMAND", "double"), ("AVAILABLEGENERATION", "double"), ("DEMANDFORECAST", "double"),
+    ],
+    "DISPATCHCONSTRAINT": [
+        ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("CONSTRAINTID", "string"), ("INTERVENTION", "int"),
+        ("RHS", "double"), ("MARGINALVALUE", "double"), ("VIOLATIONDEGREE", "double"), ("LHS", "double"),
+    ],
+    "DUDETAILSUMMARY": [
+        ("DUID", "string"), ("START_DATE", "timestamp_ntz"), ("END_DATE", "timestamp_ntz"),
+        ("DISPATCHTYPE", "upper"), ("REGIONID", "string"), ("STATIONID", "string"), ("PARTICIPANTID", "string"),
+    ],
+    "DUDETAIL": [
+        ("EFFECTIVEDATE", "timestamp_ntz"), ("DUID", "string"), ("VERSIONNO", "int"), ("REGISTEREDCAPACITY", "double"),
+        ("MAXCAPACITY", "double"), ("DISPATCHTYPE", "upper"),
+    ],
+    "DEMANDOPERATIONALACTUAL": [
+        ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("OPERATIONAL_DEMAND", "double"),
+    ],
+    "DEMANDOPERATIONALFORECAST": [
+        ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("OPERATIONAL_DEMAND_POE50", "double"),
+    ],
 }
 
 # Detail-table names aligned to the header table.
