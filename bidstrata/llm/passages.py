@@ -3,24 +3,26 @@
 A window is 20 consecutive words of a text. A window is repeated if the same word sequence starts earlier: in a text of
 smaller doc_id, or before it in the same text; the words it covers are removed.
 
-Anchors find what may recur: every window holds one six-word phrase of least hash, and equal windows hold the same
-one at the same place, so a window whose anchor phrase occurs once in the corpus occurs once. Texts whose anchors
-recur are read again; the stretches around those anchors (segments, at most 32 words) go to the shard of their anchor.
-Each shard counts whole windows, which confirms passages that really recur, compiles these with pyahocorasick into
-automata of bounded size, and streams its segments through them to locate every occurrence. No text passes through an
-automaton that cannot match it, so work stays in proportion to the texts. Anchors with very many occurrences would fill
-one shard; their windows are aggregated to first occurrences and joined back instead.
+Anchors find what may recur: every window holds one six-word phrase of least hash, and equal windows hold the same one,
+so a window whose anchor phrase occurs once in the corpus occurs once. Texts whose anchors recur are read again; the
+stretches of windows around those anchors (segments, at most 34 words) are aggregated to distinct ones with their
+first occurrence, map side first, so a passage that a third of all texts share is one row. All windows of a segment
+that occurred before are repeated. The distinct segments go to the shard of their anchor, where whole windows are
+counted, which confirms the passages that recur; these are compiled with pyahocorasick into automata of bounded size, and
+the shard's segments stream through them to locate every occurrence. No text passes through an automaton that cannot
+match it, so work stays in proportion to the texts. An anchor with very many distinct segments would fill a shard; its
+windows are aggregated to first occurrences and joined back instead.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 from bidstrata.llm.common import CHUNK_BYTES, doc_starts, pieces, split_words, spread, stored
 
 WINDOW, PHRASE = 20, 6
-#: Occurrences from which an anchor's windows are treated one by one, and rows that a worker locates in together.
-HOT_ANCHOR, GROUP_ROWS = 5_000, 10_000
+#: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together.
+HOT_ANCHOR, GROUP_ROWS = 200_000, 10_000
 #: Patterns in one automaton at most; a shard with more compiles several, one after the other.
 AUTOMATON_PATTERNS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,51 +47,53 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of words, the same on every machine."""
     coded = words.dictionary_encode()
-    table = np.fromiter(
-        (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.cast(pa.binary()).to_pylist()),
-        np.uint64, len(coded.dictionary))
+    digest = xxhash.xxh3_64_intdigest
+    table = np.fromiter(map(digest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
     return table[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
 
 
-def anchors(h: np.ndarray, counts: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For texts of ``counts`` words with hashes ``h``: each stretch of windows that share an anchor, as (text, first
-    window, number of windows, hash of the anchor phrase). Of equal hashes the leftmost is the anchor."""
-    empty = np.zeros(0, np.int64)
-    if len(h) < window:
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    g = np.zeros(len(h) - phrase + 1, np.uint64)
-    for k in range(phrase):
-        g = g * _MIX + h[k:len(h) - phrase + 1 + k]
-    g = _scramble(g)
-    # Sliding minimum over window - phrase + 1 phrases. The low bits make place: of equal hashes the leftmost.
-    span = window - phrase + 1
-    width = len(h) - window + 1
-    best, at = g[:width].copy(), np.zeros(width, np.int8)
-    for k in range(1, span):
-        other = g[k:k + width]
-        less = other < best
-        best[less] = other[less]
-        at[less] = k
+    window, number of windows, hash of the anchor phrase, whether the phrase comes again soon, without which no two
+    windows of the stretch can be equal)."""
+    width = len(h) - WINDOW + 1
+    if width <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    g = np.zeros(len(h) - PHRASE + 1, np.uint64)
+    for k in range(PHRASE):
+        g = g * _MIX + h[k:len(h) - PHRASE + 1 + k]
+    # The low four bits tell the 15 phrases of a window apart; which of equal phrases is taken does not matter.
+    g = (_scramble(g) & ~np.uint64(15)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(15))
+    span, reach = WINDOW - PHRASE + 1, 1
+    least = g
+    while 2 * reach <= span:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    least = np.minimum(least[:width], least[span - reach:span - reach + width])
     starts = doc_starts(counts)
     owner = np.repeat(np.arange(len(counts)), counts)[:width]
-    inside = np.arange(width) + window <= (starts + counts)[owner]
-    where = np.flatnonzero(inside)
-    if not len(where):
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    anchor = where + at[where]
+    where = np.flatnonzero(np.arange(width) + WINDOW <= (starts + counts)[owner])
+    least = least[where]
+    anchor = where + ((least.astype(np.int64) - where) & 15)
     new = np.ones(len(where), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(where) != 1)
     first = np.flatnonzero(new)
     run = np.diff(np.concatenate([first, [len(where)]]))
     begin = where[first]
-    return owner[begin], begin - starts[owner[begin]], run, best[begin]
+    phrase, at = g >> np.uint64(4), anchor[first]
+    again = np.zeros(len(first), bool)
+    for k in range(1, span):
+        again |= phrase[np.minimum(at + k, len(phrase) - 1)] == np.where(at + k < len(phrase), phrase[at], ~phrase[at])
+    return owner[begin], begin - starts[owner[begin]], run, phrase[at], again
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
             words, counts = split_words(piece.column("text"))
-            text, _, _, h = anchors(word_hashes(words), counts)
+            text, _, _, h, again = anchors(word_hashes(words), counts)
+            twice = 1 + again  # a stretch may hold equal windows itself
+            text, h = np.repeat(text, twice), np.repeat(h, twice)
             took = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").take(took), piece.column("copy").take(took), pa.array(h.view(np.int64))],
@@ -115,22 +119,23 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array,
 
 
 def _listed(owner: np.ndarray, value: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Which (owner, value) are in the list of their owner."""
+    """Which (owner, value) are in the list of their owner; rarely one that is not, which later steps bear."""
     sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
     of, item = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
-    pairs = np.rec.fromarrays([np.concatenate([of, owner]), np.concatenate([item, value])])
-    _, number = np.unique(pairs, return_inverse=True)
-    return np.isin(number[len(of):], number[:len(of)])
+
+    def key(o, v):
+        return _scramble(v.astype(np.uint64) + o.astype(np.uint64) * _MIX)
+
+    return np.isin(key(owner, value), key(of, item))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of the texts around their recurring anchors."""
     for batch in batches:
         for piece, words, counts in _unpacked(batch):
-            text, begin, run, h = anchors(word_hashes(words), counts)
+            text, begin, run, h, _ = anchors(word_hashes(words), counts)
             keep = np.flatnonzero(_listed(text, h.view(np.int64), piece.column("wanted")))
             text, begin, run, h = text[keep], begin[keep], run[keep], h[keep].view(np.int64)
-            hot = _listed(text, h, piece.column("hot")) if len(text) else np.zeros(0, bool)
             length = run + WINDOW - 1
             ends = np.cumsum(length)
             index = spread(doc_starts(counts)[text] + begin, length)
@@ -138,21 +143,20 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array(np.concatenate([[0], ends]).astype(np.int32)), words.take(pa.array(index))), " ")
             took = pa.array(text)
             yield pa.RecordBatch.from_arrays([
-                piece.column("doc_id").take(took), piece.column("copy").take(took), pa.array(begin), pa.array(h),
-                pa.array(hot), segment,
-            ], ["doc_id", "copy", "start", "anchor", "hot", "segment"])
+                piece.column("doc_id").take(took), piece.column("copy").take(took), pa.array(begin), pa.array(run), pa.array(h),
+                segment,
+            ], ["doc_id", "copy", "start", "windows", "anchor", "segment"])
 
 
-def _locate(rows: list[tuple]) -> list[tuple]:
-    """Runs of repeated windows in segments (doc_id, copy, start, words) sorted by text and place: (doc_id, copy,
-    start, windows).
+def _locate(segments: list[str]) -> list[tuple[int, int, int]]:
+    """Runs of repeated windows in distinct segments, sorted by first occurrence: (which, first window, windows).
 
     Words become single characters of one alphabet, windows strings of 20. What occurs twice is compiled, with its
     first occurrence, and the segments stream through the automaton.
     """
     code: dict[str, str] = {}
     strings = []
-    for _, _, _, segment in rows:
+    for segment in segments:
         coded = []
         for w in segment.split(" "):
             c = code.get(w)
@@ -161,44 +165,39 @@ def _locate(rows: list[tuple]) -> list[tuple]:
                 c = code[w] = chr(n if n < 0xD800 else n + 0x800)
             coded.append(c)
         strings.append("".join(coded))
-    first: dict[str, tuple] = {}
-    recurring: dict[str, tuple] = {}
-    for (doc, copy, start, _), s in zip(rows, strings, strict=True):
+    first: dict[str, int] = {}
+    recurring: dict[str, int] = {}
+    for row, s in enumerate(strings):
         for k in range(len(s) - WINDOW + 1):
             window = s[k:k + WINDOW]
-            seen = first.setdefault(window, (doc, copy, start + k))
-            if seen != (doc, copy, start + k):
+            place = 64 * row + k
+            seen = first.setdefault(window, place)
+            if seen != place:
                 recurring[window] = seen
-    covered: dict[tuple, set[int]] = {}
+    covered: dict[int, set[int]] = {}
     patterns = list(recurring.items())
     for at in range(0, len(patterns), AUTOMATON_PATTERNS):
         automaton = ahocorasick.Automaton()
         for window, seen in patterns[at:at + AUTOMATON_PATTERNS]:
             automaton.add_word(window, seen)
         automaton.make_automaton()
-        for (doc, copy, start, _), s in zip(rows, strings, strict=True):
+        for row, s in enumerate(strings):
             for end, seen in automaton.iter(s):
-                place = start + end - WINDOW + 1
-                if seen != (doc, copy, place):
-                    covered.setdefault((doc, copy), set()).add(place)
+                if seen != 64 * row + end - WINDOW + 1:
+                    covered.setdefault(row, set()).add(end - WINDOW + 1)
     out = []
-    for (doc, copy), places in covered.items():
-        begin = last = None
-        for place in sorted(places):
-            if last is not None and place == last + 1:
-                last = place
-                continue
-            if last is not None:
-                out.append((doc, copy, begin, last - begin + 1))
-            begin = last = place
-        out.append((doc, copy, begin, last - begin + 1))
+    for row, places in covered.items():
+        places = sorted(places)
+        breaks = [k for k in range(1, len(places)) if places[k] != places[k - 1] + 1]
+        out += [(row, places[a], b - a) for a, b in zip([0, *breaks], [*breaks, len(places)], strict=True)]
     return out
 
 
 def _hit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Locate within groups of one anchor, sorted by (anchor, doc_id, copy, start); small groups are done together."""
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*_locate(rows), strict=True)) or [(), (), (), ()]
+        hits = _locate([segment for *_, segment in rows])
+        columns = list(zip(*[(*rows[r][:2], rows[r][2] + k, n) for r, k, n in hits], strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], doc_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["doc_id", "copy", "start", "windows"])
 
@@ -221,56 +220,60 @@ def _hit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, start, windows): runs of repeated windows of ``docs`` (doc_id, copy, text)."""
     doc = docs.schema["doc_id"]
-    long, flag = T.LongType(), T.BooleanType()
+    long = T.LongType()
     rows = stored(docs.mapInArrow(_anchor_rows, T.StructType([
         doc, T.StructField("copy", long), T.StructField("anchor", long)])))
-    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = rows.distinct().join(recurring, "anchor").groupBy("doc_id", "copy").agg(  # no more than a text has words
-        F.collect_list("anchor").alias("wanted"),
-        F.collect_list(F.when(F.col("n") > HOT_ANCHOR, F.col("anchor"))).alias("hot"))
+    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = rows.join(recurring, "anchor").groupBy("doc_id", "copy").agg(  # no more than a text has words
+        F.collect_list("anchor").alias("wanted")).selectExpr("doc_id AS want_id", "copy AS want_copy", "wanted")
     packed = docs.mapInArrow(_pack, T.StructType([doc, T.StructField("copy", long), T.StructField("packed", T.BinaryType())]))
-    wanted = wanted.selectExpr("doc_id AS want_id", "copy AS want_copy", "wanted", "hot")
-    texts = packed.join(wanted, F.expr("doc_id <=> want_id AND copy = want_copy")).select(
-        "doc_id", "copy", "packed", "wanted", "hot")
+    texts = packed.join(wanted, F.expr("doc_id <=> want_id AND copy = want_copy")).select("doc_id", "copy", "packed", "wanted")
     segments = stored(texts.mapInArrow(_segment_rows, T.StructType([
-        doc, T.StructField("copy", long), T.StructField("start", long), T.StructField("anchor", long),
-        T.StructField("hot", flag), T.StructField("segment", T.StringType())])))
-    hits = T.StructType([doc, T.StructField("copy", long), T.StructField("start", long), T.StructField("windows", long)])
-    ordered = segments.where("NOT hot").select("doc_id", "copy", "start", "anchor", "segment").repartition("anchor")
-    cold = ordered.sortWithinPartitions("anchor", "doc_id", "copy", "start").mapInArrow(_hit_rows, hits)
+        doc, *[T.StructField(c, long) for c in ("copy", "start", "windows", "anchor")], T.StructField("segment", T.StringType())
+    ])).withColumn("segment_hash", F.xxhash64("segment")))
 
-    # Anchors of very many occurrences: their windows apart, each window's first occurrence pre-aggregated.
+    # Distinct segments with their first occurrences; anchor and hash, 124 bits, stand for the words.
+    place = F.struct("doc_id", "copy", "start")
+    distinct = stored(segments.groupBy("anchor", "segment_hash").agg(
+        F.min(place).alias("first"), F.min("segment").alias("segment")).select("anchor", "segment_hash", "first.*", "segment"))
+    firsts = distinct.selectExpr("anchor", "segment_hash", "struct(doc_id, copy, start) AS first")
+    copies = segments.select("anchor", "segment_hash", "windows", place.alias("place")).join(
+        firsts, ["anchor", "segment_hash"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "windows")
+
+    hits = T.StructType([doc, *[T.StructField(c, long) for c in ("copy", "start", "windows")]])
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("segments"))
+    hot = sizes.where(f"segments > {HOT_ANCHOR}").select("anchor")
+    any_hot = not hot.isEmpty()
+    cold = distinct.join(hot, "anchor", "left_anti") if any_hot else distinct
+    located = cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "copy", "start").mapInArrow(_hit_rows, hits)
+    found = copies.union(located)
+    if not any_hot:
+        return found
     words = F.split("segment", " ")
-    windows = segments.where("hot").select("doc_id", "copy", "start", words.alias("ws")).select(
+    windows = distinct.join(hot, "anchor").select("doc_id", "copy", "start", words.alias("ws")).select(
         "doc_id", "copy", "start", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - WINDOW)).alias("k")).select(
         "doc_id", "copy", (F.col("start") + F.col("k")).alias("start"),
         F.array_join(F.slice("ws", F.col("k") + 1, WINDOW), " ").alias("window"))
-    place = F.struct("doc_id", "copy", "start")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    warm = windows.join(firsts.drop("n"), "window").where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "copy", "start", F.lit(1).cast("long").alias("windows"))
-    return cold.union(warm)
+    earliest = windows.groupBy("window").agg(F.min(place).alias("first"))
+    return found.union(windows.join(earliest, "window").where(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "copy", "start", F.lit(1).cast("long").alias("windows")))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece, words, counts in _unpacked(batch):
-            runs = piece.column("runs").to_pylist()
-            every = words.cast(pa.binary()).to_pylist()
-            removed, kept = [], []
-            for first, n, some in zip(doc_starts(counts).tolist(), counts.tolist(), runs, strict=True):
-                own = every[first:first + n]
-                if some:
-                    gone = np.zeros(n + 1, np.int64)
-                    for run in some:
-                        gone[run["start"]] += 1
-                        gone[run["start"] + run["windows"] + WINDOW - 1] -= 1
-                    stay = np.flatnonzero(np.cumsum(gone[:n]) == 0).tolist()
-                    own = [own[k] for k in stay]
-                removed.append(n - len(own))
-                kept.append(b" ".join(own).decode())
+            runs = piece.column("runs")
+            sizes = pc.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = runs.flatten()
+            begin = np.repeat(doc_starts(counts), sizes) + flat.field("start").to_numpy(zero_copy_only=False)
+            gone = np.zeros(len(words) + 1, np.int64)
+            np.add.at(gone, begin, 1)
+            np.add.at(gone, begin + flat.field("windows").to_numpy(zero_copy_only=False) + WINDOW - 1, -1)
+            stay = np.cumsum(gone[:-1]) == 0
+            ends = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], np.cumsum(counts)])]
+            kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.filter(pa.array(stay))), " ")
             yield pa.RecordBatch.from_arrays([
-                piece.column("doc_id"), pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
+                piece.column("doc_id"), pa.array(counts), pa.array(counts - np.diff(ends)), kept,
             ], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
