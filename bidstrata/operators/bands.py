@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidstrata.schema import ENERGY, PRICE_BANDS, QUANTITY_BANDS, REGIONAL_PRICES
+from bidstrata.schema import ENERGY, PRICE_BANDS, QUANTITY_BANDS, REGIONAL_PRICES, SERVICES
 
 
 def _long(df: DataFrame, ids: Sequence[str], names: Mapping[str, str], var_name: str, value_name: str) -> DataFrame:
@@ -53,6 +53,16 @@ def regional_prices_long(
     return _long(df, ids, {p: p.removesuffix("RRP") or ENERGY for p in prices}, "BIDTYPE", "PRICE")
 
 
+def dispatch_load_long(
+    df: DataFrame, ids: Sequence[str] = ("SETTLEMENTDATE", "DUID"), services: Sequence[str] = SERVICES,
+    energy: str = "TOTALCLEARED",
+) -> DataFrame:
+    """Unit × interval × service × MW from the wide dispatch table, cleared energy as ENERGY. Services the table lacks
+    and cells without a value have no row."""
+    names = {energy: ENERGY, **{s: s for s in services if s in df.columns}}
+    return _long(df, ids, names, "BIDTYPE", "MW").where("MW IS NOT NULL")
+
+
 def total_mw(bands: Sequence[str] = QUANTITY_BANDS) -> Column:
     total = F.lit(0.0)
     for b in bands:

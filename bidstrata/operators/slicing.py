@@ -115,6 +115,7 @@ def slice_hot_groups(
 
 def carry_in(
     sliced: DataFrame, summary: Mapping[str, Column], prefix: Mapping[str, Column], totals: Sequence[str] = (),
+    keep_parts: bool = False,
 ) -> DataFrame:
     """Attach to every row of a sliced group what the earlier slices of the group add up to.
 
@@ -124,7 +125,7 @@ def carry_in(
     tails = sliced.where(_oversized(totals)).groupBy(KEY, SLICE).agg(*[c.alias(n) for n, c in summary.items()])
     carried = tails.select(KEY, SLICE, *[c.alias(n) for n, c in prefix.items()])
     # Stated, because an input already hashed on the keys would satisfy the window as it is, slices unspread.
-    spread = sliced.drop("_parts").repartition(KEY, SLICE)
+    spread = (sliced if keep_parts else sliced.drop("_parts")).repartition(KEY, SLICE)
     return spread.join(carried, [KEY, SLICE], "left")
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidstrata.functions.periods import position
-from bidstrata.operators.slicing import previous_row, running_sums
+from bidstrata.operators.slicing import (
+    KEY, SLICE, carry_in, previous_row, running_sums, slice_hot_groups, slice_order, slices_before,
+)
 from bidstrata.schema import AUCTION, OFFER_TIME, PERIOD, PRICE_BANDS, QUANTITY_BANDS, TIEBREAKS
 
 DETAIL = [*AUCTION, PERIOD]
@@ -62,6 +64,31 @@ def keep_true_rebids(
     return flagged.where(F.col("is_first") | F.col("is_true_rebid")).drop("is_first", "is_true_rebid")
 
 
+def number_true_rebids(
+    df: DataFrame, keys: Sequence[str] = DETAIL, order: Sequence[str] | None = None,
+    bands: Sequence[str] = QUANTITY_BANDS, null_equal: bool = True, name: str = "version_index",
+    split_rows: int | None = None,
+) -> DataFrame:
+    """``keep_true_rebids`` with the kept offers of an auction numbered 1, 2, 3, …, in one pass: slices are made once
+    and serve both the comparison with the offer before and the numbers."""
+    order = order or default_order(df, bands)
+    row = F.struct(*bands)
+    columns = df.columns
+    sliced = slice_hot_groups(df, keys, order, split_rows=split_rows)
+    sliced = carry_in(
+        sliced, {"_last": F.max_by(row, F.struct(*order))}, {"_carried": F.lag("_last").over(slice_order())}, keep_parts=True)
+    # _parts belongs to the group, so it splits nothing; as a window key it lets the filter below through.
+    here = Window.partitionBy(KEY, SLICE, "_parts").orderBy(*order)
+    sliced = sliced.withColumns({"_opens": F.row_number().over(here) == 1, "_before": F.lag(row).over(here)}).withColumn(
+        "_prev", F.when(F.col("_opens"), F.col("_carried")).otherwise(F.col("_before")))
+    first = F.col("_opens") & F.col("_carried").isNull()
+    kept = sliced.where(first | _differs(bands, "_prev", null_equal)).select(*columns, KEY, SLICE, "_parts")
+    counts = kept.where("_parts IS NOT NULL").groupBy(KEY, SLICE).agg(F.count("*").alias("_kept"))
+    earlier = counts.select(KEY, SLICE, F.sum("_kept").over(slices_before()).alias("_earlier"))
+    numbered = kept.join(earlier, [KEY, SLICE], "left")
+    return numbered.withColumn(name, F.row_number().over(here) + F.coalesce(F.col("_earlier"), F.lit(0))).select(*columns, name)
+
+
 def _latest_first(df: DataFrame, order: Sequence[str]) -> Column:
     """Sort key whose minimum is the latest offer, and among tied times the first by the tiebreak."""
     return F.struct((-F.expr(position(df.schema[order[0]].dataType, order[0]))).alias("_t"), *order[1:])

@@ -1,7 +1,8 @@
 """The analyses a user runs, each a set of named lazy DataFrames built from the operators.
 
 ``bids`` are price headers, ``qty`` quantity detail with the header's column names (``align_detail``), ``units``
-the unit map. Anything that counts per auction is counted before the unit map is joined.
+the unit map. Anything that counts per auction is counted before the unit map is joined. Reports whose outputs share a
+frame take a ``path``: where given, that frame is computed once, written there as Parquet and read by every output.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstrata.functions.checks import band_order_violations, mentions_automation
+from bidstrata.functions.checks import actual_run, band_order_violations, binding, fcas_available, mentions_automation
 from bidstrata.functions.units import ancillary_only, exclude_units
 from bidstrata.operators import bands as b
 from bidstrata.operators import joins as j
@@ -25,6 +26,13 @@ from bidstrata.schema import (
 CATEGORY = s.CATEGORY
 
 
+def _once(df: DataFrame, path: str | None) -> DataFrame:
+    if path is None:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _eligible(df: DataFrame, energy: str) -> DataFrame:
     return ancillary_only(exclude_units(df), energy)
 
@@ -61,7 +69,7 @@ def rebid_report(
 
 
 def true_counts(
-    qty: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] = (OFFER_TIME,),
+    qty: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] | None = None,
     bands: Sequence[str] = QUANTITY_BANDS, energy: str = "ENERGY",
 ) -> DataFrame:
     """True rebids per ancillary-service auction and period."""
@@ -69,11 +77,12 @@ def true_counts(
 
 
 def true_rebid_report(
-    qty: DataFrame, units: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] = (OFFER_TIME,),
+    qty: DataFrame, units: DataFrame, keys: Sequence[str] = (*AUCTION, PERIOD), order: Sequence[str] | None = None,
     bands: Sequence[str] = QUANTITY_BANDS, services: Sequence[str] = SERVICES, energy: str = "ENERGY",
+    path: str | None = None,
 ) -> dict[str, DataFrame]:
     """How often does a rebid really change quantities?"""
-    counts = true_counts(qty, keys, order, bands, energy)
+    counts = _once(true_counts(qty, keys, order, bands, energy), path)
     per_unit = j.with_units(s.unit_market_avg(counts), units)
     return {
         **_count_report(j.with_units(counts, units), "num_true_rebids", services),
@@ -85,7 +94,7 @@ def true_rebid_report(
 
 def rebid_vs_true(
     bids: DataFrame, qty: DataFrame, units: DataFrame, keys: Sequence[str] = AUCTION,
-    order: Sequence[str] = (OFFER_TIME,), bands: Sequence[str] = QUANTITY_BANDS, per_period: bool = True,
+    order: Sequence[str] | None = None, bands: Sequence[str] = QUANTITY_BANDS, per_period: bool = True,
     energy: str = "ENERGY",
 ) -> dict[str, DataFrame]:
     """Which share of rebids are true rebids?"""
@@ -106,11 +115,12 @@ def participation(
 
 
 def initial_price_report(
-    bids: DataFrame, units: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] = (OFFER_TIME,),
+    bids: DataFrame, units: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] | None = None,
     bands: Sequence[str] = PRICE_BANDS, services: Sequence[str] = SERVICES, energy: str = "ENERGY",
+    path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Distribution of the first prices offered, per category, service and band."""
-    first = j.with_units(v.initial_offer(_eligible(bids, energy), keys, order, bands), units)
+    first = _once(j.with_units(v.initial_offer(_eligible(bids, energy), keys, order, bands), units), path)
     long = b.bands_long(first, [CATEGORY, "BIDTYPE", "DUID", "SETTLEMENTDATE"], bands)
     batteries = long.where(F.col(CATEGORY).isin(BATTERY_CATEGORIES))
     by_band = [CATEGORY, "BIDTYPE", "PRICEBAND"]
@@ -129,11 +139,12 @@ def initial_price_report(
 
 
 def price_change_report(
-    bids: DataFrame, units: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] = (OFFER_TIME,),
+    bids: DataFrame, units: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] | None = None,
     bands: Sequence[str] = PRICE_BANDS, services: Sequence[str] = SERVICES, energy: str = "ENERGY",
+    path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Change from the first to the last price of an auction, per category, service and band."""
-    changes = j.with_units(v.price_change(_eligible(bids, energy), keys, order, bands), units)
+    changes = _once(j.with_units(v.price_change(_eligible(bids, energy), keys, order, bands), units), path)
     long = b.changes_long(changes, [CATEGORY, "BIDTYPE", "DUID", "SETTLEMENTDATE"], bands)
     medians = s.quantiles(long, [CATEGORY, "BIDTYPE", "PRICEBAND"], "PRICE_CHANGE", {"median": 0.5})
     overall = s.quantiles(long, [CATEGORY, "PRICEBAND"], "PRICE_CHANGE", {"median": 0.5})
@@ -170,11 +181,11 @@ def daily_band_report(
 
 
 def first_offers(df: DataFrame, unit, service: str, n: int = 10, entry: str | None = "DAILY") -> DataFrame:
-    """The first ``n`` offers of one unit and service by offer time."""
+    """The first ``n`` offers of one unit and service by offer time and its tiebreaks."""
     wanted = (F.col("DUID") == unit) & (F.col("BIDTYPE") == service)
     if entry:
         wanted = wanted & (F.col("ENTRYTYPE") == entry)
-    return df.where(wanted).orderBy(OFFER_TIME).limit(n)
+    return df.where(wanted).orderBy(*v.default_order(df, PRICE_BANDS)).limit(n)
 
 
 def variation_report(
@@ -199,21 +210,21 @@ def price_quantity_export(
     """Joined price and quantity bands of one unit and service, in offer order."""
     pick = lambda df: df.where((F.col("DUID") == duid) & (F.col("BIDTYPE") == service))
     panel = j.price_quantity_panel(pick(price), pick(qty), keys, units)
-    panel = panel.orderBy("DUID", "SETTLEMENTDATE", PERIOD, OFFER_TIME)
+    ties = [c for c in panel.columns if c not in ("DUID", "SETTLEMENTDATE", PERIOD, OFFER_TIME)]
+    panel = panel.orderBy("DUID", "SETTLEMENTDATE", PERIOD, OFFER_TIME, *ties)
     return panel.limit(limit) if limit else panel
 
 
 def bid_curves(
-    price: DataFrame, qty: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] = (OFFER_TIME,),
-    bands: Sequence[str] = QUANTITY_BANDS, n_bands: int = 10,
+    price: DataFrame, qty: DataFrame, keys: Sequence[str] = AUCTION, order: Sequence[str] | None = None,
+    bands: Sequence[str] = QUANTITY_BANDS, n_bands: int = 10, split_rows: int | None = None,
 ) -> DataFrame:
     """Curve of every offer that changed quantities, numbered per auction and period.
 
     Unchanged offers are dropped before the price join, which therefore shuffles only what is kept.
     """
     detail = [*keys, PERIOD]
-    kept = v.keep_true_rebids(qty, detail, order, bands)
-    numbered = v.version_index(kept, detail, order)
+    numbered = v.number_true_rebids(qty, detail, order, bands, split_rows=split_rows)
     panel = j.price_quantity_panel(price, numbered, [*keys, OFFER_TIME])
     return b.bid_curve(panel, [*detail, OFFER_TIME, "version_index"], n_bands)
 
@@ -238,15 +249,29 @@ def applied_offer_report(
 
 def market_report(
     regional_prices: DataFrame, load: DataFrame, unit_summary: DataFrame, bids: DataFrame,
-    energy_order: Sequence[str] = ("SETTLEMENTDATE",),
+    energy_order: Sequence[str] = ("SETTLEMENTDATE",), runno: int = 1, intervention: int = 0,
+    constraints: tuple[DataFrame, DataFrame, DataFrame] | None = None, demand: tuple[DataFrame, DataFrame] | None = None,
+    qty: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Price separation, revenue, energy taken in, and checks on the bids behind them.
 
-    ``regional_prices`` is the wide price table, ``load`` long dispatch (DUID, SETTLEMENTDATE, BIDTYPE, MW).
+    ``regional_prices`` and ``load`` are the wide price and dispatch tables, of which the rows of one run count: RUNNO
+    ``runno``, INTERVENTION ``intervention``. ``load`` may also be long already (DUID, SETTLEMENTDATE, BIDTYPE, MW).
+    Tables without these columns are taken to hold one run.
+
+    With ``constraints`` (results, definitions, left-hand sides): ``binding`` and ``binding_by_unit``. With ``demand``
+    (actual, forecast): ``demand_error``. With ``qty`` (detail with ENABLEMENTMIN … MAXAVAIL): ``available``, what each
+    row's unit could offer of the service at the energy cleared in its interval, for detail with an ``interval`` column.
     """
-    prices = b.regional_prices_long(regional_prices)
+    def one_run(df: DataFrame) -> DataFrame:
+        return actual_run(df, runno, intervention) if {"RUNNO", "INTERVENTION"} <= set(df.columns) else df
+
+    prices = b.regional_prices_long(one_run(regional_prices))
+    load = one_run(load)
+    if "MW" not in load.columns:
+        load = b.dispatch_load_long(load)
     energy = load.where(F.col("BIDTYPE") == "ENERGY")
-    return {
+    out = {
         "separation": o.price_separation(prices),
         "value": j.dispatch_value(load, prices, unit_summary),
         "revenue": o.fcas_revenue(load, prices, unit_summary),
@@ -254,3 +279,15 @@ def market_report(
         "bad_bands": band_order_violations(bids, PRICE_BANDS),
         "automation": mentions_automation(bids, "REBIDEXPLANATION"),
     }
+    if constraints:
+        results, definitions, lhs = constraints
+        out["binding"] = binding(one_run(results))
+        out["binding_by_unit"] = j.binding_constraints(one_run(results), definitions, lhs)
+    if demand:
+        out["demand_error"] = j.demand_error(*demand)
+    if qty is not None:
+        cleared = energy.select("DUID", F.col("SETTLEMENTDATE").alias("interval"), F.col("MW").alias("energy_mw"))
+        limits = [F.col(c) for c in ("ENABLEMENTMIN", "LOWBREAKPOINT", "HIGHBREAKPOINT", "ENABLEMENTMAX", "MAXAVAIL")]
+        out["available"] = qty.join(cleared, ["DUID", "interval"]).withColumn(
+            "available_mw", fcas_available(F.col("energy_mw"), *limits))
+    return out

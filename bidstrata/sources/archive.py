@@ -2,17 +2,20 @@
 
 An archive file has four line types, told apart by the first cell: C (first and last line), I (column names)
 and D (data). Keeping the D lines needs no line skipping, so files split freely and a path glob reads every part
-of a table as one.
+of a table as one. Parts may differ in layout, as the layout changes over the years: the I line of each file says
+where its columns are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.functions.periods import market_time
+from bidstrata.functions.periods import expand_periods, market_time
+from bidstrata.operators.joins import align_detail
 from bidstrata.schema import LINE_PREFIX, TABLES
 
 PART_GLOB = "FILE*.[cC][sS][vV]"
@@ -41,23 +44,33 @@ def _typed(name: str, kind: str) -> Column:
     return text.try_cast(kind).alias(name)
 
 
-def column_names(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Column names of an archive table, from the first I line found: one line read, as a CSV header would be."""
-    line = spark.read.text(path).where(F.col("value").startswith("I,")).first()
-    if line is None:
+def layouts(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names, from the I line of each; one pass over the text, a line per file to the driver."""
+    heads = spark.read.text(path).where(F.col("value").startswith("I,")).groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.collect_set("value").alias("lines"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.orderBy("file").collect():
+        if len(r["lines"]) > 1:
+            raise ValueError(f"several column-name lines in {r['file']}")
+        names = tuple(c.strip().strip('"') for c in r["lines"][0].split(",")[len(LINE_PREFIX):])
+        found.setdefault(names, []).append(unquote(r["file"]))
+    if not found:
         raise ValueError(f"no column-name line in {path}")
-    return [c.strip().strip('"') for c in line["value"].split(",")[len(LINE_PREFIX):]]
+    return found
 
 
-def _columns(
+def _data(
     spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None
-) -> tuple[list[str], list[tuple[str, str]]]:
-    """The file's columns in file order, and the (name, type) list to return."""
-    if columns:
-        return [c for c, _ in columns], list(columns)
-    present = column_names(spark, path)
-    declared = TABLES.get(table) or [(c, "string") for c in present]
-    return present, [(c, kind) for c, kind in declared if c in present]
+) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
+    """Data lines of the files of each layout as text, and the (name, type) list of what they have."""
+    out = []
+    for names, files in layouts(spark, path).items():
+        if columns is not None and names != tuple(c for c, _ in columns):
+            raise ValueError(f"{files[0]} has other columns than given: {', '.join(names)}")
+        declared = columns or TABLES.get(table) or [(c, "string") for c in names]
+        lines = _lines(spark, files, names).where(F.col("REC") == "D")
+        out.append((lines, [(c, kind) for c, kind in declared if c in names]))
+    return out
 
 
 def read_archive(
@@ -65,33 +78,43 @@ def read_archive(
 ) -> DataFrame:
     """Data rows of an archive table with declared types; cells that do not parse are null.
 
-    Columns are found by the file's own I line and typed by the registry; a table the registry lacks comes as
-    strings. ``columns`` gives the (name, type) list in file order instead, and saves looking at the I line.
+    Columns are found by each file's own I line and typed by the registry entry of ``table``; a table the registry
+    lacks comes as strings. A column that some files lack is null in their rows. ``columns`` gives the (name, type) list
+    in file order instead; a file that disagrees is an error.
     """
-    names, wanted = _columns(spark, path, table, columns)
-    rows = _lines(spark, path, names).where((F.col("REC") == "D") & (F.col("TABLENAME") == table))
-    return rows.select(*[_typed(*c) for c in wanted])
+    parts_read = [rows.select(*[_typed(*c) for c in wanted]) for rows, wanted in _data(spark, path, table, columns)]
+    whole = parts_read[0]
+    for more in parts_read[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    rank = {c: k for k, (c, _) in enumerate(columns or TABLES.get(table, []))}
+    return whole.select(*sorted(whole.columns, key=lambda c: rank.get(c, len(rank))))
 
 
 def rejected_cells(
     spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
     """Number of non-empty cells per column that ``read_archive`` turns into null."""
-    names, wanted = _columns(spark, path, table, columns)
-    typed = [c for c in wanted if c[1] not in ("string", "upper")]
-    raw = _lines(spark, path, names).where((F.col("REC") == "D") & (F.col("TABLENAME") == table))
-    lost = raw.agg(*[F.count_if(F.col(n).isNotNull() & _typed(n, k).isNull()).alias(n) for n, k in typed])
-    return lost.unpivot([], [n for n, _ in typed], "column_name", "rejected")
+    lost = None
+    for raw, wanted in _data(spark, path, table, columns):
+        typed = [c for c in wanted if c[1] not in ("string", "upper")]
+        if not typed:
+            continue
+        counts = raw.agg(*[F.count_if(F.col(n).isNotNull() & _typed(n, k).isNull()).alias(n) for n, k in typed])
+        counts = counts.unpivot([], [n for n, _ in typed], "column_name", "rejected")
+        lost = counts if lost is None else lost.union(counts)
+    if lost is None:
+        return spark.createDataFrame([], "column_name string, rejected bigint")
+    return lost.groupBy("column_name").agg(F.sum("rejected").alias("rejected"))
 
 
 def check_footer(spark: SparkSession, path: str | Sequence[str], extra_lines: int = 3) -> DataFrame:
-    """Per file: data rows found, the footer's line count, and whether they agree.
+    """Per file, by its full path: data rows found, the footer's line count, and whether they agree.
 
     The footer line is ``C,END OF REPORT,<n>``; ``extra_lines`` is how many lines besides data rows it counts
     (first line, column names and footer: 3).
     """
     raw = _lines(spark, path, []).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "REC", "PACKAGE", "TABLENAME"
+        F.col("_metadata.file_path").alias("file"), "REC", "PACKAGE", "TABLENAME"
     )
     footer = (F.col("REC") == "C") & (F.col("PACKAGE") == "END OF REPORT")
     per_file = raw.groupBy("file").agg(
@@ -129,3 +152,9 @@ def ingest(df: DataFrame, dst: str, day: str = "SETTLEMENTDATE", sort: Sequence[
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("market_day").parquet(dst)
     )
+
+
+def ingest_detail(df: DataFrame, dst: str) -> None:
+    """``ingest`` of quantity detail as the archive has it: names aligned to the header table, and a row per period
+    where one row covers several."""
+    ingest(expand_periods(align_detail(df)), dst)

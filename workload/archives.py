@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def archive_lines(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Every partition as one archive file: first line, column names, data rows, footer with the line count."""
+def write_archive(df: DataFrame, table: str, columns: Sequence[str], path: str) -> None:
+    """Every partition as one archive file: first line, column names, data rows, footer with the line count.
 
+    A partition's rows are numbered by ``monotonically_increasing_id``; its first and last row bring the lines around.
+    """
     def quoted(name: str):
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
         return F.when(text.contains(","), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
 
-    data = df.select(F.concat_ws(",", F.lit("D"), F.lit("BIDS"), F.lit(table), F.lit("1"),
-                                 *[quoted(c) for c in columns]).alias("value"))
+    cells = [F.lit("D"), F.lit("BIDS"), F.lit(table), F.lit("1"), *[quoted(c) for c in columns]]
+    data = df.select(F.concat_ws(",", *cells).alias("value"), F.monotonically_increasing_id().alias("id"))
+    data = data.select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
     head = [f"C,BIDS,{table},PUBLIC", ",".join(["I", "BIDS", table, "1", *columns])]
-
-    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        yield pd.DataFrame({"value": head})
-        for batch in batches:
-            n += len(batch)
-            yield batch
-        yield pd.DataFrame({"value": [f"C,END OF REPORT,{n + 3}"]})
-
-    return data.mapInPandas(framed, "value string")
+    sizes = data.groupBy("part").agg(F.count("*").alias("n"))
+    frame = sizes.select("part", F.explode(F.array(
+        F.struct(F.lit(head[0]).alias("value"), F.lit(-2).cast("long").alias("nth")),
+        F.struct(F.lit(head[1]).alias("value"), F.lit(-1).cast("long").alias("nth")),
+        F.struct(F.concat(F.lit("C,END OF REPORT,"), (F.col("n") + 3).cast("string")).alias("value"), F.col("n").alias("nth")),
+    )).alias("line")).select("line.value", "part", "line.nth")
+    lines = data.unionByName(frame).repartitionByRange(F.col("part")).sortWithinPartitions("part", "nth")
+    lines.select("value").write.text(path)

@@ -20,9 +20,11 @@ from bidstrata.operators import stats as s
 from bidstrata.operators import versions as v
 from bidstrata.plans import reports
 from bidstrata.schema import BATTERY_CATEGORIES, CATEGORIES
+from bidstrata.schema import PRICE_BANDS as BANDS10
+from bidstrata.schema import REGIONAL_PRICES as REGIONAL
 from bidstrata.sources import archive, sinks
 from workload import tables as t
-from workload.archives import archive_lines
+from workload.archives import write_archive
 from workload.tables import (
     CATEGORY_SQL, DAY_AUCTION, DETAIL, DETAIL_ORDER, DISPATCH, ENERGY, MWS3, OFFER_ORDER, OFFERS, PANEL, PRICES3,
     REGIONAL_PRICES, SERVICES, SIDE_AUCTION, UNIT_SUMMARY, UNITS, day, r4, s4, sday, sstamp, stamp,
@@ -689,16 +691,51 @@ def panel_keys():
     return ["OFFER_ID", "PERIODID", "L_PART", "L_SUPP", day("SHIPPED").alias("SHIPPED")]
 
 
-@query(f"""WITH {PANEL} SELECT {PANEL_KEYS}, {", ".join(f"{s4(x)} AS {x}" for x in PRICES3 + MWS3)} FROM panel""")
+SIDED_KEYS = "DUID, BIDTYPE, DIRECTION, PERIODID, L_ORDER, L_PART, " + sstamp("OFFERDATE") + " AS OFFERDATE"
+
+
+def sided_keys():
+    return ["DUID", "BIDTYPE", "DIRECTION", "PERIODID", "L_ORDER", "L_PART", stamp("OFFERDATE").alias("OFFERDATE")]
+
+
+@query(f"""WITH {t.SIDED} SELECT {SIDED_KEYS}, {", ".join(f"{s4(x)} AS {x}" for x in PRICES3 + MWS3)}
+    FROM sided_detail JOIN sided_prices USING (DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE)""")
 def price_quantity_panel(spark, sf):
-    return panel(spark, sf).select(*panel_keys(), *[r4(x).alias(x) for x in PRICES3 + MWS3])
+    joined = j.price_quantity_panel(t.sided_prices(spark, sf), t.sided_detail(spark, sf), t.FIVE)
+    return joined.select(*sided_keys(), *[r4(x).alias(x) for x in PRICES3 + MWS3])
 
 
-@query(f"""WITH {PANEL}, {UNITS} SELECT {PANEL_KEYS}, DISPATCHTYPE AS dispatch_type FROM panel LEFT JOIN units USING (DUID)""")
+@query(f"""WITH {t.SIDED}, {UNITS}, four AS (SELECT * EXCLUDE (DIRECTION) FROM sided_prices)
+    SELECT {SIDED_KEYS}, {s4("PRICEBAND1")} AS PRICEBAND1, DISPATCHTYPE AS dispatch_type
+    FROM sided_detail JOIN four USING (DUID, BIDTYPE, SETTLEMENTDATE, OFFERDATE) LEFT JOIN units USING (DUID)""")
 def panel_with_dispatch_type(spark, sf):
     joined = j.price_quantity_panel(
-        t.headers(spark, sf), t.header_detail(spark, sf), ["OFFER_ID"], t.units(spark, sf))
-    return joined.select(*panel_keys(), "dispatch_type")
+        t.sided_prices(spark, sf).drop("DIRECTION"), t.sided_detail(spark, sf), [k for k in t.FIVE if k != "DIRECTION"],
+        t.units(spark, sf))
+    return joined.select(*sided_keys(), r4("PRICEBAND1").alias("PRICEBAND1"), "dispatch_type")
+
+
+@query(f"""WITH {t.SIDED}, flagged AS (
+        SELECT *, row_number() OVER w AS nth, lag(BANDAVAIL1) OVER w AS p1, lag(BANDAVAIL2) OVER w AS p2, lag(BANDAVAIL3) OVER w AS p3
+        FROM sided_detail WINDOW w AS (PARTITION BY DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, PERIODID ORDER BY OFFERDATE, L_ORDER, L_PART)),
+    kept AS (
+        SELECT *, row_number() OVER (PARTITION BY DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, PERIODID ORDER BY OFFERDATE, L_ORDER, L_PART)
+               AS version_index FROM flagged
+        WHERE nth = 1 OR BANDAVAIL1 IS DISTINCT FROM p1 OR BANDAVAIL2 IS DISTINCT FROM p2 OR BANDAVAIL3 IS DISTINCT FROM p3),
+    panel AS (SELECT * FROM kept JOIN sided_prices USING (DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE)),
+    steps AS (
+        SELECT *, 0 AS step, 0.0 AS cum_mw, PRICEBAND1 AS price FROM panel
+        UNION ALL SELECT *, 1, BANDAVAIL1, PRICEBAND2 FROM panel
+        UNION ALL SELECT *, 2, BANDAVAIL1 + BANDAVAIL2, PRICEBAND3 FROM panel
+        UNION ALL SELECT *, 3, BANDAVAIL1 + BANDAVAIL2 + BANDAVAIL3, PRICEBAND3 FROM panel)
+    SELECT DUID, BIDTYPE, DIRECTION, {sday("SETTLEMENTDATE")} AS SETTLEMENTDATE, PERIODID, {sstamp("OFFERDATE")} AS OFFERDATE,
+           version_index, step, {s4("cum_mw")} AS cum_mw, {s4("price")} AS price FROM steps""")
+def bid_curve_job(spark, sf):
+    curves = reports.bid_curves(
+        t.sided_prices(spark, sf), t.sided_detail(spark, sf), t.FIVE[:4], ["OFFERDATE", "L_ORDER", "L_PART"], MWS3, 3)
+    return curves.select(
+        "DUID", "BIDTYPE", "DIRECTION", day("SETTLEMENTDATE").alias("SETTLEMENTDATE"), "PERIODID", stamp("OFFERDATE").alias("OFFERDATE"),
+        F.col("version_index").cast("long").alias("version_index"), "step", r4("cum_mw").alias("cum_mw"), r4("price").alias("price"))
 
 
 @query(f"""WITH {PANEL},
@@ -782,8 +819,11 @@ def period_convention_check(spark, sf):
     return periods.period_conventions(t.offers(spark, sf), "OFFERDATE", 240)
 
 
-@query(f"""WITH {OFFERS} SELECT DUID, BIDTYPE, {sstamp('OFFERDATE')} AS interval,
-        {t.period_sql('OFFERDATE', 240)} AS PERIODID, VERSIONNO, PRICEBAND1 FROM offers""")
+@query(f"""WITH {OFFERS}, {t.INTERVALS}, panel AS (SELECT *, {t.period_sql('OFFERDATE', 240)} AS PERIODID FROM offers)
+    SELECT DUID, BIDTYPE, {sstamp('interval')} AS interval, PERIODID, VERSIONNO, PRICEBAND1
+    FROM intervals JOIN panel USING (DUID, BIDTYPE)
+    WHERE OFFERDATE = pointed AND SETTLEMENTDATE = CAST(date_trunc('week', pointed) AS DATE)
+      AND PERIODID = {t.period_sql('interval', 240)}""")
 def applied_offers(spark, sf):
     offers = t.offers(spark, sf).withColumn("PERIODID", periods.period_id("OFFERDATE", 240))
     applied = j.applied_offers(t.intervals(spark, sf), offers)
@@ -987,7 +1027,7 @@ def safe_casts_and_text(spark, sf):
 
 
 @query(f"""WITH {OFFERS} SELECT VERSIONNO, {sstamp('OFFERDATE')} AS OFFERDATE, PRICEBAND1 FROM offers
-    WHERE DUID = '7' AND BIDTYPE = 'click' ORDER BY OFFERDATE LIMIT 10""")
+    WHERE DUID = '7' AND BIDTYPE = 'click' ORDER BY offers.OFFERDATE, VERSIONNO LIMIT 10""")
 def first_offers(spark, sf):
     found = reports.first_offers(t.offers(spark, sf), "7", "click", 10, entry=None)
     return found.select("VERSIONNO", stamp("OFFERDATE").alias("OFFERDATE"), "PRICEBAND1")
@@ -999,11 +1039,14 @@ def distinct_periods(spark, sf):
     return pairs.withColumn("SETTLEMENTDATE", day("SETTLEMENTDATE"))
 
 
-@query(f"""WITH {PANEL} SELECT DUID, {sstamp('OFFERDATE')} AS OFFERDATE, OFFER_ID, PERIODID, L_PART FROM panel
-    ORDER BY DUID, panel.OFFERDATE, OFFER_ID, PERIODID, L_PART LIMIT 1000""")
+@query(f"""WITH {t.SIDED}, {UNITS} SELECT {SIDED_KEYS}, {s4("PRICEBAND1")} AS PRICEBAND1, DISPATCHTYPE AS dispatch_type
+    FROM sided_detail JOIN sided_prices USING (DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE) LEFT JOIN units USING (DUID)
+    WHERE DUID = '7' AND BIDTYPE = 'R'
+    ORDER BY sided_detail.SETTLEMENTDATE, PERIODID, sided_detail.OFFERDATE, DIRECTION, L_ORDER, L_PART LIMIT 20""")
 def ordered_export(spark, sf):
-    top = panel(spark, sf).orderBy("DUID", "OFFERDATE", "OFFER_ID", "PERIODID", "L_PART").limit(1000)
-    return top.select("DUID", stamp("OFFERDATE").alias("OFFERDATE"), "OFFER_ID", "PERIODID", "L_PART")
+    top = reports.price_quantity_export(
+        t.sided_prices(spark, sf), t.sided_detail(spark, sf), t.units(spark, sf), "7", "R", 20, t.FIVE)
+    return top.select(*sided_keys(), r4("PRICEBAND1").alias("PRICEBAND1"), "dispatch_type")
 
 
 @query(f"WITH {OFFERS} SELECT BIDTYPE, ENTRYTYPE, count(*) AS n, avg(PRICEBAND3) AS mean3 FROM offers GROUP BY 1, 2")
@@ -1028,7 +1071,7 @@ def archived(spark, sf):
         F.when(F.col("BIDTYPE") == "error", "n/a").otherwise(F.col("PRICEBAND1").cast("string")).alias("PRICEBAND1"),
         F.concat_ws(", ", "BIDTYPE", "ENTRYTYPE").alias("NOTE"))
     path = t.scratch(spark)
-    archive_lines(offers, "BIDDAYOFFER", [c for c, _ in ARCHIVED]).write.text(path)
+    write_archive(offers, "BIDDAYOFFER", [c for c, _ in ARCHIVED], path)
     return path
 
 
@@ -1040,6 +1083,60 @@ def archive_scan(spark, sf):
     return rows.withColumns({"SETTLEMENTDATE": day("SETTLEMENTDATE"), "OFFERDATE": stamp("OFFERDATE")})
 
 
+#: The second and third part of the archive: another order of columns, one more, one fewer.
+LATER = ["BIDTYPE", "RUNNO", "DUID", "SETTLEMENTDATE", "OFFERDATE", "VERSIONNO", "ENTRYTYPE", "PRICEBAND1"]
+
+
+@query(f"""WITH {OFFERS} SELECT DUID, BIDTYPE, {sday('SETTLEMENTDATE')} AS SETTLEMENTDATE, {sstamp('OFFERDATE')} AS OFFERDATE,
+        CAST(VERSIONNO AS INTEGER) AS VERSIONNO, ENTRYTYPE, PRICEBAND1, CASE WHEN BIDTYPE IN ('click', 'error') THEN PRICEBAND2 END AS PRICEBAND2
+    FROM offers""")
+def archive_parts(spark, sf):
+    offers = t.offers(spark, sf).select(
+        "DUID", "BIDTYPE", F.date_format("SETTLEMENTDATE", "yyyy/MM/dd HH:mm:ss").alias("SETTLEMENTDATE"),
+        F.date_format("OFFERDATE", "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("OFFERDATE"), "VERSIONNO",
+        F.lower("ENTRYTYPE").alias("ENTRYTYPE"), "PRICEBAND1", "PRICEBAND2", F.lit(1).alias("RUNNO"))
+    path = t.scratch(spark)
+    shares = [F.col("BIDTYPE").isin("click", "error"), F.col("BIDTYPE") == "purchase", ~F.col("BIDTYPE").isin("click", "error", "purchase")]
+    for n, (share, columns) in enumerate(zip(shares, ([*LATER[:1], "PRICEBAND2", *LATER[2:]], LATER, LATER)), 1):
+        write_archive(offers.where(share), "BIDDAYOFFER", columns, f"{path}/PUBLIC_ARCHIVE#BIDDAYOFFER#FILE{n:02d}#202510.CSV")
+    rows = archive.read_archive(spark, archive.parts(path, "BIDDAYOFFER"), "BIDDAYOFFER")
+    return rows.withColumns({"SETTLEMENTDATE": day("SETTLEMENTDATE"), "OFFERDATE": stamp("OFFERDATE")})
+
+
+@query(f"""WITH {DETAIL} SELECT DUID, {sday('SETTLEMENTDATE')} AS SETTLEMENTDATE, L_ORDER, PERIODID AS first_period,
+        unnest(range(PERIODID, greatest(PERIODID, CAST(BANDAVAIL2 AS INTEGER)) + 1)) AS PERIODID FROM detail""")
+def expanded_periods(spark, sf):
+    path = t.scratch(spark)
+    detail = t.detail(spark, sf).select(
+        "DUID", "BIDTYPE", F.col("SETTLEMENTDATE").alias("TRADINGDATE"), F.col("OFFERDATE").alias("OFFERDATETIME"), "L_ORDER",
+        "PERIODID", F.col("PERIODID").alias("first_period"), F.col("BANDAVAIL2").cast("int").alias("PERIODIDTO"))
+    archive.ingest_detail(detail, path)
+    return spark.read.parquet(path).select(
+        "DUID", day("SETTLEMENTDATE").alias("SETTLEMENTDATE"), "L_ORDER", "first_period", F.col("PERIODID").cast("long").alias("PERIODID"))
+
+
+@query(f"""WITH {t.LOAD_LONG} SELECT DUID, {sstamp('SETTLEMENTDATE')} AS SETTLEMENTDATE, L_ORDER, L_LINE, BIDTYPE, {s4('MW')} AS MW
+    FROM load_long""")
+def dispatch_load_long(spark, sf):
+    one = checks.actual_run(t.dispatch_wide(spark, sf))
+    long = b.dispatch_load_long(one, ["SETTLEMENTDATE", "DUID", "L_ORDER", "L_LINE"])
+    return long.select("DUID", stamp("SETTLEMENTDATE").alias("SETTLEMENTDATE"), "L_ORDER", "L_LINE", "BIDTYPE", r4("MW").alias("MW"))
+
+
+@query(f"""WITH {REGIONAL_PRICES}, {UNIT_SUMMARY}, {t.LOAD_LONG}
+    SELECT DUID, BIDTYPE, {s4('sum(MW)')} AS total_mw, {s4('sum(MW * PRICE * 5 / 60)')} AS revenue
+    FROM load_long JOIN unit_summary USING (DUID) JOIN prices_long USING (REGIONID, SETTLEMENTDATE, BIDTYPE)
+    WHERE BIDTYPE <> 'ENERGY' GROUP BY 1, 2""")
+def market_revenue_one_run(spark, sf):
+    one = t.regional_prices(spark, sf).withColumns({"RUNNO": F.lit(1), "INTERVENTION": F.lit(0)})
+    other = one.withColumns({"RUNNO": F.lit(2), "INTERVENTION": F.lit(1), **{c: F.col(c) * 2 for c in t.PRICE_COLUMNS}})
+    prices = one.unionByName(other)
+    prices = prices.withColumns({c: F.lit(None).cast("double") for c in REGIONAL if c not in prices.columns})
+    made = reports.market_report(prices, t.dispatch_wide(spark, sf), t.unit_summary(spark, sf), t.offers(spark, sf).select(
+        *[F.lit(0.0).alias(c) for c in BANDS10], F.lit("").alias("REBIDEXPLANATION")))
+    return made["revenue"].select("DUID", "BIDTYPE", r4("total_mw").alias("total_mw"), r4("revenue").alias("revenue"))
+
+
 @query("""SELECT 'PRICEBAND1' AS column_name, count(*) FILTER (event_type = 'error') AS rejected FROM events
     UNION ALL SELECT 'VERSIONNO', 0 UNION ALL SELECT 'SETTLEMENTDATE', 0 UNION ALL SELECT 'OFFERDATE', 0""")
 def archive_rejects(spark, sf):

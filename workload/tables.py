@@ -5,12 +5,11 @@ Each view is a plain projection (or one aggregation) of whole tables; see README
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidstrata.sources.sinks import scratch_path
+
 DAY_AUCTION = ["DUID", "BIDTYPE", "SETTLEMENTDATE"]
 SIDE_AUCTION = ["DUID", "BIDTYPE", "DIRECTION", "SETTLEMENTDATE"]
 DETAIL_ORDER = ["OFFERDATE", "L_ORDER", "L_PART"]
@@ -26,9 +25,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of the cluster, or in a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bidstrata-")
-    return f"{shared}/bidstrata-{uuid.uuid4().hex}"
+    """A fresh path in a folder that driver and executors share."""
+    return scratch_path(spark)
 
 
 def r4(c: Column | str) -> Column:
@@ -159,6 +157,33 @@ header_detail AS (
 panel AS (SELECT * FROM header_detail JOIN headers USING (OFFER_ID))"""
 
 
+# --- header and detail with the archive's five keys, from line items ------------------------------
+
+FIVE = ["DUID", "BIDTYPE", "DIRECTION", "SETTLEMENTDATE", "OFFERDATE"]
+
+
+def sided_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """One price row per unit, service, side, day and time; the side is the line's status."""
+    return detail(spark, sf).join(
+        load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("L_ORDER"), F.col("l_linenumber").alias("PERIODID"),
+                                           F.col("l_extendedprice").alias("x")), ["L_ORDER", "PERIODID"]
+    ).groupBy(*FIVE).agg(*[(F.min("x") * k).alias(f"PRICEBAND{k}") for k in (1, 2, 3)])
+
+
+def sided_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Detail whose side depends on the discount, so that many rows have no price and some keys exist on both sides."""
+    side = F.when(F.col("BANDAVAIL2") > 0, F.lit("F")).otherwise(F.lit("O"))
+    return detail(spark, sf).withColumn("DIRECTION", side)
+
+
+SIDED = f"""{DETAIL},
+sided_prices AS (
+    SELECT DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE, min(l_extendedprice) AS PRICEBAND1,
+           min(l_extendedprice) * 2 AS PRICEBAND2, min(l_extendedprice) * 3 AS PRICEBAND3
+    FROM detail JOIN lineitem ON L_ORDER = l_orderkey AND PERIODID = l_linenumber GROUP BY ALL),
+sided_detail AS (SELECT * REPLACE (CASE WHEN BANDAVAIL2 > 0 THEN 'F' ELSE 'O' END AS DIRECTION) FROM detail)"""
+
+
 # --- market outcomes ------------------------------------------------------------------------------
 
 def dispatch(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,13 +253,43 @@ prices_long AS (
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """Dispatch tracking: every event as an interval that points at the offer made at its instant."""
-    return offers(spark, sf).select(
+    """Dispatch tracking: a morning event is an interval that points at the offer of its own time, any other at the
+    offer its unit and service made before: of another time and period, or none at all."""
+    mine = Window.partitionBy("DUID", "BIDTYPE").orderBy("OFFERDATE", "VERSIONNO")
+    pointed = F.when(F.hour("OFFERDATE") < 12, F.col("OFFERDATE")).otherwise(F.lag("OFFERDATE").over(mine))
+    return offers(spark, sf).withColumn("_at", pointed).select(
         F.col("OFFERDATE").alias("SETTLEMENTDATE"), "DUID", "BIDTYPE",
-        F.col("SETTLEMENTDATE").alias("BIDSETTLEMENTDATE"), F.col("OFFERDATE").alias("BIDOFFERDATE"),
+        F.trunc("_at", "week").alias("BIDSETTLEMENTDATE"), F.col("_at").alias("BIDOFFERDATE"),
+    )
+
+
+INTERVALS = """intervals AS (
+    SELECT OFFERDATE AS interval, DUID, BIDTYPE, CASE WHEN hour(OFFERDATE) < 12 THEN OFFERDATE ELSE
+           lag(OFFERDATE) OVER (PARTITION BY DUID, BIDTYPE ORDER BY OFFERDATE, VERSIONNO) END AS pointed
+    FROM offers)"""
+
+
+def dispatch_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide dispatch table, two runs in it."""
+    return load(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("DUID"), F.col("l_shipdate").alias("SETTLEMENTDATE"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("RUNNO"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("INTERVENTION"),
+        F.col("l_quantity").alias("TOTALCLEARED"), (F.col("l_discount") * 100).alias("RAISEREG"),
+        F.when(F.col("l_tax") > 0, F.col("l_tax") * 100).alias("LOWERREG"), F.col("l_orderkey").alias("L_ORDER"),
+        F.col("l_linenumber").alias("L_LINE"),
     )
 
 
+LOAD_LONG = """one_run AS (SELECT * FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R'),
+load_long AS (
+    SELECT CAST(l_suppkey AS VARCHAR) AS DUID, l_shipdate AS SETTLEMENTDATE, l_orderkey AS L_ORDER, l_linenumber AS L_LINE,
+           'ENERGY' AS BIDTYPE, l_quantity AS MW FROM one_run
+    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), l_shipdate, l_orderkey, l_linenumber, 'RAISEREG', l_discount * 100 FROM one_run
+    UNION ALL SELECT CAST(l_suppkey AS VARCHAR), l_shipdate, l_orderkey, l_linenumber, 'LOWERREG', l_tax * 100 FROM one_run
+    WHERE l_tax > 0)"""
+
+
 def period_sql(ts: str, origin: int, convention: str = "end") -> str:
     shift = origin * 60 + (1 if convention == "end" else 0)
     second = f"(hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
