@@ -20,7 +20,11 @@ def test_unit_join_keeps_unmapped_units(spark):
     assert rows(j.with_units(bids, units, "inner"), "DUID") == [("a",)]
     assert j.unique_units(units).count() == 1
     with pytest.raises(Exception, match="duplicate unit"):
-        j.unique_units(units.union(units)).count()
+        j.with_units(bids, units.union(units)).collect()
+    with pytest.raises(Exception, match="duplicate unit"):
+        j.with_region(bids, units.union(units).withColumn("REGIONID", F.lit("N"))).collect()
+    with pytest.raises(Exception, match="duplicate unit"):
+        j.battery_fleet(units.union(units)).collect()
 
 
 def test_panel_needs_the_direction(spark):
@@ -142,3 +146,10 @@ def test_offer_prices_over_time(spark):
     assert rows(s.hourly_offer_price(df, "t")) == [
         ("x", "2025-10-01 06:00:00", 15.0, 17.5, 2), ("x", "2025-10-01 08:00:00", None, None, 0)]
     assert rows(s.peak_offer_price(df, "t", [8]), "window", "mean_price") == [("off-peak", 15.0), ("on-peak", None)]
+
+
+def test_wide_dispatch_becomes_long(spark):
+    wide = spark.createDataFrame([("a", 1, 10.0, 2.0, None), ("b", 1, None, 0.0, 1.0)],
+                                 "DUID string, SETTLEMENTDATE int, TOTALCLEARED double, RAISEREG double, LOWERREG double")
+    assert rows(b.dispatch_load_long(wide), "DUID", "BIDTYPE", "MW") == [
+        ("a", "ENERGY", 10.0), ("a", "RAISEREG", 2.0), ("b", "LOWERREG", 1.0), ("b", "RAISEREG", 0.0)]

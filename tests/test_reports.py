@@ -108,3 +108,42 @@ def test_market_report(spark, book):
     assert [tuple(r) for r in got["revenue"]] == [("A", "RAISEREG", 6.0, 6.0)]
     assert got["energy"][0].cumulative_mwh == pytest.approx(-10 * 5 / 60)
     assert got["bad_bands"] == [] and all(r.mentions_automation for r in got["automation"])
+
+
+def test_outputs_share_one_written_frame(spark, book, tmp_path):
+    price, qty, units = book
+    qty.write.parquet(str(tmp_path / "qty"))
+    qty = spark.read.parquet(str(tmp_path / "qty"))
+    plain, once = reports.true_rebid_report(qty, units), reports.true_rebid_report(qty, units, path=str(tmp_path / "counts"))
+    assert all("BANDAVAIL1" in f._jdf.queryExecution().optimizedPlan().toString() for f in plain.values())
+    for name, frame in once.items():
+        assert "BANDAVAIL1" not in frame._jdf.queryExecution().optimizedPlan().toString(), name
+        assert sorted(map(str, frame.collect())) == sorted(map(str, plain[name].collect())), name
+    changed = reports.price_change_report(price, units, path=str(tmp_path / "changes"))
+    assert changed["mean"].count() == 3 and reports.initial_price_report(price, units, path=str(tmp_path / "first"))["mean"].count() == 3
+
+
+def test_market_report_takes_one_run(spark, book):
+    price, _, _ = book
+    from bidstrata.schema import REGIONAL_PRICES
+
+    wide = spark.createDataFrame([("N", 1, 1, 0, 60.0), ("N", 1, 1, 1, 90.0), ("N", 1, 2, 0, 70.0)],
+                                 "REGIONID string, SETTLEMENTDATE int, RUNNO int, INTERVENTION int, RRP double")
+    wide = wide.select("*", *[F.lit(12.0).alias(c) for c in REGIONAL_PRICES[1:]])
+    load = spark.createDataFrame([("A", 1, 1, 0, 10.0, 6.0), ("A", 1, 1, 1, 20.0, 8.0)],
+                                 "DUID string, SETTLEMENTDATE int, RUNNO int, INTERVENTION int, TOTALCLEARED double, RAISEREG double")
+    region = spark.createDataFrame([("A", "N")], "DUID string, REGIONID string")
+    results = spark.createDataFrame([("c", 1, 1, 0, 5.0), ("c", 1, 1, 1, 7.0), ("d", 1, 1, 0, 0.0)],
+                                    "CONSTRAINTID string, SETTLEMENTDATE int, RUNNO int, INTERVENTION int, MARGINALVALUE double")
+    definitions = spark.createDataFrame([("c", "<=")], "CONSTRAINTID string, kind string")
+    lhs = spark.createDataFrame([("c", "A", 1.0)], "CONSTRAINTID string, DUID string, FACTOR double")
+    demand = spark.createDataFrame([("N", 1, 100.0)], "REGIONID string, SETTLEMENTDATE int, DEMAND double")
+    detail = spark.createDataFrame([("A", 1, "RAISEREG", 0.0, 5.0, 15.0, 20.0, 8.0)],
+                                   "DUID string, interval int, BIDTYPE string, ENABLEMENTMIN double, LOWBREAKPOINT double, "
+                                   "HIGHBREAKPOINT double, ENABLEMENTMAX double, MAXAVAIL double")
+    got = collected(reports.market_report(
+        wide, load, region, price, constraints=(results, definitions, lhs), demand=(demand, demand), qty=detail))
+    assert sorted((r.BIDTYPE, r.value) for r in got["value"]) == [("ENERGY", 50.0), ("RAISEREG", 6.0)]
+    assert [(r.CONSTRAINTID, r.MARGINALVALUE) for r in got["binding"]] == [("c", 5.0)]
+    assert [(r.DUID, r.binding_intervals) for r in got["binding_by_unit"]] == [("A", 1)]
+    assert got["demand_error"][0].error == 0.0 and got["available"][0].available_mw == 8.0

@@ -18,10 +18,10 @@ def write_part(directory, table, n, data, footer=None, suffix="CSV"):
     (directory / f"PUBLIC_ARCHIVE#{table}#FILE{n:02d}#202510010000.{suffix}").write_text("\n".join(text) + "\n")
 
 
-def header(unit="ADPBA1", direction="GEN", offer="2025/09/24 04:05:40.000", **more):
-    prices = {b: p for b, p in zip(PRICE_BANDS, (-980, 0, 54, 96, 168, 274, 374, 998, 3999, 10000))}
-    return line("BIDDAYOFFER", DUID=unit, BIDTYPE="ENERGY", SETTLEMENTDATE='"2025/10/01 00:00:00"', OFFERDATE=offer,
-                DIRECTION=direction, VERSIONNO=1, ENTRYTYPE="Daily", LASTCHANGED="2025/09/24 04:05:40", **prices, **more)
+def header(unit="UNIT7", direction="GEN", offer="2031/03/04 05:06:07.250", **more):
+    prices = {b: -50 + 11 * k for k, b in enumerate(PRICE_BANDS)}
+    return line("BIDDAYOFFER", DUID=unit, BIDTYPE="ENERGY", SETTLEMENTDATE='"2031/03/05 00:00:00"', OFFERDATE=offer,
+                DIRECTION=direction, VERSIONNO=1, ENTRYTYPE="Daily", LASTCHANGED="2031/03/04 05:06:08", **prices, **more)
 
 
 def test_archive_rows_and_types(spark, tmp_path):
@@ -29,8 +29,8 @@ def test_archive_rows_and_types(spark, tmp_path):
     df = archive.read_archive(spark, archive.parts(str(tmp_path), "BIDDAYOFFER"), "BIDDAYOFFER")
     assert df.count() == 2
     r = df.where("DIRECTION = 'GEN'").first()
-    assert (r.SETTLEMENTDATE, r.OFFERDATE, r.LASTCHANGED) == (on("2025-10-01"), at("2025-09-24T04:05:40"), at("2025-09-24T04:05:40"))
-    assert (r.PRICEBAND1, r.PRICEBAND10, r.ENTRYTYPE, r.T1) == (-980.0, 10000.0, "DAILY", None)
+    assert (r.SETTLEMENTDATE, r.OFFERDATE, r.LASTCHANGED) == (on("2031-03-05"), at("2031-03-04T05:06:07.250"), at("2031-03-04T05:06:08"))
+    assert (r.PRICEBAND1, r.PRICEBAND10, r.ENTRYTYPE, r.T1) == (-50.0, 49.0, "DAILY", None)
     assert r.REBIDEXPLANATION == 'Initial, first "offer"'
     lost = archive.rejected_cells(spark, archive.parts(str(tmp_path), "BIDDAYOFFER"), "BIDDAYOFFER")
     assert rows(lost.where("rejected > 0")) == [("T1", 1)]
@@ -47,8 +47,44 @@ def test_columns_are_found_by_name(spark, tmp_path):
     other.write_text("C,x\nI,P,REGION,1,REGIONID,NAME\nD,P,REGION,1,N,North\nC,END OF REPORT,4\n")
     assert rows(archive.read_archive(spark, str(other), "REGION")) == [("N", "North")]
     other.with_name("empty.csv").write_text("C,x\n")
-    with pytest.raises(ValueError):
-        archive.column_names(spark, str(other.with_name("empty.csv")))
+    with pytest.raises(ValueError, match="no column-name line"):
+        archive.read_archive(spark, str(other.with_name("empty.csv")), "REGION")
+
+
+def test_parts_of_differing_layouts(spark, tmp_path):
+    a, b = tmp_path / "x#PRICE#FILE01#1.CSV", tmp_path / "x#PRICE#FILE02#1.CSV"
+    a.write_text("C,x\nI,DISPATCH,PRICE,4,SETTLEMENTDATE,REGIONID,RRP\nD,DISPATCH,PRICE,4,2031/03/05 00:05:00,N,50\nC,END OF REPORT,4\n")
+    b.write_text("C,x\nI,DISPATCH,PRICE,5,SETTLEMENTDATE,RUNNO,REGIONID,RRP\n"
+                 "D,DISPATCH,PRICE,5,2031/03/05 00:10:00,1,S,60\nC,END OF REPORT,4\n")
+    path = archive.parts(str(tmp_path), "PRICE")
+    df = archive.read_archive(spark, path, "DISPATCHPRICE")  # the lines call the table PRICE
+    assert df.columns == ["SETTLEMENTDATE", "RUNNO", "REGIONID", "RRP"]
+    assert rows(df, "REGIONID", "RRP", "RUNNO") == [("N", 50.0, None), ("S", 60.0, 1)]
+    assert rows(archive.rejected_cells(spark, path, "DISPATCHPRICE"), "column_name", "rejected") == [
+        ("RRP", 0), ("RUNNO", 0), ("SETTLEMENTDATE", 0)]
+    given = [("SETTLEMENTDATE", "timestamp_ntz"), ("REGIONID", "string"), ("RRP", "double")]
+    assert archive.read_archive(spark, str(a), "PRICE", given).count() == 1
+    with pytest.raises(ValueError, match="other columns"):
+        archive.read_archive(spark, path, "PRICE", given)
+    a.write_text(a.read_text() + b.read_text())
+    with pytest.raises(ValueError, match="several"):
+        archive.read_archive(spark, path, "PRICE")
+
+
+def test_footers_of_files_that_share_a_name(spark, tmp_path):
+    for month in ("01", "02"):
+        (tmp_path / month).mkdir()
+        write_part(tmp_path / month, "BIDDAYOFFER", 1, [header()])
+    checked = archive.check_footer(spark, str(tmp_path / "*" / "*.CSV"))
+    assert rows(checked, "data_rows", "complete") == [(1, True), (1, True)]
+
+
+def test_detail_is_expanded_at_ingest(spark, tmp_path):
+    write_part(tmp_path, "BIDOFFERPERIOD", 1, [
+        line("BIDOFFERPERIOD", DUID="U", BIDTYPE="ENERGY", TRADINGDATE="2031/03/05 00:00:00",
+             OFFERDATETIME="2031/03/04 05:06:07", PERIODID=4, PERIODIDTO=6)])
+    archive.ingest_detail(archive.read_archive(spark, archive.parts(str(tmp_path), "BIDOFFERPERIOD"), "BIDOFFERPERIOD"), str(tmp_path / "d"))
+    assert rows(spark.read.parquet(str(tmp_path / "d")), "PERIODID", "PERIODIDTO") == [(4, 4), (5, 5), (6, 6)]
 
 
 def test_every_part_of_a_table_is_read(spark, tmp_path):
@@ -56,7 +92,7 @@ def test_every_part_of_a_table_is_read(spark, tmp_path):
     write_part(tmp_path, "BIDDAYOFFER", 2, [header("B"), header("C")], suffix="csv")
     write_part(tmp_path, "BIDOFFERPERIOD", 1, [line("BIDOFFERPERIOD", DUID="X")])
     df = archive.read_archive(spark, archive.parts(str(tmp_path), "BIDDAYOFFER"), "BIDDAYOFFER")
-    assert rows(df, "DUID") == [("ADPBA1",), ("B",), ("C",)]
+    assert rows(df, "DUID") == [("B",), ("C",), ("UNIT7",)]
 
 
 def test_footer_check_finds_a_short_file(spark, tmp_path):
@@ -68,8 +104,8 @@ def test_footer_check_finds_a_short_file(spark, tmp_path):
 
 def test_header_and_detail_join_after_alignment(spark, tmp_path):
     write_part(tmp_path, "BIDDAYOFFER", 1, [header(), header(direction="LOAD")])
-    detail = [line("BIDOFFERPERIOD", DUID="ADPBA1", BIDTYPE="ENERGY", TRADINGDATE="2025/10/01 00:00:00",
-                   OFFERDATETIME="2025/09/24 04:05:40.000", DIRECTION="GEN", PERIODID=p, PERIODIDTO=p,
+    detail = [line("BIDOFFERPERIOD", DUID="UNIT7", BIDTYPE="ENERGY", TRADINGDATE="2031/03/05 00:00:00",
+                   OFFERDATETIME="2031/03/04 05:06:07.250", DIRECTION="GEN", PERIODID=p, PERIODIDTO=p,
                    **{b: 0 for b in QUANTITY_BANDS}) for p in (1, 2, 3)]
     write_part(tmp_path, "BIDOFFERPERIOD", 1, detail)
     price = archive.read_archive(spark, archive.parts(str(tmp_path), "BIDDAYOFFER"), "BIDDAYOFFER")
@@ -99,7 +135,9 @@ def test_ingest_replaces_only_its_days(spark, tmp_path):
 def test_row_index_follows_the_order(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), "id").repartition(7)
     path = str(tmp_path / "out")
-    sinks.write_result(df, path, ["k"], index="row")
+    (tmp_path / "held").mkdir()
+    sinks.write_result(df, path, ["k"], index="row", directory=str(tmp_path / "held"))
+    assert not list((tmp_path / "held").iterdir())
     back = spark.read.schema("row bigint, k bigint, id bigint").csv(path, header=True)
     assert back.count() == 1000 and back.where("row <> k").count() == 0
     sinks.write_result(df, str(tmp_path / "plain"), ["k"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from bidstrata.operators import slicing
 from bidstrata.operators import stats as s
 from bidstrata.operators import versions as v
-from tests.conftest import at, rows
+from bidstrata.schema import PRICE_BANDS, QUANTITY_BANDS
+from tests.conftest import at, on, rows
 
 KEYS = ["u", "p"]
 ORDER = ["t", "n"]
@@ -194,3 +195,76 @@ def test_timeline_starts_at_the_first_daily_entry(spark, monkeypatch, whole):
     assert rows(v.offer_timeline(df, KEYS, ORDER), "n", "version_index", "version_label") == [
         (0, 1, "before initial"), (1, 2, "initial"), (2, 3, "rebid 1"), (3, 4, "rebid 2"), (4, 5, "rebid 3"),
         (9, 1, "before initial")]
+
+
+def largest_slice(df):
+    return df.groupBy("_key", "_slice").count().agg(F.max("count")).first()[0]
+
+
+def test_a_big_group_of_missing_keys_is_cut(spark):
+    data = [(None, 1, *r[2:]) if r[3] % 2 else r for r in random_offers(300, ties=False)]
+    sliced = slicing.slice_hot_groups(offers(spark, data), KEYS, ORDER, split_rows=20)
+    assert sliced.where("u IS NULL").groupBy("_slice").count().count() > 10 and largest_slice(sliced) <= 20
+    flagged = v.flag_true_rebids(offers(spark, data), KEYS, ORDER, ["a", "b"], split_rows=20)
+    assert {r.n: (r.is_first, r.is_true_rebid) for r in flagged.collect()} == walk(data)
+
+
+@pytest.mark.parametrize("tie", ["n", "text"])
+def test_ten_thousand_ties(spark, tie):
+    """All of one instant; the second order column, a number or a text, divides them."""
+    df = spark.range(10_000).selectExpr(
+        "'hot' AS u", "1 AS p", "timestamp_ntz'2025-10-01' AS t", "cast(id AS int) AS n", "cast(id % 7 AS double) AS a", "0D AS b",
+        "concat(char(97 + cast(id / 400 AS int)), lpad(cast(id AS string), 6, '0')) AS text").repartition(4)
+    sliced = slicing.slice_hot_groups(df, KEYS, ["t", tie], split_rows=1000)
+    assert largest_slice(sliced) <= 1000
+    numbered = v.version_index(df, KEYS, ["t", tie], split_rows=1000)
+    assert numbered.where("version_index <> n + 1").count() == 0
+
+
+def test_untimed_rows_are_cut_along_the_tiebreak(spark):
+    data = [("hot", 1, None, i, float(i % 2), 0.0) for i in range(200)] + [("hot", 1, at("2025-10-01T00:00:00"), 200, 0.0, 0.0)]
+    df = offers(spark, data)
+    assert largest_slice(slicing.slice_hot_groups(df.where("t IS NULL"), KEYS, ORDER, split_rows=10)) <= 10
+    got = v.version_index(df, KEYS, ORDER, split_rows=10)
+    assert {r.n: r.version_index for r in got.collect()} == {i: i + 1 for i in range(201)}
+
+
+def test_text_as_the_first_order_column(spark):
+    data = [(f"k{i % 3}", f"{chr(97 + i % 26)}{i:03d}", i) for i in range(120)]
+    df = spark.createDataFrame(data, "u string, x string, i int")
+    got = {r.i: r.version_index for r in v.version_index(df, ["u"], ["x"], split_rows=5).collect()}
+    want = {}
+    for k in range(3):
+        want |= {i: n for n, (_, _, i) in enumerate(sorted(r for r in data if r[0] == f"k{k}"), 1)}
+    assert got == want
+
+
+def test_default_orders_do_not_depend_on_the_input(spark):
+    """Offers of one instant, default arguments: any order of the input gives the same rows."""
+    bands = [*PRICE_BANDS, *QUANTITY_BANDS]
+    rnd, t = random.Random(6), at("2025-09-30T12:00:00")
+    data = [("A", "R", "GEN", on("2025-10-01"), p, t, None if rnd.random() < 0.3 else rnd.randrange(2), rnd.choice(["DAILY", "REBID"]),
+             *[float(rnd.randrange(2)) for _ in bands]) for p in (1, 2) for _ in range(12)]
+    schema = "DUID string, BIDTYPE string, DIRECTION string, SETTLEMENTDATE date, PERIODID int, OFFERDATE timestamp_ntz, VERSIONNO int, " \
+             "ENTRYTYPE string, " + ", ".join(f"{x} double" for x in bands)
+    jobs = {
+        "lag": v.lag_bands, "flag": v.flag_true_rebids, "keep": v.keep_true_rebids, "initial": v.initial_offer, "final": v.final_offer,
+        "change": v.price_change, "index": v.version_index, "timeline": v.offer_timeline, "number": v.number_true_rebids,
+    }
+    seen = {}
+    for _ in range(2):
+        rnd.shuffle(data)
+        df = spark.createDataFrame(data, schema).coalesce(1)
+        for name, job in jobs.items():
+            seen.setdefault(name, []).append(rows(job(df)))
+    assert [n for n, (a, b) in seen.items() if a != b] == []
+
+
+@pytest.mark.parametrize("split_rows", [10**6, 4])
+def test_kept_and_numbered_in_one_pass(spark, split_rows):
+    data = random_offers(250, seed=9)
+    df = offers(spark, data)
+    two = v.version_index(v.keep_true_rebids(df, KEYS, ORDER, ["a", "b"]), KEYS, ORDER)
+    one = v.number_true_rebids(df, KEYS, ORDER, ["a", "b"], split_rows=split_rows)
+    assert {r.n: r.version_index for r in one.collect()} == {r.n: r.version_index for r in two.collect()}
+    assert one.columns == two.columns
