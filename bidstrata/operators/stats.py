@@ -286,11 +286,13 @@ def _listed(spark: SparkSession, lists: Mapping[str, Sequence]) -> DataFrame:
 
 def profile(df: DataFrame, distinct: Sequence[str], ranges: Sequence[str] = ()) -> DataFrame:
     """Row count, distinct counts and first/last values of the named columns, in one row."""
-    return df.agg(
+    # A column's distinct values apart from the others': several distinct counts in one aggregate repeat every row.
+    numbers = {c: df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*")).scalar() for c in distinct}
+    whole = df.agg(
         F.count("*").alias("n_rows"),
-        *[F.count_distinct(c).alias(f"n_{c}") for c in distinct],
         *[f(c).alias(f"{p}_{c}") for c in ranges for p, f in (("min", F.min), ("max", F.max))],
     )
+    return whole.select("n_rows", *[n.alias(f"n_{c}") for c, n in numbers.items()], *whole.columns[1:])
 
 
 def period_rebid_summary(
