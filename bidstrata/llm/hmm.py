@@ -83,12 +83,19 @@ def count_words(training: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Data
     """(word, n) of all training texts, and what of it the workers need."""
     counts = stored(
         training.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    head = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()
+    # The commonest words, as many whole steps of a sixteenth of an octave of counts as stay within ``head_words``.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, so_far = 1 << 30, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # under 1,024
+        so_far += r.words
+        if so_far > head_words:
+            break
+        least = r.step
+    head = sorted(counts.where(step >= least).collect(), key=lambda r: (-r.n, r.word))
     place = {r.word: k for k, r in enumerate(head)}
     texts = training.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = head[-1] if head else None
-    tail = counts.where((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("word") > least.word))) if head else counts
+    tail = counts.where(step < least)
     sizes = np.zeros(TAIL_CLASSES)
     for r in tail.groupBy(_tail_class(F.col("word")).alias("c")).agg((F.sum("n") + F.count("*")).alias("s")).collect():
         sizes[r.c] = r.s
