@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidstrata.sources.sinks import scratch_path
+
 #: Text that one vectorised step works on; bounds a Python worker's memory whatever a batch holds.
 CHUNK_BYTES = 4 << 20
 
@@ -21,24 +21,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path under the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, as in tests on one machine, it is set to a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="bidstrata-llm-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh path under the folder that driver and executors share (``spark.checkpoint.dir``); on one machine without
+    it, as in tests, under the warehouse. A cluster without it is an error."""
+    return scratch_path(spark)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: later reads survive lost executors."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        shared_folder(spark)
+        spark.sparkContext.setCheckpointDir(scratch_path(spark))
     return df.checkpoint()
 
 
@@ -66,6 +58,17 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
             yield batch.slice(a, b - a)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory that Arrow no longer uses back at its end: the worker lives on for other tasks."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words ``[^\\x20\\x09-\\x0D]+`` of the texts in order, and how many each text has (null: none)."""
     lists = pc.ascii_split_whitespace(texts.fill_null(""))

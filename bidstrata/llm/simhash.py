@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import doc_starts, lower_ascii, pieces, settled, split_words
+from bidstrata.llm.common import doc_starts, lower_ascii, pieces, releasing, settled, split_words
 from bidstrata.llm.components import least_reachable
 
 THRESHOLD = 3
+#: Text fingerprinted at a time; every word of it is hashed in a few shingles, which takes many times its size.
+PIECE_BYTES = 1 << 20
 #: Rows to remove are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: An anchor with more homes than this (or than a 100,000th of all) is split further; see ``_split_hot``.
@@ -83,14 +85,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp): the fingerprint as a signed long, and what tells rows of one doc_id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE_BYTES):
                 fp = fingerprint_texts(piece.column("text"), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     long = T.LongType()
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text_hash", long), T.StructField("fp", long)]))
+    return rows.mapInArrow(releasing(run), T.StructType([rows.schema["doc_id"], T.StructField("text_hash", long), T.StructField("fp", long)]))
 
 
 # --- anchors --------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import doc_starts, lower_ascii, pieces, shared_folder, split_words, spread
+from bidstrata.llm.common import doc_starts, lower_ascii, pieces, releasing, shared_folder, split_words, spread
 
 #: Words whose ids a worker remembers (twice as many at most), and the longest remembered.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
@@ -125,12 +125,12 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np
     return flat, ends + np.arange(1, len(ends) + 1)
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, piece_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         shard, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(batch, limit=PIECE_BYTES):
+            for piece in pieces(batch, limit=piece_bytes):
                 flat, ends = encode_texts(piece.column("text"), encoder, end_id)
                 n = np.diff(np.concatenate([[0], ends]))
                 names = [c for c in piece.schema.names if c != "text"]
@@ -147,12 +147,13 @@ def _encode(path: str, end_id: int):
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *, metadata: Sequence[str] = (),
     encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10,
-    page_rows: int = 2_000, compression: str = "zstd",
+    page_rows: int = 2_000, compression: str = "zstd", piece_bytes: int = PIECE_BYTES,
 ) -> None:
     """Encode ``text`` and write it in ascending ``doc_id`` order.
 
     ``tokenizer_path`` is read on every executor. Words are encoded apart and lower-cased (A-Z), and their ids are
     remembered; this equals encoding the text for tokenizers that lower-case, split at white space and drop it.
+    ``piece_bytes``: text encoded at a time; smaller pieces take less memory and more time.
     ``encoding``: "dictionary", or "delta" (binary packed differences). ``metadata``: columns to keep; where one
     is called shard, offset, n_tokens or tokens, it is left out in favour of the file's own.
 
@@ -173,7 +174,7 @@ def write_tokens(
         T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType())),
     ])
     (
-        placed.mapInArrow(_encode(tokenizer_path, end_id), schema).write.mode("overwrite")
+        placed.mapInArrow(releasing(_encode(tokenizer_path, end_id, piece_bytes)), schema).write.mode("overwrite")
         .option("compression", compression).option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", str(encoding == "dictionary").lower())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import crc_mod, doc_starts, pieces, settled, split_words
+from bidstrata.llm.common import crc_mod, doc_starts, pieces, releasing, settled, split_words
 
 #: About how many labelled rows the model is fitted on at most, and how many mined terms it may use.
 FIT_ROWS, MAX_TERMS = 20_000, 4_096
@@ -86,7 +86,7 @@ PATTERN_VOTERS = ("capitals", "exclamation", "symbols", "repetition", "brevity")
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, sketch, terms, patterns) of each text. Near copies mostly share the sketch, the least hash of word pairs."""
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=1 << 20):
             terms, sketches, votes = [], [], []
             for text in piece.column("text").to_pylist():
                 words = [w.decode() for w in text.encode().split()]
@@ -175,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
     schema = T.StructType([
         chosen.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("sketch", T.LongType()),
         T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
-    seen = settled(chosen.mapInArrow(_described, schema))
+    seen = settled(chosen.mapInArrow(releasing(_described), schema))
     apart = seen.groupBy("sketch", "y").agg(F.min_by("terms", "doc_id").alias("terms"))
     sizes = apart.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     total, toxic = sizes[0], sizes[1]
@@ -192,17 +192,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
     floor = 2 * math.log(2 * max(often.count(), 50))  # a chance find among so many is unlikely above
     best = [(t, a, n) for t, a, n in best if _g2(a, n, toxic, total) >= floor]
     place = {t: k for k, (t, _, _) in enumerate(best)}
-    pick = F.filter("terms", lambda t: t.isin(*place)) if len(place) <= 64 else None
-
-    lookup = docs.sparkSession.createDataFrame([(t, k) for t, k in place.items()], "term string, k int")
-    if pick is None or place:
-        marked = (
-            seen.select("doc_id", "sketch", F.explode("terms").alias("term")).join(F.broadcast(lookup), "term")
-            .groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-        )
-        found = seen.join(marked, "doc_id", "left").select("doc_id", "y", "patterns", "ks")
-    else:
-        found = seen.select("doc_id", "y", "patterns", F.lit(None).cast("array<int>").alias("ks"))
+    lookup = docs.sparkSession.createDataFrame(list(place.items()), "term string, k int")
+    marked = (
+        seen.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(lookup), "term")
+        .groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    )
+    found = seen.join(marked, "doc_id", "left").select("doc_id", "y", "patterns", "ks")
     rows = sorted(found.toLocalIterator(), key=lambda r: str(r.doc_id))  # at most about fit_rows
 
     # Lexicon voters: kind of term by strength; and one voter a kind that votes clean where none of its terms occurs.
@@ -235,7 +230,7 @@ def score_texts(texts: pa.Array, model: ToxicityModel, known: dict[str, list[str
     words, counts = split_words(texts)
     coded = words.dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    if len(known) > 200_000:
+    if len(known) > 50_000:
         known.clear()
     hits: list[list[str]] = []
     for word in vocabulary:
@@ -266,13 +261,13 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=1 << 20):
                 score = score_texts(piece.column("text"), model, known)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score)], [*piece.schema.names, name])
 
     if name in docs.columns:
         raise ValueError(f"there is a column {name} already")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(releasing(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
