@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,13 +243,22 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_name() -> Column:
+    """What rows of a component are ordered by: doc_id, null ones last, then the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+
+
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (null ones last), then of the least hash of its
     text. Rows alike in doc_id and text are copies, of which one stays. All columns are kept."""
     rows = settled(fingerprints(docs, shingle))
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    return keep_first(docs, rows, _classes(rows, first=row_name()), "fp")
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, firsts: DataFrame, of: str) -> DataFrame:
+    """``docs`` without the ``rows`` (doc_id, text_hash, ``of``) that are not the first of ``firsts`` (``of``, first)."""
     gone = settled(
-        rows.join(_classes(rows, first=key), "fp").where(~key.eqNullSafe(F.col("first")))
+        rows.join(firsts, of).where(~row_name().eqNullSafe(F.col("first")))
         .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     n = gone.count()
     left = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (
