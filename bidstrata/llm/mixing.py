@@ -21,7 +21,8 @@ from bidstrata.llm.common import settled
 FIT_ROWS, BUCKETS = 20_000, 4_096
 #: Evidence of a text counts as that of so many words at most, so that mixed texts keep mixed posteriors.
 EVIDENCE_WORDS = 30
-MAX_DOMAINS = 64
+#: Domains at most by default: the driver solves a system of so many rows. Up to FEW_DOMAINS the sums are one row.
+MAX_DOMAINS, FEW_DOMAINS = 512, 64
 
 
 @dataclass(frozen=True)
@@ -41,18 +42,19 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lower(word)), F.lit(buckets)).cast("int")
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS,
+                max_domains: int = MAX_DOMAINS) -> DomainModel:
     """Fit on ``labelled`` (doc_id, domain), thinned by a hash of doc_id to about ``fit_rows`` rows. Rows lacking
-    either are left out; of several labels the least counts."""
+    either are left out; of several labels the least counts. More than ``max_domains`` domains are an error."""
     usable = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.col("domain").cast("string")).alias("domain"))
     total = usable.count()
     if total > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * fit_rows / total))
     usable = settled(usable)
-    share = {r.domain: r.n for r in usable.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
-    if len(share) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    share = {r.domain: r.n for r in usable.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(max_domains + 1).collect()}
+    if len(share) > max_domains:
+        raise ValueError(f"more than {max_domains} domains; see max_domains")
     names = tuple(share)
     if not names:
         return DomainModel((), (), docs.sparkSession.range(0).select(F.col("id").cast("int").alias("bucket")))
@@ -65,8 +67,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS,
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(by_bucket, "bucket", "left")
     scores = [
         F.log((F.coalesce(F.col(f"n{k}"), F.lit(0)) + 0.5) / F.lit(totals.get(d, 0) + 0.5 * buckets)) for k, d in enumerate(names)]
-    mean = sum(scores[1:], scores[0]) / len(names)
-    table = every.select("bucket", *[(s - mean).alias(f"s{k}") for k, s in enumerate(scores)])
+    raw = every.select("bucket", *[s.alias(f"r{k}") for k, s in enumerate(scores)])
+    mean = sum((F.col(f"r{k}") for k in range(1, len(names))), F.col("r0")) / len(names)
+    table = raw.withColumn("mean", mean).select("bucket", *[(F.col(f"r{k}") - F.col("mean")).alias(f"s{k}") for k in range(len(names))])
     known = sum(share.values())
     return DomainModel(names, tuple(math.log(n / known) for n in share.values()), settled(table))
 
@@ -106,6 +109,27 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
+def _sums(now: DataFrame, loose: Column, amount: list[Column]) -> dict[str, float | None]:
+    n = len(amount)
+    return now.agg(
+        *[F.sum(F.col("r") * amount[k]).alias(f"t{k}") for k in range(n)],
+        *[F.sum(loose * amount[i] * amount[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first().asDict()
+
+
+def _sums_by_row(now: DataFrame, loose: Column, amount: list[Column]) -> dict[str, float | None]:
+    """The same sums, grouped by the first domain: the plan has a column a domain, not one a pair of them."""
+    n = len(amount)
+    each = now.select("*", F.posexplode("posteriors").alias("i", "p")).where("p <> 0")
+    rows = each.groupBy("i").agg(
+        F.sum(F.col("r") * F.col("n_words") * F.col("p")).alias("t"),
+        *[F.sum(loose * F.col("n_words") * F.col("p") * amount[j]).alias(f"g{j}") for j in range(n)]).collect()
+    found = {f"t{k}": None for k in range(n)} | {f"g{i}_{j}": None for i in range(n) for j in range(i, n)}
+    for row in rows:
+        found[f"t{row.i}"] = row.t
+        found |= {f"g{row.i}_{j}": row[f"g{j}"] for j in range(row.i, n)}
+    return found
+
+
 def fit_rates(members: DataFrame, targets: Sequence[float], *, floor: float = 0.0, start: float = 1.0,
               rounds: int = 40, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
     """Add ``rate`` to ``members`` (n_words, posteriors): at least ``floor``, so that the sums over documents of
@@ -124,6 +148,10 @@ def fit_rates(members: DataFrame, targets: Sequence[float], *, floor: float = 0.
         if not steps:
             return F.greatest(F.lit(float(start)), F.lit(float(floor)))
         listed = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+        if n > FEW_DOMAINS:
+            return F.aggregate(listed, F.greatest(F.lit(float(start)), F.lit(float(floor))), lambda r, s: F.greatest(
+                r + F.col("n_words") * F.aggregate(F.zip_with(s, "posteriors", lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x),
+                F.lit(float(floor))))
         return F.aggregate(listed, F.greatest(F.lit(float(start)), F.lit(float(floor))), lambda r, s: F.greatest(
             r + sum((F.get(s, F.lit(k)) * amount[k] for k in range(1, n)), F.get(s, F.lit(0)) * amount[0]), F.lit(float(floor))))
 
@@ -133,9 +161,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], *, floor: float = 0.
     for _ in range(rounds + 1):
         now = members.select("n_words", "posteriors", rate(steps).alias("r"))
         loose = F.when(F.col("r") > floor, 1.0).otherwise(0.05)
-        sums = now.agg(
-            *[F.sum(F.col("r") * amount[k]).alias(f"t{k}") for k in range(n)],
-            *[F.sum(loose * amount[i] * amount[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+        sums = _sums(now, loose, amount) if n <= FEW_DOMAINS else _sums_by_row(now, loose, amount)
         residual = [targets[k] - (sums[f"t{k}"] or 0.0) for k in range(n)]
         missing.append(sum(map(abs, residual)) / scale)
         if missing[-1] < tolerance or len(steps) == rounds:
@@ -150,19 +176,20 @@ def fit_rates(members: DataFrame, targets: Sequence[float], *, floor: float = 0.
 
 def mixing_rates(
     docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], *, tokens: float | None = None, floor: float = 0.0,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int = FIT_ROWS, max_domains: int = MAX_DOMAINS,
 ) -> tuple[DataFrame, tuple[str, ...]]:
     """(doc_id, text_hash, n_words, posteriors, rate) of each distinct row of ``docs``, and the domains in order.
 
     ``weights``: the share of expected words that each domain shall have; a domain without one gets none, weights of
     unknown domains are left out, and what remains is scaled to sum to 1. ``tokens``: expected words in all. The
     default is as many as there are; with a ``floor`` of 1 (keep every document, repeat some), as many as the most
-    over-represented domain calls for.
+    over-represented domain calls for. ``max_domains``: labelled rows of more domains are an error; the driver holds and
+    solves a system of as many rows and columns each round.
 
     Rows alike in doc_id and text are one document here and share its rate. Texts without words have rate ``floor`` or
     1, whichever is higher. Without labelled rows, words or weights every rate is 1.
     """
-    model = fit_domains(docs, labelled, fit_rows)
+    model = fit_domains(docs, labelled, fit_rows, max_domains=max_domains)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     wanted = [max(float(weights.get(d, 0.0)), 0.0) for d in model.domains]
     if not sum(wanted):

@@ -105,6 +105,30 @@ def test_rates_meet_targets(spark, documents, floor):
     assert floor == 0 or len(times) == len(rows)
 
 
+def test_more_domains_than_one_row_of_sums_holds(spark, documents):
+    n = 66
+    rows = [(k, " ".join([f"own{k % n}x{k % 3}"] * 20 + ["shared"] * 5)) for k in range(3 * n)]
+    domain = spark.createDataFrame([(k, f"d{k % n:02}") for k, _ in rows], "doc_id long, domain string")
+    weights = {f"d{k:02}": 1.0 + (k % 2) for k in range(n)}
+    rates, names = mixing.mixing_rates(documents(rows), domain, weights)
+    got = rates.collect()
+    assert len(names) == n and len(got) == len(rows)
+    sums = np.array([sum(r.rate * r.n_words * r.posteriors[k] for r in got) for k in range(n)])
+    assert np.allclose(sums / sums.sum(), np.array([weights[d] for d in names]) / sum(weights.values()), atol=1e-4)
+    with pytest.raises(ValueError, match="max_domains"):
+        mixing.mixing_rates(documents(rows), domain, weights, max_domains=n - 1)
+
+
+def test_both_ways_to_sum_agree(spark, documents, monkeypatch):
+    rows = [(k, f"one two three w{k % 4} w{k % 4} v{k % 7}") for k in range(40)]
+    domain = spark.createDataFrame([(k, "abcd"[k % 4]) for k, _ in rows], "doc_id long, domain string")
+    weights = {"a": 4.0, "b": 1.0, "c": 2.0, "d": 1.0}
+    few = {r.doc_id: r.rate for r in mixing.mixing_rates(documents(rows), domain, weights)[0].collect()}
+    monkeypatch.setattr(mixing, "FEW_DOMAINS", 0)
+    many = {r.doc_id: r.rate for r in mixing.mixing_rates(documents(rows), domain, weights)[0].collect()}
+    assert many.keys() == few.keys() and all(abs(many[k] - few[k]) < 1e-6 for k in few)
+
+
 def test_rates_of_odd_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long, domain string")
     plain, names = mixing.mixing_rates(documents(ODD), none, {"en": 1.0})
