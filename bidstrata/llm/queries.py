@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.llm import chat, decontaminate, hmm, mixing, ordinal, passages, quality_rules, simhash, token_files, toxicity
+from bidstrata.llm import (
+    chat, decontaminate, hmm, infilling, mixing, neighbours, ordinal, passages, quality_rules, resampling, simhash,
+    token_files, toxicity,
+)
 from bidstrata.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +168,84 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn, r
   sha256(string_agg(trained, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infilling_digest(load(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_infilling"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digits FROM documents
+), drawn AS (
+  SELECT *, len(lines) AS n, CAST('0x' || substr(digits, 1, 8) AS BIGINT) % (len(lines) + 1) AS one,
+    CAST('0x' || substr(digits, 9, 8) AS BIGINT) % (len(lines) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR CAST('0x' || substr(digits, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || substr(digits, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), part AS (
+  SELECT *, array_to_string(lines[1:least(one, two)], '') AS prefix,
+    array_to_string(lines[least(one, two) + 1:greatest(one, two)], '') AS middle,
+    array_to_string(lines[greatest(one, two) + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM part
+"""
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+#: CRCs are taken of distinct features only, a byte at a time over a table of the 256 one-byte steps.
+ORACLES["op12_resampling"] = r"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda c: list_reduce(range(8),
+    lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, c)) AS t
+), split AS (
+  SELECT doc_id, true AS own, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+  UNION ALL
+  SELECT NULL, false, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') FROM benchmark
+), feature AS (
+  SELECT doc_id, own, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM split
+), counted AS (
+  SELECT doc_id, own, f, count(*) AS n FROM feature GROUP BY ALL
+), named AS (
+  SELECT f, xor(list_reduce(list_transform(range(strlen(f)), lambda i: CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), step
+), held AS (
+  SELECT bucket, sum(n) FILTER (own) AS s, sum(n) FILTER (NOT own) AS t FROM counted JOIN named USING (f) GROUP BY bucket
+), whole AS (
+  SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS all_s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS all_t FROM held
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (all_s + 10000)
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * (all_t + 10000)))) AS BIGINT) AS g FROM held, whole
+), weighed AS (
+  SELECT doc_id, sum(n) AS n, CAST(floor(sum(n * g) / sum(n)) AS BIGINT) AS weight
+  FROM counted JOIN named USING (f) JOIN gain USING (bucket) WHERE own GROUP BY doc_id
+), scored AS (
+  SELECT s.doc_id, len(ws) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || s.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296))) AS BIGINT) AS score
+  FROM split s LEFT JOIN weighed w USING (doc_id) WHERE own
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS drawn FROM scored WHERE words >= 20
+)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
