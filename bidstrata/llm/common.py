@@ -46,6 +46,26 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, most: int) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by (doc_id, text_hash), which is broadcast up to ``most`` rows.
+    Columns of ``docs`` may have any names."""
+    key, digest = free_names(docs, "gone_id", "gone_hash")
+    named = settled(gone.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct())
+    return docs.join(F.broadcast(named) if named.count() <= most else named, docs["doc_id"].eqNullSafe(F.col(key)) & (
+        F.xxhash64(docs["text"]) == F.col(digest)), "left_anti")
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of ``column``, a single longer row alone."""
     if not batch.num_rows:

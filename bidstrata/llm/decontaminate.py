@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidstrata.llm.common import settled
+from bidstrata.llm.common import settled, without_rows
 
 WINDOW = 13
 #: A benchmark with more search terms or terms than this is joined by shuffle instead of being broadcast.
@@ -176,7 +176,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark, window, share)
-    gone = settled(found.where("contaminated").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
-    return docs.join(_small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("_gone")) & (
-        F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return without_rows(docs, contamination(docs, benchmark, window, share).where("contaminated"), BROADCAST_ROWS)

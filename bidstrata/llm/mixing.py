@@ -12,10 +12,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidstrata.llm.common import settled
+from bidstrata.llm.common import free_names, settled
 
 #: Labelled rows the classifier is fitted on at most (about), and hash buckets of words.
 FIT_ROWS, BUCKETS = 20_000, 4_096
@@ -93,22 +94,6 @@ def domain_posteriors(docs: DataFrame, model: DomainModel, key: Sequence[str], b
     return raised.select(*key, "n_words", F.transform("e", lambda x: x / total).alias("posteriors"))
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination on one small system, a row per domain."""
-    n = len(right)
-    rows = [[*matrix[i], right[i]] for i in range(n)]
-    for i in range(n):
-        pivot = max(range(i, n), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[pivot] = rows[pivot], rows[i]
-        for r in range(i + 1, n):
-            f = rows[r][i] / rows[i][i]
-            rows[r] = [x - f * y for x, y in zip(rows[r], rows[i], strict=True)]
-    out = [0.0] * n
-    for i in reversed(range(n)):
-        out[i] = (rows[i][n] - sum(rows[i][j] * out[j] for j in range(i + 1, n))) / rows[i][i]
-    return out
-
-
 def _sums(now: DataFrame, loose: Column, amount: list[Column]) -> dict[str, float | None]:
     n = len(amount)
     return now.agg(
@@ -166,9 +151,9 @@ def fit_rates(members: DataFrame, targets: Sequence[float], *, floor: float = 0.
         missing.append(sum(map(abs, residual)) / scale)
         if missing[-1] < tolerance or len(steps) == rounds:
             break
-        gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]
-        ridge = 1e-9 * max(max(gram[i][i] for i in range(n)), 1e-9)
-        steps.append(_solve([[gram[i][j] + (ridge if i == j else 0) for j in range(n)] for i in range(n)], residual))
+        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+        ridge = 1e-9 * max(gram.diagonal().max(), 1e-9)
+        steps.append(np.linalg.solve(gram + ridge * np.eye(n), residual).tolist())
         if len(missing) > 3 and missing[-1] > 0.999 * missing[-3]:
             break  # the bounds keep it from coming nearer
     return members.withColumn("rate", rate(steps)), missing
@@ -211,9 +196,10 @@ def mixing_rates(
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs`` with each row repeated floor(rate) or one more times, the latter with the rate's fraction as
     probability, decided by a hash of doc_id and text: the same rows every run."""
-    keys = rates.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("rate").alias("_mix_rate"))
-    joined = docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (F.xxhash64(docs["text"]) == F.col("_mix_hash")))
-    rate = F.col("_mix_rate")
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("_mix_id"), F.col("_mix_hash")), F.lit(1 << 20)) / float(1 << 20)
-    times = (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return joined.withColumn("_mix_times", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    key, digest, rate, times = free_names(docs, "mix_id", "mix_hash", "mix_rate", "mix_times")
+    keys = rates.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("rate").alias(rate))
+    joined = docs.join(keys, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(digest)))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(key), F.col(digest)), F.lit(1 << 20)) / float(1 << 20)
+    whole = F.floor(rate)
+    n = (whole + F.when(chance < F.col(rate) - whole, 1).otherwise(0)).cast("int")
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).select(*[docs[c] for c in docs.columns])

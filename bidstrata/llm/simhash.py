@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import doc_starts, lower_ascii, pieces, releasing, settled, split_words
+from bidstrata.llm.common import doc_starts, lower_ascii, pieces, releasing, settled, split_words, without_rows
 from bidstrata.llm.components import least_reachable
 
 THRESHOLD = 3
@@ -257,11 +257,6 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def keep_first(docs: DataFrame, rows: DataFrame, firsts: DataFrame, of: str) -> DataFrame:
     """``docs`` without the ``rows`` (doc_id, text_hash, ``of``) that are not the first of ``firsts`` (``of``, first)."""
-    gone = settled(
-        rows.join(firsts, of).where(~row_name().eqNullSafe(F.col("first")))
-        .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
-    n = gone.count()
-    left = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, docs["doc_id"].eqNullSafe(F.col("_gone")) & (
-        F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    left = without_rows(docs, rows.join(firsts, of).where(~row_name().eqNullSafe(F.col("first"))), BROADCAST_ROWS)
     copies = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if copies else left

@@ -41,7 +41,7 @@ def stages(spark, tmp_path_factory):
 def test_stages_are_registered():
     assert len(corpus_pipeline.STAGES) == 5 and "pipeline" in entry.queries()
     own = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in own) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in own) == list(range(1, 14))
 
 
 def test_all_but_the_last_return_documents(stages):
