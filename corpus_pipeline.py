@@ -6,20 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidstrata.llm import decontaminate, mixing, similar, token_files, toxicity
-from bidstrata.llm.common import load, shared_folder
+from bidstrata.llm import decontaminate, mixing, simhash, token_files, toxicity
+from bidstrata.llm.common import free_names, load, shared_folder
 from bidstrata.llm.queries import LANGUAGE_WEIGHTS, labelled_languages
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go (score of 0.3 or more)."""
     model = toxicity.fit_toxicity(docs, load(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    (score,) = free_names(docs, "toxicity")
+    return toxicity.with_toxicity(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 0.8 or more the one of least doc_id stays."""
-    return similar.keep_one(docs)
+    """Of documents linked by fingerprints of three-word shingles within three bits the one of least doc_id stays."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
