@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from bidstrata.llm.common import releasing, stored
 
 #: Rows and probes of a cell compared in one task; a larger cell is dealt out in blocks of so many each.
-BLOCK = 1_024
+BLOCK = 256
 #: Cells dealt out in blocks are listed: each holds more than a so-manieth of all rows or probes, so the list is bounded.
 MAX_HOT = 100_000
 #: Settings tried: directions a table, and cell widths in units of the median distance to a query's farthest neighbour.
