@@ -45,5 +45,28 @@ def binding(df: DataFrame, col: str = "MARGINALVALUE") -> DataFrame:
 
 
 def actual_run(df: DataFrame, runno: int = 1, intervention: int = 0) -> DataFrame:
-    """Rows of one dispatch run. Which INTERVENTION value is the physical one is the caller's to say."""
+    """Rows of one dispatch run, the same for all intervals. See ``counting_run`` where runs differ by interval."""
     return df.where((F.col("RUNNO") == runno) & (F.col("INTERVENTION") == intervention))
+
+
+def counting_run(
+    df: DataFrame, keys: Sequence[str], intervention: Sequence[int] = (1, 0), rerun: str = "last",
+) -> DataFrame:
+    """Of each key, say a region, unit or constraint and an interval, the rows of the run that counts.
+
+    Of several RUNNO the ``last`` or ``first`` counts; of its runs the one whose INTERVENTION comes first in
+    ``intervention``: (1, 0) takes the intervened run wherever there is one, (0, 1) the other one, and either takes the only
+    run of a key that has one. Values not named come after those named, null last. Keys may be null.
+    """
+    if rerun not in ("last", "first"):
+        raise ValueError(f"unknown rerun {rerun!r}")
+    wish = F.lit(len(intervention) + 1)
+    for place, value in reversed(list(enumerate(intervention))):
+        wish = F.when(F.col("INTERVENTION") == value, place).otherwise(wish)
+    wish = F.when(F.col("INTERVENTION").isNull(), len(intervention) + 2).otherwise(wish)
+    nth = -F.col("RUNNO") if rerun == "last" else F.col("RUNNO")
+    # The least of (no number, number, wish, value) by key; every task sends one row of a key.
+    run = F.struct(F.col("RUNNO").isNull().alias("unnumbered"), nth.alias("nth"), wish.alias("wish"), F.col("INTERVENTION").alias("kind"))
+    best = df.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.min(run).alias("_run"))
+    same = " AND ".join(f"`{k}` <=> _k{n}" for n, k in enumerate(keys))
+    return df.withColumn("_mine", run).join(best, F.expr(f"{same} AND _mine <=> _run"), "left_semi").drop("_mine")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from bidstrata.functions.periods import period_id
 from bidstrata.functions.units import is_autobidder, is_battery, unit_category
 from bidstrata.operators.slicing import last_known
+from bidstrata.operators.validity import in_force, merged_periods, overlaps, version_periods
 from bidstrata.schema import ALIGN_DETAIL, AUCTION, OFFER_TIME
 
 
@@ -89,9 +90,18 @@ def applied_offers(
     return pointed.join(panel, ["DUID", "BIDTYPE", "SETTLEMENTDATE", "OFFERDATE", "PERIODID"], how)
 
 
-def with_region(df: DataFrame, unit_summary: DataFrame) -> DataFrame:
-    """Attach the region a unit is registered in."""
-    return df.join(unique_units(unit_summary.select("DUID", "REGIONID")), "DUID", "left")
+def with_region(
+    df: DataFrame, unit_summary: DataFrame, at: str | None = None, start: str = "START_DATE", end: str = "END_DATE"
+) -> DataFrame:
+    """Attach the region a unit is registered in.
+
+    With ``at``, a time column of ``df``, the registration in force at that time counts: ``start`` <= time < ``end``. A unit
+    may then be listed once for each period; overlapping periods are an error, and a time in none gives no region.
+    Without it a unit listed twice is an error.
+    """
+    if at is None:
+        return df.join(unique_units(unit_summary.select("DUID", "REGIONID")), "DUID", "left")
+    return in_force(df, unit_summary.select("DUID", start, end, "REGIONID"), ["DUID"], at, start, end)
 
 
 def offer_in_force(
@@ -144,29 +154,122 @@ def binding_constraints(
     return bound.join(definitions, "CONSTRAINTID").join(lhs, "CONSTRAINTID")
 
 
-def demand_error(
-    actual: DataFrame, forecast: DataFrame, keys: Sequence[str] = ("REGIONID", "SETTLEMENTDATE"),
-    value: str = "DEMAND",
+def invoked_versions(definitions: DataFrame, sets: DataFrame, invocations: DataFrame) -> DataFrame:
+    """(GENCONID, EFFECTIVEDATE, VERSIONNO, START_DATE, END_DATE): when each version of a constraint was both the one in
+    force and invoked through some set it is in.
+
+    ``sets`` lists the constraints of each set (GENCONSETID, GENCONID), ``invocations`` when a set was active
+    (GENCONSETID, STARTINTERVALDATETIME, ENDINTERVALDATETIME). A constraint in several sets, or in a set invoked again
+    meanwhile, is invoked once: periods are merged before they meet the versions, so none of the result overlap.
+    """
+    active = invocations.select(
+        "GENCONSETID", F.col("STARTINTERVALDATETIME").alias("START_DATE"), F.col("ENDINTERVALDATETIME").alias("END_DATE"))
+    by_constraint = sets.select("GENCONSETID", "GENCONID").distinct().join(merged_periods(active, ["GENCONSETID"]), "GENCONSETID")
+    return overlaps(version_periods(definitions, ["GENCONID"]), merged_periods(by_constraint, ["GENCONID"]), ["GENCONID"])
+
+
+def constraint_units(
+    results: DataFrame, definitions: DataFrame, lhs: DataFrame, invoked: DataFrame | None = None, at: str = "SETTLEMENTDATE",
+    unit: str = "CONNECTIONPOINTID", per_interval: bool = False,
 ) -> DataFrame:
-    """Forecast beside actual demand: ``error`` (forecast − actual), ``abs_error`` and ``pct_error``."""
-    pair = actual.select(*keys, F.col(value).alias("actual")).join(
-        forecast.select(*keys, F.col(value).alias("forecast")), list(keys)
-    )
+    """Units on the left-hand side of constraints that bound, by the version of the constraint in force at the interval.
+
+    ``results`` name a constraint CONSTRAINTID at ``at``. ``definitions`` (GENCONID, EFFECTIVEDATE, VERSIONNO, …) and ``lhs``
+    (the same, ``unit``, FACTOR) hold every version; versions that do not count at an interval add nothing to it. With
+    ``invoked`` (see ``invoked_versions``) only intervals at which the version was invoked count.
+
+    By default a row per constraint and unit: the binding intervals, the mean and greatest marginal value, the number of
+    versions among them, and the unit's factor in the latest. Intervals are summed up per version before units join, so
+    rows never multiply intervals by units. ``per_interval`` gives a row per binding interval and unit, the version's
+    other columns with it.
+    """
+    version = ["EFFECTIVEDATE", "VERSIONNO"]
+    bound = results.where(F.col("MARGINALVALUE") > 0).withColumnRenamed("CONSTRAINTID", "GENCONID")
+    if invoked is None:
+        dated = in_force(bound, version_periods(definitions, ["GENCONID"]), ["GENCONID"], at, cols=version, how="inner")
+    else:
+        dated = in_force(bound, invoked, ["GENCONID"], at, cols=version, how="inner")
+    of_units = lhs.select("GENCONID", *version, unit, "FACTOR").distinct()
+    if per_interval:
+        described = dated.join(definitions.dropDuplicates(["GENCONID", *version]), ["GENCONID", *version])
+        return described.join(of_units, ["GENCONID", *version]).withColumnRenamed("GENCONID", "CONSTRAINTID")
+    sums = dated.groupBy("GENCONID", *version).agg(
+        F.count("*").alias("n"), F.sum("MARGINALVALUE").alias("total"), F.max("MARGINALVALUE").alias("most"))
+    return sums.join(of_units, ["GENCONID", *version]).groupBy(F.col("GENCONID").alias("CONSTRAINTID"), unit).agg(
+        F.sum("n").alias("binding_intervals"), (F.sum("total") / F.sum("n")).alias("mean_marginal_value"),
+        F.max("most").alias("max_marginal_value"), F.count_distinct(*version).alias("versions"),
+        F.max_by("FACTOR", F.struct(*version)).alias("last_factor"))
+
+
+def with_error(pair: DataFrame) -> DataFrame:
+    """Add ``error`` (forecast − actual), ``abs_error`` and ``pct_error`` to rows with ``actual`` and ``forecast``."""
     error = F.col("forecast") - F.col("actual")
     return pair.withColumns({
         "error": error, "abs_error": F.abs(error), "pct_error": F.try_divide(error, F.col("actual")) * 100,
     })
 
 
+def demand_error(
+    actual: DataFrame, forecast: DataFrame, keys: Sequence[str] = ("REGIONID", "SETTLEMENTDATE"),
+    value: str = "DEMAND", forecast_value: str | None = None,
+) -> DataFrame:
+    """Forecast beside actual demand, one forecast an interval: ``error``, ``abs_error`` and ``pct_error``.
+
+    ``value`` names the actual figure, ``forecast_value`` (the same by default) the forecast one. A table that holds both,
+    as the regional dispatch summary does, is given twice and read once.
+    """
+    mine = F.col(value).alias("actual")
+    theirs = F.col(forecast_value or value).alias("forecast")
+    if actual is forecast:
+        return with_error(actual.select(*keys, mine, theirs))
+    return with_error(actual.select(*keys, mine).join(forecast.select(*keys, theirs), list(keys)))
+
+
+def forecast_error(
+    actual: DataFrame, forecast: DataFrame, leads: Sequence[int], keys: Sequence[str] = ("REGIONID",),
+    interval: str = "INTERVAL_DATETIME", issued: str = "LOAD_DATE", value: str = "OPERATIONAL_DEMAND",
+    forecast_value: str = "OPERATIONAL_DEMAND_POE50", forecast_interval: str | None = None, how: str = "inner",
+) -> DataFrame:
+    """Actual demand beside what was forecast of it at each lead: for every interval and each of ``leads``, in minutes, the
+    last forecast ``issued`` at least so long before the interval (of one issue time the greatest figure).
+
+    A row per interval and lead: ``lead``, ``issued``, ``actual``, ``forecast`` and the errors. With ``how='left'`` intervals
+    without so early a forecast are there too, the forecast null. All leads are found in one aggregation over the
+    forecasts, which keeps one row of each interval per task, so neither many vintages nor a hot region gathers anywhere.
+    """
+    at = forecast_interval or interval
+    made = forecast.where(F.col(issued).isNotNull() & F.col(forecast_value).isNotNull()).select(
+        *keys, F.col(at).alias(interval), F.col(issued).alias("issued"), F.col(forecast_value).alias("forecast"))
+    early = lambda minutes: F.col("issued") <= F.col(interval) - F.make_dt_interval(mins=F.lit(minutes))
+    best = made.groupBy(*keys, interval).agg(*[
+        F.max(F.when(early(m), F.struct("issued", "forecast"))).alias(f"_lead{m}") for m in leads])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("lead"), F.col(f"_lead{m}").alias("found")) for m in leads]))
+    known = actual.select(*keys, interval, F.col(value).alias("actual")).join(best, [*keys, interval], how)
+    long = known.select(*keys, interval, "actual", each.alias("_each")).select(
+        *keys, interval, "_each.lead", "_each.found.issued", "actual", "_each.found.forecast")
+    return with_error(long if how == "left" else long.where("issued IS NOT NULL"))
+
+
+def error_by_lead(errors: DataFrame, by: Sequence[str] = ("REGIONID",)) -> DataFrame:
+    """Per group and lead: intervals, those with a forecast, bias, mean absolute, root mean square and mean absolute
+    percentage error."""
+    return errors.groupBy(*by, "lead").agg(
+        F.count("*").alias("intervals"), F.count("forecast").alias("forecasts"), F.avg("error").alias("bias"),
+        F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
+        F.avg(F.abs("pct_error")).alias("mape"))
+
+
 def dispatch_value(
-    load: DataFrame, prices: DataFrame, units: DataFrame, keys: Sequence[str] = ("REGIONID", "SETTLEMENTDATE", "BIDTYPE")
+    load: DataFrame, prices: DataFrame, units: DataFrame, keys: Sequence[str] = ("REGIONID", "SETTLEMENTDATE", "BIDTYPE"),
+    at: str | None = None,
 ) -> DataFrame:
     """Unit dispatch at its region's price: adds ``REGIONID``, ``PRICE`` and ``value`` = MW × price × 5/60.
 
-    ``load`` is long (DUID, SETTLEMENTDATE, BIDTYPE, MW); ``prices`` is the long regional price table.
+    ``load`` is long (DUID, SETTLEMENTDATE, BIDTYPE, MW); ``prices`` is the long regional price table. ``at``: see
+    ``with_region``.
     """
     return (
-        with_region(load, units)
+        with_region(load, units, at)
         .join(prices, list(keys))
         .withColumn("value", F.col("MW") * F.col("PRICE") * 5 / 60)
     )

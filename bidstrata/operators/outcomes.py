@@ -23,27 +23,39 @@ def price_separation(prices: DataFrame, by: Sequence[str] = ("SETTLEMENTDATE", "
 
 
 def fcas_revenue(
-    load: DataFrame, prices: DataFrame, units: DataFrame, by: Sequence[str] = ("DUID", "BIDTYPE")
+    load: DataFrame, prices: DataFrame, units: DataFrame, by: Sequence[str] = ("DUID", "BIDTYPE"), at: str | None = None
 ) -> DataFrame:
-    """Ancillary-service revenue per unit and service: price × enabled MW × 5/60, energy left out.
+    """Ancillary-service revenue per unit and service: price × enabled MW × 5/60, energy left out. ``at``: the time whose
+    registration counts where units are listed by period (see ``with_region``).
 
     MW is summed per region, interval and unit side first, so what meets the price table is already small.
     """
     enabled = load.where(~F.col("BIDTYPE").eqNullSafe(ENERGY))
     enabled = enabled.groupBy("DUID", "SETTLEMENTDATE", "BIDTYPE").agg(F.sum("MW").alias("MW"))
-    return dispatch_value(enabled, prices, units).groupBy(*by).agg(
+    return dispatch_value(enabled, prices, units, at=at).groupBy(*by).agg(
         F.sum("MW").alias("total_mw"), F.sum("value").alias("revenue")
     )
 
 
+def _energy_order(load: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> list[str]:
+    """The given order, or time and then every other column: rows that tie on it are the same row twice."""
+    return list(order) if order else ["SETTLEMENTDATE", *[c for c in load.columns if c not in ("SETTLEMENTDATE", *keys)]]
+
+
+def energy_taken_in(mw: Column | str = "MW", efficiency: float = 1.0) -> Column:
+    """MWh that a five-minute interval puts into store. Positive MW is discharge. Charging adds ``efficiency`` times what
+    was drawn; discharging takes off all of it."""
+    flow = F.col(mw) if isinstance(mw, str) else mw
+    return F.when(flow < 0, -flow * efficiency).otherwise(-flow) * HOURS
+
+
 def cumulative_energy(
-    load: DataFrame, keys: Sequence[str] = ("DUID",), order: Sequence[str] = ("SETTLEMENTDATE",),
+    load: DataFrame, keys: Sequence[str] = ("DUID",), order: Sequence[str] | None = None,
     mw: Column | str = "MW", efficiency: float = 1.0, split_rows: int | None = None,
 ) -> DataFrame:
-    """Running energy taken in, in MWh, as a stand-in for state of charge.
+    """Running energy taken in, in MWh, as a stand-in for state of charge without limits (see ``state_of_charge``).
 
-    Positive MW is discharge. Charging adds ``efficiency`` times what was drawn; discharging takes off all of it.
+    ``order`` must be total; by default it is time and then all other columns.
     """
-    flow = F.col(mw) if isinstance(mw, str) else mw
-    stored = F.when(flow < 0, -flow * efficiency).otherwise(-flow) * HOURS
-    return running_sums(load, keys, order, {"cumulative_mwh": stored}, split_rows)
+    order = _energy_order(load, keys, order)
+    return running_sums(load, keys, order, {"cumulative_mwh": energy_taken_in(mw, efficiency)}, split_rows)

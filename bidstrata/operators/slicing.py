@@ -1,14 +1,19 @@
 """Ordered computations that stay parallel when one group holds a large share of all rows.
 
-A window over (keys; order) puts each group into one task. Here a group larger than ``split_rows`` is cut
-into time (or value) slices: the window runs per (keys, slice), and what a slice needs from the ones before
+A window over (keys; order) puts each group into one task. Here a group larger than ``split_rows`` is cut into slices
+along its order: the window runs per (keys, slice), and what a slice needs from the ones before
 it — a last row, a row count, a running sum — is summarised per slice by an ordinary aggregation, prefixed
 over the slices of the group, and joined back. Slices only decide where a row is computed; results are those
 of the plain window. Ordinary groups have no slice and cost one narrow count.
 
-The list of groups to cut is broadcast. Arithmetic bounds it: a listed group holds more than a ``MAX_HOT_GROUPS``-th
-of all rows, so there are fewer than that. How finely a group is cut depends on how many rows it has, never on which
-rows are kept. A group is one struct column, ``_key``, which is never null even where its parts are.
+Cuts are made at equal depth over the whole order, all its columns as one tuple: a sample of a group's rows by hash is
+sorted and every so-manieth one is a bound. However rows crowd, at a time or within one instant, slices come out
+alike; only rows that tie on every order column stay together.
+
+The lists of groups to cut and of their bounds are broadcast. Arithmetic limits them: a listed group holds more than a
+``MAX_HOT_GROUPS``-th of all rows, and a slice at least a quarter of that, so there are fewer than ``MAX_HOT_GROUPS`` groups and
+four times as many bounds. How finely a group is cut depends on how many rows it has, never on which rows are kept. A group
+is one struct column, ``_key``, which is never null even where its parts are.
 """
 
 from __future__ import annotations
@@ -17,100 +22,78 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from bidstrata.functions.periods import has_position, position
 
 #: Default of ``split_rows``: rows a group may have before it is cut.
 SPLIT_ROWS = 1_000_000
 MAX_HOT_GROUPS = 100_000
 MAX_SLICES = 65_536
+#: Slices aimed at in ``split_rows`` rows, and rows sampled (about) for each.
+SLICES, SAMPLED = 4, 64
 
 KEY, SLICE = "_key", "_slice"
 
 
-def _largest(groups: DataFrame, by: Sequence[str], keep: Sequence[str], parts: str, split_rows: int) -> DataFrame:
-    """The groups over ``split_rows`` and over a ``MAX_HOT_GROUPS``-th of all rows, and into how many slices to cut
-    each."""
-    total = groups.agg(F.sum("_rows")).scalar()
-    biggest = groups.where((F.col("_rows") > split_rows) & (F.col("_rows") > total / MAX_HOT_GROUPS))
-    return biggest.selectExpr(
-        *[f"`{k}` AS `_hot{k}`" for k in by], *keep,
-        f"least({MAX_SLICES}, ceil(_rows * 4 / {split_rows})) AS {parts}")
+def _largest(groups: DataFrame, keep: Sequence[str], split_rows: int) -> DataFrame:
+    """The groups over ``split_rows`` and over a ``MAX_HOT_GROUPS``-th of all rows, into how many slices to cut each, and
+    the share of its rows to sample."""
+    least = F.greatest(F.lit(split_rows), groups.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
+    return groups.withColumn("_least", least).where("_rows > _least").selectExpr(
+        f"`{KEY}` AS `_hot`", *keep, f"least({MAX_SLICES}, ceil(_rows * {SLICES} / _least)) AS _parts",
+        f"least(1D, {SLICES * SAMPLED} / _least) AS _rate")
 
 
-def _attach(df: DataFrame, listed: DataFrame, by: Sequence[str]) -> DataFrame:
+def _attach(df: DataFrame, listed: DataFrame, name: str) -> DataFrame:
     # Null-safe, so that Spark infers no key filter on this side and can read a common input once.
-    return df.join(F.broadcast(listed), F.expr(" AND ".join(f"`{k}` <=> `_hot{k}`" for k in by)), "left")
-
-
-def _placeable(kind: T.DataType) -> bool:
-    return has_position(kind) or isinstance(kind, T.StringType)
-
-
-def _place(kind: T.DataType, name: str) -> str:
-    """SQL for a number that never falls along the column. Of text, the first six bytes."""
-    if isinstance(kind, T.StringType):
-        return f"cast(conv(rpad(left(hex(cast(left(`{name}`, 6) AS binary)), 12), 12, '0'), 16, 10) AS bigint)"
-    return position(kind, name)
+    return df.join(F.broadcast(listed), F.expr(f"`{KEY}` <=> `{name}`"), "left")
 
 
-def _nth(kind: T.DataType, col: str, low: str, high: str, parts: str) -> str:
-    """Which of ``parts`` equal widths between ``low`` and ``high`` a row lies in; a null sorts first, so 0."""
-    if not _placeable(kind):
-        return "0L"
-    at, lo, hi = (f"cast({_place(kind, c)} AS double)" for c in (col, low, high))
-    return f"least({parts} - 1, floor(coalesce(try_divide({at} - {lo}, {hi} - {lo}), 0D) * {parts}))"
-
-
-def _oversized(totals: Iterable[str]) -> str:
+def _oversized(totals: Iterable[str], *more: str) -> str:
     """Rows of groups on the list. The filter is on columns of the list itself: where that proves empty, Spark
     drops the branch unrun. It names all of them, so that every branch needs the same list and it is made once."""
-    return " AND ".join(f"{c} IS NOT NULL" for c in ("_parts", *totals))
+    return " AND ".join(f"{c} IS NOT NULL" for c in ("_parts", *more, *totals))
+
+
+def _bounds(rows: DataFrame, totals: Iterable[str]) -> DataFrame:
+    """(_cut, _chunks): of each listed group the bounds between its slices, in order, in about as many chunks as there are
+    in each. ``rows`` have the group's place in ``_at``."""
+    whole = 1 << 40
+    sampled = rows.where(_oversized(totals, "_rate")).where(
+        F.pmod(F.xxhash64(*[c for c in rows.columns if c != KEY]), F.lit(whole)) < F.col("_rate") * whole)
+    group = Window.partitionBy(KEY)
+    nth = sampled.select(
+        KEY, "_at", "_parts", F.row_number().over(group.orderBy("_at")).alias("_nth"), F.count("*").over(group).alias("_of"))
+    ends = nth.where("floor(_nth * _parts / _of) > floor((_nth - 1) * _parts / _of) AND _nth < _of")
+    listed = ends.groupBy(F.col(KEY).alias("_cut")).agg(F.sort_array(F.collect_set("_at")).alias("_all"))  # under MAX_SLICES
+    width = "cast(ceil(sqrt(size(_all))) AS int)"
+    return listed.selectExpr("_cut", f"transform(sequence(1, size(_all), {width}), k -> slice(_all, k, {width})) AS _chunks")
 
 
 def slice_hot_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column] | None = None,
-    shared: str | None = None, split_rows: int | None = None,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_key``, the group; ``_slice``: null in ordinary groups, rising along ``order`` in oversized ones; and
     ``_parts``, set in the latter, which ``carry_in`` consumes.
 
-    A group is cut into equal widths of the first order column, a time, number or text. A slice that is still
-    oversized, because rows crowd there, is cut again within its own range, or along the second order column if it is a
-    single instant or has no time at all. Only rows that tie on both columns stay together.
+    An oversized group is cut at equal depth along the whole of ``order`` (columns of any type that sorts), nulls first.
+    Only rows that tie on all of its columns stay together, so slices have at most about ``split_rows`` rows but for those.
 
     ``totals`` are whole-group aggregates, never null, to attach to the rows of oversized groups (null elsewhere).
-    ``shared`` names a non-null column aggregated by the shuffle that makes ``df``: with every branch using it, the
-    branches have that shuffle in common and it runs once. ``split_rows`` defaults to ``SPLIT_ROWS``.
+    ``split_rows`` defaults to ``SPLIT_ROWS``.
     """
     totals, split_rows = dict(totals or {}), split_rows or SPLIT_ROWS
     df = df.withColumn(KEY, F.struct(*keys))
-    schema = df.schema
-    first, kind = order[0], schema[order[0]].dataType
+    names = df.columns
     hot = _largest(
-        df.groupBy(KEY).agg(
-            F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
-            *[c.alias(n) for n, c in totals.items()],
-        ), [KEY], ["_lo", "_hi", *totals], "_parts", split_rows)
-    nth = _nth(kind, first, "_lo", "_hi", "_parts")
-    cut = _attach(df, hot, [KEY]).select(*schema.names, *totals, "_parts", F.expr(
-        f"CASE WHEN _parts IS NOT NULL THEN CASE WHEN _hi > _lo THEN {nth} ELSE 0L END END").alias(SLICE))
-
-    second = order[1] if len(order) > 1 and _placeable(schema[order[1]].dataType) else first
-    crowded = _largest(
-        cut.where(_oversized(totals)).groupBy(KEY, SLICE).agg(
-            F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"),
-            F.expr(f"count_if(`{first}` IS NULL)").alias("_untimed"),
-            F.min(second).alias("_lo2"), F.max(second).alias("_hi2"), F.count(shared or first).alias("_shared"),
-        ).where("_shared >= 0"),
-        [KEY, SLICE], ["_rows AS _crowd", "_lo", "_hi", "_untimed", "_lo2", "_hi2"], "_again", split_rows)
-    in_range = _nth(kind, first, "_lo", "_hi", "_again")
-    in_instant = _nth(schema[second].dataType, second, "_lo2", "_hi2", "_again")
-    zoom = F.expr(
-        f"{SLICE} * {MAX_SLICES} + coalesce(CASE WHEN _again IS NULL THEN 0L WHEN _hi > _lo THEN {in_range} "
-        f"WHEN _untimed IN (0, _crowd) AND _hi2 > _lo2 THEN {in_instant} END, 0L)")
-    return _attach(cut, crowded, [KEY, SLICE]).select(*schema.names, *totals, "_parts", zoom.alias(SLICE))
+        df.groupBy(KEY).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in totals.items()]), list(totals), split_rows)
+    marked = _attach(df, hot, "_hot").withColumn("_at", F.struct(*order))
+    found = _attach(marked, _bounds(marked.drop("_hot"), totals), "_cut")
+    # The chunk whose first bound is the last one reached, then the bounds reached in it.
+    chunk = "size(filter(_chunks, c -> c[0] <= _at))"
+    nth = (f"CASE WHEN coalesce({chunk}, 0) < 1 THEN 0 ELSE ({chunk} - 1) * {MAX_SLICES} "
+           f"+ size(filter(_chunks[{chunk} - 1], b -> b <= _at)) END")
+    return found.select(*names, *totals, "_parts", F.expr(
+        f"CASE WHEN {_oversized((), '_rate')} THEN cast({nth} AS bigint) END").alias(SLICE))
 
 
 def carry_in(

@@ -87,8 +87,7 @@ def _ranked(
     key, x = ["_g"], F.col(col)
     values = compact(df.select(F.struct(*by).alias("_g"), col), key, col).withColumn("_xw", x * F.col("_w"))
     summed = ["_w", "_xw"] if mean else ["_w"]
-    values = slice_hot_groups(values, key, [col], totals={f"_all{c}": F.sum(c) for c in summed},
-                              shared="_w", split_rows=split_rows)
+    values = slice_hot_groups(values, key, [col], totals={f"_all{c}": F.sum(c) for c in summed}, split_rows=split_rows)
     values = carry_in(values, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before())},
                       totals=[f"_all{c}" for c in summed])
     # An oversized group brings its totals along; in any other the window sees the whole group.

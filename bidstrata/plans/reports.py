@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidstrata.functions.checks import actual_run, band_order_violations, binding, fcas_available, mentions_automation
+from bidstrata.functions.checks import (
+    actual_run, band_order_violations, binding, counting_run, fcas_available, mentions_automation,
+)
 from bidstrata.functions.units import ancillary_only, exclude_units
 from bidstrata.operators import bands as b
 from bidstrata.operators import joins as j
@@ -249,40 +251,50 @@ def applied_offer_report(
 
 def market_report(
     regional_prices: DataFrame, load: DataFrame, unit_summary: DataFrame, bids: DataFrame,
-    energy_order: Sequence[str] = ("SETTLEMENTDATE",), runno: int = 1, intervention: int = 0,
+    energy_order: Sequence[str] | None = None, runno: int = 1, intervention: int | Sequence[int] = 0,
     constraints: tuple[DataFrame, DataFrame, DataFrame] | None = None, demand: tuple[DataFrame, DataFrame] | None = None,
     qty: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Price separation, revenue, energy taken in, and checks on the bids behind them.
 
     ``regional_prices`` and ``load`` are the wide price and dispatch tables, of which the rows of one run count: RUNNO
-    ``runno``, INTERVENTION ``intervention``. ``load`` may also be long already (DUID, SETTLEMENTDATE, BIDTYPE, MW).
-    Tables without these columns are taken to hold one run.
-
-    With ``constraints`` (results, definitions, left-hand sides): ``binding`` and ``binding_by_unit``. With ``demand``
-    (actual, forecast): ``demand_error``. With ``qty`` (detail with ENABLEMENTMIN … MAXAVAIL): ``available``, what each
-    row's unit could offer of the service at the energy cleared in its interval, for detail with an ``interval`` column.
+    ``runno``, INTERVENTION ``intervention``; or, if that is a list, of each region, unit or constraint and interval the run
+    that comes first in it (``counting_run``). ``load`` may also be long already (DUID, SETTLEMENTDATE, BIDTYPE, MW).
+    Tables without these columns are taken to hold one run. A ``unit_summary`` with START_DATE and END_DATE lists units by
+    period, and the one in force at the interval counts.
+
+    With ``constraints`` (results, definitions, left-hand sides): ``binding`` and ``binding_by_unit``, the latter by version
+    where the definitions have EFFECTIVEDATE. With ``demand`` (actual, forecast): ``demand_error``. With ``qty`` (detail with
+    ENABLEMENTMIN … MAXAVAIL): ``available``, what each row's unit could offer of the service at the energy cleared in its
+    interval, for detail with an ``interval`` column.
     """
-    def one_run(df: DataFrame) -> DataFrame:
-        return actual_run(df, runno, intervention) if {"RUNNO", "INTERVENTION"} <= set(df.columns) else df
-
-    prices = b.regional_prices_long(one_run(regional_prices))
-    load = one_run(load)
+    def one_run(df: DataFrame, of: str) -> DataFrame:
+        if not {"RUNNO", "INTERVENTION"} <= set(df.columns):
+            return df
+        if isinstance(intervention, int):
+            return actual_run(df, runno, intervention)
+        return counting_run(df, [of, "SETTLEMENTDATE"], intervention)
+
+    prices = b.regional_prices_long(one_run(regional_prices, "REGIONID"))
+    load = one_run(load, "DUID")
     if "MW" not in load.columns:
         load = b.dispatch_load_long(load)
     energy = load.where(F.col("BIDTYPE") == "ENERGY")
+    at = "SETTLEMENTDATE" if {"START_DATE", "END_DATE"} <= set(unit_summary.columns) else None
     out = {
         "separation": o.price_separation(prices),
-        "value": j.dispatch_value(load, prices, unit_summary),
-        "revenue": o.fcas_revenue(load, prices, unit_summary),
+        "value": j.dispatch_value(load, prices, unit_summary, at=at),
+        "revenue": o.fcas_revenue(load, prices, unit_summary, at=at),
         "energy": o.cumulative_energy(energy, order=energy_order),
         "bad_bands": band_order_violations(bids, PRICE_BANDS),
         "automation": mentions_automation(bids, "REBIDEXPLANATION"),
     }
     if constraints:
         results, definitions, lhs = constraints
-        out["binding"] = binding(one_run(results))
-        out["binding_by_unit"] = j.binding_constraints(one_run(results), definitions, lhs)
+        run = one_run(results, "CONSTRAINTID")
+        out["binding"] = binding(run)
+        by_version = "EFFECTIVEDATE" in definitions.columns
+        out["binding_by_unit"] = (j.constraint_units if by_version else j.binding_constraints)(run, definitions, lhs)
     if demand:
         out["demand_error"] = j.demand_error(*demand)
     if qty is not None:

@@ -89,13 +89,44 @@ TABLES: dict[str, list[tuple[str, str]]] = {
     ],
     "DUDETAIL": [
         ("EFFECTIVEDATE", "timestamp_ntz"), ("DUID", "string"), ("VERSIONNO", "int"), ("REGISTEREDCAPACITY", "double"),
-        ("MAXCAPACITY", "double"), ("DISPATCHTYPE", "upper"),
+        ("MAXCAPACITY", "double"), ("DISPATCHTYPE", "upper"), ("CONNECTIONPOINTID", "string"), ("MAXSTORAGECAPACITY", "double"),
     ],
     "DEMANDOPERATIONALACTUAL": [
         ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("OPERATIONAL_DEMAND", "double"),
     ],
     "DEMANDOPERATIONALFORECAST": [
-        ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("OPERATIONAL_DEMAND_POE50", "double"),
+        ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("LOAD_DATE", "timestamp_ntz"),
+        ("OPERATIONAL_DEMAND_POE10", "double"), ("OPERATIONAL_DEMAND_POE50", "double"), ("OPERATIONAL_DEMAND_POE90", "double"),
+    ],
+    "PREDISPATCHREGIONSUM": [
+        ("PREDISPATCHSEQNO", "string"), ("RUNNO", "int"), ("REGIONID", "string"), ("INTERVENTION", "int"),
+        ("DATETIME", "timestamp_ntz"), ("LASTCHANGED", "timestamp_ntz"), ("TOTALDEMAND", "double"),
+    ],
+    "P5MIN_REGIONSOLUTION": [
+        ("RUN_DATETIME", "timestamp_ntz"), ("INTERVAL_DATETIME", "timestamp_ntz"), ("REGIONID", "string"), ("TOTALDEMAND", "double"),
+    ],
+    "TRADINGPRICE": [
+        ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("REGIONID", "string"), ("PERIODID", "int"),
+        *[(p, "double") for p in REGIONAL_PRICES], ("PRICE_STATUS", "upper"),
+    ],
+    "DISPATCHINTERCONNECTORRES": [
+        ("SETTLEMENTDATE", "timestamp_ntz"), ("RUNNO", "int"), ("INTERCONNECTORID", "string"), ("INTERVENTION", "int"),
+        ("METEREDMWFLOW", "double"), ("MWFLOW", "double"), ("MWLOSSES", "double"), ("MARGINALVALUE", "double"),
+        ("EXPORTLIMIT", "double"), ("IMPORTLIMIT", "double"),
+    ],
+    "GENCONDATA": [
+        ("EFFECTIVEDATE", "timestamp_ntz"), ("VERSIONNO", "int"), ("GENCONID", "string"), ("CONSTRAINTTYPE", "string"),
+        ("CONSTRAINTVALUE", "double"), ("DESCRIPTION", "string"), ("SOURCE", "string"), ("LIMITTYPE", "string"), ("REASON", "string"),
+    ],
+    "GENCONSET": [
+        ("GENCONSETID", "string"), ("EFFECTIVEDATE", "timestamp_ntz"), ("VERSIONNO", "int"), ("GENCONID", "string"),
+    ],
+    "GENCONSETINVOKE": [
+        ("GENCONSETID", "string"), ("STARTINTERVALDATETIME", "timestamp_ntz"), ("ENDINTERVALDATETIME", "timestamp_ntz"),
+    ],
+    "SPDCONNECTIONPOINTCONSTRAINT": [
+        ("CONNECTIONPOINTID", "string"), ("EFFECTIVEDATE", "timestamp_ntz"), ("VERSIONNO", "int"), ("GENCONID", "string"),
+        ("FACTOR", "double"), ("BIDTYPE", "string"),
     ],
 }
 

@@ -4,7 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from bidstrata.operators import slicing
+from bidstrata.operators import joins, outcomes, slicing
 from bidstrata.operators import stats as s
 from bidstrata.operators import versions as v
 from bidstrata.schema import PRICE_BANDS, QUANTITY_BANDS
@@ -268,3 +268,34 @@ def test_kept_and_numbered_in_one_pass(spark, split_rows):
     one = v.number_true_rebids(df, KEYS, ORDER, ["a", "b"], split_rows=split_rows)
     assert {r.n: r.version_index for r in one.collect()} == {r.n: r.version_index for r in two.collect()}
     assert one.columns == two.columns
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """10,000 rows of one instant amid 10,000 others, all of one group."""
+    return spark.range(20_000).selectExpr(
+        "'hot' AS u", "1 AS p", "timestamp_ntz'2025-10-01' + make_dt_interval(0, 0, 0, if(id < 10000, 5000, id - 10000)) AS t",
+        "cast((id * 7919) % 20000 AS int) AS n", "cast(floor(id / 3) % 5 AS double) AS a", "cast(id % 2 AS double) AS b",
+        "if(id % 3 = 0, 'DAILY', 'REBID') AS ENTRYTYPE").repartition(4).cache()
+
+
+def test_a_crowded_instant_is_cut_as_deep_as_the_rest(crowded):
+    sliced = slicing.slice_hot_groups(crowded, KEYS, ORDER, split_rows=100)
+    assert largest_slice(sliced) <= 200
+    order = [r[0] for r in sliced.orderBy(*ORDER).select("_slice").collect()]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("operator", [
+    lambda df, n: v.lag_bands(df, KEYS, ORDER, ["a", "b"], split_rows=n),
+    lambda df, n: v.flag_true_rebids(df, KEYS, ORDER, ["a", "b"], split_rows=n),
+    lambda df, n: v.keep_true_rebids(df, KEYS, ORDER, ["a", "b"], split_rows=n),
+    lambda df, n: v.number_true_rebids(df, KEYS, ORDER, ["a", "b"], split_rows=n),
+    lambda df, n: v.version_index(df, KEYS, ORDER, split_rows=n),
+    lambda df, n: v.offer_timeline(df, KEYS, ORDER, split_rows=n),
+    lambda df, n: outcomes.cumulative_energy(df, KEYS, ORDER, "a", split_rows=n).withColumn("cumulative_mwh", F.round("cumulative_mwh", 6)),
+    lambda df, n: joins.offer_in_force(
+        df.where("n % 2 = 0").withColumnRenamed("t", "SETTLEMENTDATE"), df.where("n % 2 = 1").withColumnRenamed("t", "OFFERDATE"), KEYS, cols=["n", "a"], tiebreak="n", split_rows=n),
+], ids=["lag", "flag", "keep", "number", "index", "timeline", "energy", "in_force"])
+def test_slices_of_a_crowded_instant_equal_the_plain_window(crowded, operator):
+    assert sorted(map(repr, operator(crowded, 100).collect())) == sorted(map(repr, operator(crowded, 10**6).collect()))

@@ -939,6 +939,113 @@ def binding_intervals(spark, sf):
     return rounded(bound.withColumn("SETTLEMENTDATE", day("SETTLEMENTDATE")), "MARGINALVALUE")
 
 
+@query(f"""WITH {DETAIL}, {t.UNIT_PERIODS}
+    SELECT detail.DUID, BIDTYPE, REGIONID, count(*) AS n, {sday('min(OFFERDATE)')} AS first_day, {sday('max(OFFERDATE)')} AS last_day
+    FROM detail LEFT JOIN unit_periods ON detail.DUID = unit_periods.DUID AND since <= OFFERDATE AND OFFERDATE < till
+    GROUP BY detail.DUID, BIDTYPE, REGIONID""")
+def bids_by_region_dated(spark, sf):
+    units = t.archived(t.unit_periods(spark, sf), "DUDETAILSUMMARY")
+    placed = j.with_region(t.detail(spark, sf), units, at="OFFERDATE")
+    return placed.groupBy("DUID", "BIDTYPE", "REGIONID").agg(
+        F.count("*").alias("n"), day(F.min("OFFERDATE")).alias("first_day"), day(F.max("OFFERDATE")).alias("last_day"))
+
+
+@query(f"""WITH {REGIONAL_PRICES}, {t.UNIT_PERIODS}, {DISPATCH}
+    SELECT dispatch.DUID, BIDTYPE, REGIONID, count(*) AS n, {s4('sum(MW)')} AS total_mw, {s4('sum(MW * PRICE * 5 / 60)')} AS revenue
+    FROM dispatch JOIN unit_periods ON dispatch.DUID = unit_periods.DUID AND since <= SETTLEMENTDATE AND SETTLEMENTDATE < till
+    JOIN prices_long USING (REGIONID, SETTLEMENTDATE, BIDTYPE) GROUP BY 1, 2, 3""")
+def dispatch_value_dated(spark, sf):
+    units = t.archived(t.unit_periods(spark, sf), "DUDETAILSUMMARY")
+    value = j.dispatch_value(t.dispatch(spark, sf), prices(spark, sf), units, at="SETTLEMENTDATE")
+    return value.groupBy("DUID", "BIDTYPE", "REGIONID").agg(
+        F.count("*").alias("n"), r4(F.sum("MW")).alias("total_mw"), r4(F.sum("value")).alias("revenue"))
+
+
+def _runs_sql(name: str, wish: str) -> str:
+    return f"""SELECT '{name}' AS preference, DUID, count(*) AS n, sum(l_quantity) AS mw, count(DISTINCT day) AS intervals,
+        CAST(sum(INTERVENTION) AS BIGINT) AS intervened FROM (
+        SELECT *, rank() OVER (PARTITION BY DUID, day ORDER BY RUNNO DESC, {wish}) AS place FROM runs) WHERE place = 1 GROUP BY ALL"""
+
+
+@query(f"""WITH runs AS (
+        SELECT CAST(l_suppkey AS VARCHAR) AS DUID, date_trunc('month', l_shipdate) AS day, l_quantity,
+               CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS RUNNO, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTERVENTION
+        FROM lineitem)
+    {_runs_sql('intervened', 'INTERVENTION DESC')} UNION ALL {_runs_sql('undisturbed', 'INTERVENTION')}""")
+def counting_runs(spark, sf):
+    runs = t.dispatch_wide(spark, sf).withColumn("SETTLEMENTDATE", F.trunc("SETTLEMENTDATE", "month"))
+    runs = t.archived(runs.select("SETTLEMENTDATE", "RUNNO", "DUID", "INTERVENTION", "TOTALCLEARED"), "DISPATCHLOAD")
+    found = [
+        checks.counting_run(runs, ["DUID", "SETTLEMENTDATE"], wish).groupBy("DUID").agg(
+            F.count("*").alias("n"), F.sum("TOTALCLEARED").alias("mw"), F.count_distinct("SETTLEMENTDATE").alias("intervals"),
+            F.sum("INTERVENTION").alias("intervened")).select(F.lit(name).alias("preference"), "*")
+        for name, wish in (("intervened", (1, 0)), ("undisturbed", (0, 1)))]
+    return found[0].unionByName(found[1])
+
+
+def constraint_archives(spark, sf):
+    results = constraint_results(spark, sf).select("SETTLEMENTDATE", F.col("CONSTRAINTID").cast("string").alias("CONSTRAINTID"), "MARGINALVALUE")
+    return (t.archived(results, "DISPATCHCONSTRAINT"), t.archived(t.constraint_versions(spark, sf).drop("p_size"), "GENCONDATA"),
+            t.archived(t.constraint_points(spark, sf), "SPDCONNECTIONPOINTCONSTRAINT"))
+
+
+VERSION_SUMS = f"""SELECT CAST(k AS VARCHAR) AS CONSTRAINTID, point AS CONNECTIONPOINTID, CAST(sum(n) AS BIGINT) AS binding_intervals,
+        {s4('sum(total) / sum(n)')} AS mean_marginal_value, {s4('max(most)')} AS max_marginal_value, count(*) AS versions,
+        max(version) * any_value(q) AS last_factor
+    FROM bound JOIN points USING (k) WHERE version = 1 OR stays GROUP BY 1, 2"""
+
+
+@query(f"""WITH {t.CONSTRAINT_VERSIONS}, bound AS (
+        SELECT k, version, count(*) AS n, sum(mv) AS total, max(mv) AS most FROM results JOIN versions USING (k)
+        WHERE since <= t AND t < till GROUP BY ALL) {VERSION_SUMS}""")
+def constraint_versions(spark, sf):
+    return rounded(j.constraint_units(*constraint_archives(spark, sf)), "mean_marginal_value", "max_marginal_value")
+
+
+@query(f"""WITH {t.CONSTRAINT_VERSIONS}, {t.INVOKED}, bound AS (
+        SELECT results.k, version, count(*) AS n, sum(mv) AS total, max(mv) AS most FROM results JOIN versions USING (k)
+        JOIN active ON active.k = results.k AND d = CAST(t AS DATE) WHERE since <= t AND t < till GROUP BY ALL) {VERSION_SUMS}""")
+def constraints_invoked(spark, sf):
+    results, definitions, lhs = constraint_archives(spark, sf)
+    invoked = j.invoked_versions(
+        definitions, t.constraint_sets(spark, sf), t.archived(t.set_invocations(spark, sf), "GENCONSETINVOKE"))
+    return rounded(j.constraint_units(results, definitions, lhs, invoked), "mean_marginal_value", "max_marginal_value")
+
+
+LEADS = (0, 60, 720, 2400)
+
+
+@query(f"""WITH {REGIONAL_PRICES}, {t.DEMAND_FORECASTS}, found AS (
+        SELECT REGIONID, t, lead, actual, (SELECT max(struct_pack(issued, forecast)) FROM vintages v
+            WHERE v.REGIONID = a.REGIONID AND v.t = a.t AND v.issued <= a.t - INTERVAL 1 MINUTE * lead) AS best
+        FROM actual a, (SELECT unnest([{', '.join(map(str, LEADS))}]) AS lead))
+    SELECT REGIONID, {sday('t')} AS interval, lead, {sstamp('best.issued')} AS issued, {s4('actual')} AS actual,
+           {s4('best.forecast')} AS forecast, {s4('best.forecast - actual')} AS error, {s4('abs(best.forecast - actual)')} AS abs_error,
+           round((best.forecast - actual) / nullif(actual, 0) * 100, 1) AS pct_error
+    FROM found""")
+def demand_error_by_vintage(spark, sf):
+    errors = demand_errors(spark, sf).withColumnRenamed("INTERVAL_DATETIME", "interval")
+    shown = errors.withColumns({"interval": day("interval"), "issued": stamp("issued"), "pct_error": F.round("pct_error", 1)})
+    return rounded(shown, "actual", "forecast", "error", "abs_error")
+
+
+def demand_errors(spark, sf):
+    return j.forecast_error(
+        t.archived(t.demand_actual(spark, sf), "DEMANDOPERATIONALACTUAL"),
+        t.archived(t.demand_forecasts(spark, sf), "DEMANDOPERATIONALFORECAST"), LEADS, how="left")
+
+
+@query(f"""WITH {REGIONAL_PRICES}, {t.DEMAND_FORECASTS}, found AS (
+        SELECT REGIONID, t, lead, actual, (SELECT max(struct_pack(issued, forecast)) FROM vintages v
+            WHERE v.REGIONID = a.REGIONID AND v.t = a.t AND v.issued <= a.t - INTERVAL 1 MINUTE * lead) AS best
+        FROM actual a, (SELECT unnest([{', '.join(map(str, LEADS))}]) AS lead)),
+    errors AS (SELECT *, best.forecast - actual AS e FROM found)
+    SELECT REGIONID, lead, count(*) AS intervals, count(e) AS forecasts, {s4('avg(e)')} AS bias, {s4('avg(abs(e))')} AS mae,
+           {s4('sqrt(avg(e * e))')} AS rmse, {s4('avg(abs(e / nullif(actual, 0) * 100))')} AS mape FROM errors GROUP BY 1, 2""")
+def demand_error_by_lead(spark, sf):
+    return rounded(j.error_by_lead(demand_errors(spark, sf)), "bias", "mae", "rmse", "mape")
+
+
 @query(f"""WITH {UNIT_SUMMARY}, actual AS (
         SELECT r_name AS REGIONID, o_orderdate AS d, sum(o_totalprice) AS actual
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

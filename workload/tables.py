@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidstrata.sources.archive import read_archive
 from bidstrata.sources.sinks import scratch_path
+from workload.archives import write_archive
 
 DAY_AUCTION = ["DUID", "BIDTYPE", "SETTLEMENTDATE"]
 SIDE_AUCTION = ["DUID", "BIDTYPE", "DIRECTION", "SETTLEMENTDATE"]
@@ -290,6 +292,117 @@ load_long AS (
     WHERE l_tax > 0)"""
 
 
+# --- registers by period and version --------------------------------------------------------------
+
+MARKET_STAMP = "yyyy/MM/dd HH:mm:ss"
+
+
+def archived(df: DataFrame, table: str) -> DataFrame:
+    """``df`` written out as archive files of ``table`` and read back by its declared types."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    times = {c: F.date_format(c, MARKET_STAMP) for c, kind in df.dtypes if kind.startswith(("timestamp", "date"))}
+    write_archive(df.withColumns(times), table, df.columns, path)
+    return read_archive(spark, path, table)
+
+
+def unit_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Units that move to another region at a day of their own; every third is registered nowhere for 200 days between."""
+    moved = F.date_add(F.lit("1995-06-01").cast("date"), (F.col("s_suppkey") % 2000).cast("int"))
+    back = F.date_add(moved, F.when(F.col("s_suppkey") % 3 == 0, 200).otherwise(0))
+    periods = F.array(
+        F.struct(F.lit(None).cast("date").alias("START_DATE"), moved.alias("END_DATE"), F.col("s_nationkey").alias("n")),
+        F.struct(back.alias("START_DATE"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("2999-12-31").cast("date")).alias("END_DATE"),
+                 ((F.col("s_nationkey") + 7) % 25).alias("n")))
+    return load(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("DUID"), F.explode(periods).alias("p")
+    ).select("DUID", "p.START_DATE", "p.END_DATE", "p.n").join(nations(spark, sf), F.col("n") == F.col("n_nationkey")).select(
+        "DUID", "START_DATE", "END_DATE", "REGIONID")
+
+
+UNIT_PERIODS = """moves AS (
+    SELECT CAST(s_suppkey AS VARCHAR) AS DUID, s_nationkey AS n, DATE '1995-06-01' + CAST(s_suppkey % 2000 AS INTEGER) AS moved,
+           CASE WHEN s_suppkey % 3 = 0 THEN 200 ELSE 0 END AS gap FROM supplier),
+unit_periods AS (
+    SELECT DUID, r_name AS REGIONID, since, till FROM (
+        SELECT DUID, n, DATE '1900-01-01' AS since, moved AS till FROM moves
+        UNION ALL SELECT DUID, (n + 7) % 25, moved + gap, DATE '2999-12-31' FROM moves)
+    JOIN nation ON n = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def constraint_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three versions a constraint: a first one, and two of one later date."""
+    later = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("p_partkey") % 1500).cast("int"))
+    versions = F.array(*[
+        F.struct(since.alias("EFFECTIVEDATE"), F.lit(n).alias("VERSIONNO"))
+        for since, n in ((F.lit("1990-01-01").cast("date"), 1), (later, 1), (later, 2))])
+    return load(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("GENCONID"), F.explode(versions).alias("v"), F.col("p_type").alias("CONSTRAINTTYPE"),
+        "p_size").select("v.*", "GENCONID", "CONSTRAINTTYPE", "p_size")
+
+
+def constraint_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Units on the left-hand side: every one in first versions, half of them in the last."""
+    pairs = load(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    versions = constraint_versions(spark, sf).select("EFFECTIVEDATE", "VERSIONNO", "GENCONID")
+    return versions.join(pairs, F.col("GENCONID") == F.col("l_partkey").cast("string")).where("VERSIONNO = 1 OR l_suppkey % 2 = 0").select(
+        F.col("l_suppkey").cast("string").alias("CONNECTIONPOINTID"), "EFFECTIVEDATE", "VERSIONNO", "GENCONID",
+        (F.col("q") * F.col("VERSIONNO")).alias("FACTOR"))
+
+
+def constraint_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each constraint is in the set of its size, and every seventh in a common one too."""
+    part = load(spark, sf, "part")
+    own = part.select(F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string")).alias("GENCONSETID"), F.col("p_partkey").cast("string").alias("GENCONID"))
+    return own.unionByName(part.where("p_partkey % 7 = 0").select(F.lit("ALL").alias("GENCONSETID"), F.col("p_partkey").cast("string").alias("GENCONID")))
+
+
+def set_invocations(spark: SparkSession, sf: str) -> DataFrame:
+    """When sets were invoked: from each day with an order, for a time that its number gives; periods overlap and repeat."""
+    days = load(spark, sf, "orders").where("o_orderkey % 40 = 0").select(
+        F.when(F.col("o_orderkey") % 200 == 0, F.lit("ALL")).otherwise(F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string"))).alias("GENCONSETID"),
+        F.to_date("o_orderdate").alias("STARTINTERVALDATETIME"), (F.col("o_custkey") % 45).cast("int").alias("n"))
+    return days.select("GENCONSETID", "STARTINTERVALDATETIME", F.date_add("STARTINTERVALDATETIME", F.col("n")).alias("ENDINTERVALDATETIME"))
+
+
+CONSTRAINT_VERSIONS = """results AS (
+    SELECT l_partkey AS k, l_shipdate AS t, l_discount - 0.05 AS mv FROM lineitem WHERE l_discount - 0.05 > 0),
+versions AS (
+    SELECT k, since, version, type, p_size, CASE WHEN since < later THEN later ELSE DATE '2999-12-31' END AS till FROM (
+        SELECT p_partkey AS k, p_type AS type, p_size, DATE '1996-01-01' + CAST(p_partkey % 1500 AS INTEGER) AS later FROM part),
+        LATERAL (SELECT DATE '1990-01-01' AS since, 1 AS version UNION ALL SELECT later, 2)),
+points AS (
+    SELECT l_partkey AS k, CAST(l_suppkey AS VARCHAR) AS point, sum(l_quantity) AS q, l_suppkey % 2 = 0 AS stays FROM lineitem GROUP BY ALL)"""
+
+INVOKED = """invocations AS (
+    SELECT CASE WHEN o_orderkey % 200 = 0 THEN 'ALL' ELSE 'S' || (o_custkey % 5) END AS s, CAST(o_orderdate AS DATE) AS a,
+           CAST(o_orderdate AS DATE) + CAST(o_custkey % 45 AS INTEGER) AS b FROM orders WHERE o_orderkey % 40 = 0),
+sets AS (SELECT 'S' || (p_size % 5) AS s, p_partkey AS k FROM part UNION ALL SELECT 'ALL', p_partkey FROM part WHERE p_partkey % 7 = 0),
+active AS (SELECT DISTINCT k, CAST(unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS DATE) AS d FROM invocations JOIN sets USING (s) WHERE b > a)"""
+
+
+def demand_actual(spark: SparkSession, sf: str) -> DataFrame:
+    return regional_prices(spark, sf).select(
+        F.col("SETTLEMENTDATE").alias("INTERVAL_DATETIME"), "REGIONID", F.round("RRP", 6).alias("OPERATIONAL_DEMAND"))
+
+
+def demand_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Vintages: every order is a forecast of its day, issued up to two days before or, some, after it."""
+    lead = (F.col("o_orderkey") % 97 - 4) * 30
+    placed = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    return placed.select(
+        F.col("o_orderdate").alias("INTERVAL_DATETIME"), "REGIONID",
+        (F.col("o_orderdate") - F.make_dt_interval(mins=lead)).alias("LOAD_DATE"),
+        F.round(F.col("o_totalprice") / 1000, 6).alias("OPERATIONAL_DEMAND_POE50"))
+
+
+DEMAND_FORECASTS = """actual AS (SELECT REGIONID, SETTLEMENTDATE AS t, round(RRP, 6) AS actual FROM regional_prices),
+vintages AS (
+    SELECT r_name AS REGIONID, o_orderdate AS t, o_orderdate - INTERVAL 1 MINUTE * ((o_orderkey % 97 - 4) * 30) AS issued,
+           round(o_totalprice / 1000, 6) AS forecast
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
 def period_sql(ts: str, origin: int, convention: str = "end") -> str:
     shift = origin * 60 + (1 if convention == "end" else 0)
     second = f"(hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
