@@ -4,6 +4,9 @@ An archive file has four line types, told apart by the first cell: C (first and
 and D (data). Keeping the D lines needs no line skipping, so files split freely and a path glob reads every part
 of a table as one. Parts may differ in layout, as the layout changes over the years: the I line of each file says
 where its columns are.
+
+A data line that does not have a cell for each of its file's columns is no data: ``read_archive`` leaves it out,
+``quarantine`` lists it, and ``check_footer`` counts it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from bidstrata.operators.joins import align_detail
 from bidstrata.schema import LINE_PREFIX, TABLES
 
 PART_GLOB = "FILE*.[cC][sS][vV]"
+#: Where the reader puts the text of a line whose cells do not fit the columns.
+_MISFIT = "_misfit"
+#: A comma that an even number of quotes follows, which is one outside quoted cells.
+_CELL_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def parts(directory: str, table: str) -> str:
@@ -27,8 +34,10 @@ def parts(directory: str, table: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    schema = ", ".join(f"`{c}` STRING" for c in [*LINE_PREFIX, *columns])
-    return spark.read.schema(schema).options(quote='"', escape='"', mode="PERMISSIVE").csv(path)
+    schema = ", ".join(f"`{c}` STRING" for c in [*LINE_PREFIX, *columns, _MISFIT])
+    # The parser would count the cells of the columns wanted only, and no line would be a misfit.
+    return spark.read.schema(schema).options(
+        quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_MISFIT, columnPruning=False).csv(path)
 
 
 def _typed(name: str, kind: str) -> Column:
@@ -62,7 +71,7 @@ def layouts(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, .
 def _data(
     spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None
 ) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
-    """Data lines of the files of each layout as text, and the (name, type) list of what they have."""
+    """Data lines of the files of each layout as text, misfits and all, and the (name, type) list of what they have."""
     out = []
     for names, files in layouts(spark, path).items():
         if columns is not None and names != tuple(c for c, _ in columns):
@@ -76,13 +85,15 @@ def _data(
 def read_archive(
     spark: SparkSession, path: str | Sequence[str], table: str, columns: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """Data rows of an archive table with declared types; cells that do not parse are null.
+    """Data rows of an archive table with declared types; cells that do not parse are null, and lines with more or fewer cells
+    than columns are left out (``quarantine``).
 
     Columns are found by each file's own I line and typed by the registry entry of ``table``; a table the registry
     lacks comes as strings. A column that some files lack is null in their rows. ``columns`` gives the (name, type) list
     in file order instead; a file that disagrees is an error.
     """
-    parts_read = [rows.select(*[_typed(*c) for c in wanted]) for rows, wanted in _data(spark, path, table, columns)]
+    parts_read = [
+        rows.where(F.col(_MISFIT).isNull()).select(*[_typed(*c) for c in wanted]) for rows, wanted in _data(spark, path, table, columns)]
     whole = parts_read[0]
     for more in parts_read[1:]:
         whole = whole.unionByName(more, allowMissingColumns=True)
@@ -99,7 +110,7 @@ def rejected_cells(
         typed = [c for c in wanted if c[1] not in ("string", "upper")]
         if not typed:
             continue
-        counts = raw.agg(*[F.count_if(F.col(n).isNotNull() & _typed(n, k).isNull()).alias(n) for n, k in typed])
+        counts = raw.where(F.col(_MISFIT).isNull()).agg(*[F.count_if(F.col(n).isNotNull() & _typed(n, k).isNull()).alias(n) for n, k in typed])
         counts = counts.unpivot([], [n for n, _ in typed], "column_name", "rejected")
         lost = counts if lost is None else lost.union(counts)
     if lost is None:
@@ -107,22 +118,49 @@ def rejected_cells(
     return lost.groupBy("column_name").agg(F.sum("rejected").alias("rejected"))
 
 
+def quarantine(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, line, cells, columns, reason): the lines that ``read_archive`` does not take for data though they are no frame
+    lines: data lines with ``surplus cells`` or ``missing cells`` against their file's column names, or an ``open quote`` (``cells`` null), lines of
+    an ``unknown type``, and data lines of files with ``no column names``. An archive without any gives no rows.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    named = text.where(F.col("line").startswith("I,")).select("file").distinct()
+    found = text.where(F.col("line").startswith("D,")).join(named, "file", "left_anti").select(
+        "file", "line", F.size(F.split("line", _CELL_END)).alias("cells"), F.lit(None).cast("int").alias("columns"),
+        F.lit("no column names").alias("reason"))
+    for names, files in layouts(spark, path).items():
+        wide = len(LINE_PREFIX) + len(names)
+        raw = _lines(spark, files, names)
+        # Read as text beside its cells, a line that fits has no text: only misfits and odd types carry theirs.
+        odd = raw.where(
+            ~F.coalesce(F.col("REC").isin("C", "I", "D"), F.lit(False)) | ((F.col("REC") == "D") & F.col(_MISFIT).isNotNull()))
+        line = F.coalesce(F.col(_MISFIT), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (*LINE_PREFIX, *names)]))
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        cells = F.when(quotes % 2 == 0, F.size(F.split(line, _CELL_END)))
+        reason = (
+            F.when(F.coalesce(F.col("REC"), F.lit("")) != "D", "unknown type").when(quotes % 2 == 1, "open quote")
+            .when(cells > wide, "surplus cells").otherwise("missing cells"))
+        found = found.unionByName(odd.select(
+            F.col("_metadata.file_path").alias("file"), line.alias("line"), cells.alias("cells"), F.lit(wide).alias("columns"),
+            reason.alias("reason")))
+    return found
+
+
 def check_footer(spark: SparkSession, path: str | Sequence[str], extra_lines: int = 3) -> DataFrame:
-    """Per file, by its full path: data rows found, the footer's line count, and whether they agree.
+    """Per file, by its full path: its data lines, those of them that ``quarantine`` lists, the footer's line count, and
+    whether the file is ``complete``: the footer counts as many lines as there are, none of them in quarantine.
 
     The footer line is ``C,END OF REPORT,<n>``; ``extra_lines`` is how many lines besides data rows it counts
     (first line, column names and footer: 3).
     """
-    raw = _lines(spark, path, []).select(
-        F.col("_metadata.file_path").alias("file"), "REC", "PACKAGE", "TABLENAME"
-    )
     footer = (F.col("REC") == "C") & (F.col("PACKAGE") == "END OF REPORT")
-    per_file = raw.groupBy("file").agg(
+    per_file = _lines(spark, path, []).groupBy(F.col("_metadata.file_path").alias("file")).agg(
         F.count_if(F.col("REC") == "D").alias("data_rows"),
-        F.max(F.when(footer, F.col("TABLENAME").try_cast("bigint"))).alias("footer_lines"),
-    )
-    agrees = F.coalesce(F.col("data_rows") + extra_lines == F.col("footer_lines"), F.lit(False))
-    return per_file.withColumn("complete", agrees)
+        F.max(F.when(footer, F.col("TABLENAME").try_cast("bigint"))).alias("footer_lines"))
+    bad = quarantine(spark, path).groupBy("file").agg(F.count("*").alias("quarantined"))
+    agrees = (F.col("data_rows") + extra_lines == F.col("footer_lines")) & (F.col("quarantined") == 0)
+    return per_file.join(bad, "file", "left").fillna(0, ["quarantined"]).select(
+        "file", "data_rows", "quarantined", "footer_lines", F.coalesce(agrees, F.lit(False)).alias("complete"))
 
 
 def read_unit_map(spark: SparkSession, path: str, renames: Mapping[str, str] | None = None) -> DataFrame:

@@ -142,3 +142,30 @@ def test_row_index_follows_the_order(spark, tmp_path):
     assert back.count() == 1000 and back.where("row <> k").count() == 0
     sinks.write_result(df, str(tmp_path / "plain"), ["k"])
     assert spark.read.csv(str(tmp_path / "plain"), header=True).columns == ["k", "id"]
+
+
+def test_lines_that_do_not_fit_go_to_quarantine(spark, tmp_path):
+    good = header(REBIDEXPLANATION='"said ""wait"", twice"')
+    surplus, missing, open_quote = good + ',x,"y, z"', good.rsplit(",", 1)[0], header(REBIDEXPLANATION='"never closed')
+    write_part(tmp_path, "BIDDAYOFFER", 1, [good, surplus, missing, header("B"), open_quote, "E,what,is,this", "???"])
+    write_part(tmp_path, "BIDDAYOFFER", 2, [header("C")])
+    (tmp_path / "PUBLIC_ARCHIVE#BIDDAYOFFER#FILE03#1.CSV").write_text("C,x\nD,BIDS,BIDDAYOFFER,2,a,b\nC,END OF REPORT,4\n")
+    path = archive.parts(str(tmp_path), "BIDDAYOFFER")
+    wide = 4 + len(TABLES["BIDDAYOFFER"])
+    listed = archive.quarantine(spark, path)
+    assert rows(listed, "line", "cells", "columns", "reason") == sorted([
+        (surplus, wide + 2, wide, "surplus cells"), (missing, wide - 1, wide, "missing cells"),
+        (open_quote, None, wide, "open quote"),
+        ("E,what,is,this", 4, wide, "unknown type"), ("???", 1, wide, "unknown type"), ("D,BIDS,BIDDAYOFFER,2,a,b", 6, None, "no column names")],
+        key=lambda r: r[0])
+    read = archive.read_archive(spark, path, "BIDDAYOFFER")
+    assert sorted(r.DUID for r in read.collect()) == ["B", "C", "UNIT7"] and read.where("DUID = 'UNIT7'").first().REBIDEXPLANATION == 'said "wait", twice'
+    assert read.select("DUID").count() == 3 and read.select("PRICEBAND3").where("PRICEBAND3 IS NOT NULL").count() == 3
+    assert rows(archive.rejected_cells(spark, path, "BIDDAYOFFER").where("rejected > 0")) == []
+    checked = archive.check_footer(spark, path)
+    assert rows(checked, "data_rows", "quarantined", "footer_lines", "complete") == [(1, 0, 4, True), (1, 1, 4, False), (5, 5, 10, False)]
+
+
+def test_clean_archives_have_an_empty_quarantine(spark, tmp_path):
+    write_part(tmp_path, "BIDDAYOFFER", 1, [header("C"), header("D")])
+    assert archive.quarantine(spark, archive.parts(str(tmp_path), "BIDDAYOFFER")).collect() == []

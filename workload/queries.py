@@ -1250,6 +1250,27 @@ def archive_rejects(spark, sf):
     return archive.rejected_cells(spark, archived(spark, sf), "BIDDAYOFFER", ARCHIVED)
 
 
+@query("""SELECT reason, count(*) AS n, min(cells) AS least, max(cells) AS most, CAST(sum(k) AS BIGINT) AS numbers FROM (
+        SELECT event_id AS k, CASE event_id % 11 WHEN 0 THEN 'surplus cells' WHEN 1 THEN 'missing cells' WHEN 2 THEN 'open quote'
+            WHEN 3 THEN 'unknown type' ELSE 'good' END AS reason,
+            CASE event_id % 11 WHEN 0 THEN 9 WHEN 1 THEN 6 WHEN 2 THEN NULL ELSE 7 END AS cells FROM events)
+    GROUP BY ALL""")
+def archive_quarantine(spark, sf):
+    """Events as lines of an archive, four in eleven spoilt, counted by reason, the good ones from what is read as data."""
+    path, kind = t.scratch(spark), F.col("event_id") % 11
+    line = F.concat(
+        F.when(kind == 3, "X").otherwise("D"), F.lit(",EVENTS,LOG,1,"), F.col("event_id").cast("string"), F.lit(','), F.when(kind == 2, '"').otherwise(""),
+        F.col("event_type"), F.when(kind != 1, F.concat(F.lit(','), F.col("value").cast("string"))).otherwise(""), F.when(kind == 0, ',"a, b",').otherwise(""))
+    lines = t.load(spark, sf, "events").select(line.alias("value"))
+    head = spark.range(1).selectExpr("explode(array('C,EVENTS,LOG', 'I,EVENTS,LOG,1,EVENT,KIND,VALUE')) AS value")
+    head.unionByName(lines).coalesce(1).write.text(path)
+    good = archive.read_archive(spark, path, "LOG", [("EVENT", "bigint"), ("KIND", "string"), ("VALUE", "double")])
+    bad = archive.quarantine(spark, path).select(
+        "reason", "cells", F.split("line", ",")[4].cast("bigint").alias("k"))
+    return bad.unionByName(good.select(F.lit("good").alias("reason"), F.lit(7).alias("cells"), F.col("EVENT").alias("k"))).groupBy("reason").agg(
+        F.count("*").alias("n"), F.min("cells").alias("least"), F.max("cells").alias("most"), F.sum("k").alias("numbers"))
+
+
 @query("SELECT count(*) AS data_rows, CAST(0 AS BIGINT) AS incomplete FROM events")
 def archive_footers(spark, sf):
     return archive.check_footer(spark, archived(spark, sf)).agg(
