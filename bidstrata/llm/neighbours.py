@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import releasing, stored
+from bidstrata.llm.common import doc_starts, releasing, spread, stored
 
 #: Rows and probes of a cell compared in one task; a larger cell is dealt out in blocks of so many each.
-BLOCK = 256
+BLOCK = 128
+#: Numbers that one step of a comparison holds.
+COMPARED = 1 << 19
 #: Cells dealt out in blocks are listed: each holds more than a so-manieth of all rows or probes, so the list is bounded.
 MAX_HOT = 100_000
 #: Settings tried: directions a table, and cell widths in units of the median distance to a query's farthest neighbour.
@@ -109,9 +111,10 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, from the differences themselves."""
+    """Euclidean distances in double precision, from the differences themselves; of one query (a vector) or of several
+    ((query, 1, dimension) for (query, row))."""
     apart = vectors - query
-    return np.sqrt((apart * apart).sum(axis=1))
+    return np.sqrt((apart * apart).sum(axis=-1))
 
 
 # --- input ----------------------------------------------------------------------------------------
@@ -190,16 +193,17 @@ class _Nearest:
         self.keep, self.most, self.found = keep, most, []
         self.size = 0
 
-    def add(self, query: int, score: np.ndarray, ids: list[np.ndarray]) -> None:
-        near = np.argsort(score, kind="stable")
-        if len(near) > self.keep:  # all that tie with the last one kept, so that ids decide
-            near = near[score[near] <= score[near[self.keep - 1]]]
-        each = [ids[k] for k in near]
-        flat = np.concatenate(each)
-        scores = np.repeat(score[near], [len(x) for x in each])
-        best = np.lexsort((flat, scores))[:self.keep]
-        self.found.append((np.full(len(best), query), scores[best], flat[best]))
-        self.size += len(best)
+    def add(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """``score``: (query, row); row k has the ids from ``starts[k]`` on, ``lengths[k]`` of them. What ties with the last
+        one kept is kept too, so that ids decide."""
+        if score.shape[1] > self.keep:
+            near = score <= np.partition(score, self.keep - 1, axis=1)[:, self.keep - 1:self.keep]
+        else:
+            near = np.ones(score.shape, bool)
+        query, row = np.nonzero(near)
+        n = lengths[row]
+        self.found.append((np.repeat(queries[query], n), np.repeat(score[near], n), ids[spread(starts[row], n)]))
+        self.size += int(n.sum())
 
     def taken(self) -> pa.RecordBatch:
         query, score, ids = (np.concatenate(x) for x in zip(*self.found, strict=True))
@@ -218,7 +222,7 @@ class _Nearest:
 def _compare(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a place come before its probes: the former are held, the latter compared as they pass."""
     nearest = _Nearest(keep)
-    place, held, vectors, ids = None, [], None, []
+    place, held, vectors, ids = None, [], None, ()
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "row_block", "probe_block")])
         cuts = [0, *(np.flatnonzero(np.any(np.diff(keys), axis=0)) + 1).tolist(), batch.num_rows]
@@ -226,7 +230,7 @@ def _compare(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if b == a:
                 continue
             if (now := tuple(keys[:, a])) != place:
-                place, held, vectors, ids = now, [], None, []
+                place, held, vectors, ids = now, [], None, ()
             part = batch.slice(a, b - a)
             n_rows = part.num_rows - part.column("ids").null_count
             if n_rows:
@@ -235,10 +239,14 @@ def _compare(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 continue  # no probe here yet, or no row of the index at all
             if vectors is None:
                 vectors = np.concatenate([_matrix(x.column("vector")) for x in held])
-                ids = [x for h in held for x in h.column("ids").to_numpy(zero_copy_only=False)]
+                lists = pa.concat_arrays([x.column("ids") for x in held])
+                lengths = lists.value_lengths().to_numpy().astype(np.int64)
+                ids = (lists.flatten().to_numpy(), doc_starts(lengths), lengths)
             probes = part.slice(n_rows)
-            for query, vector in zip(probes.column("rep").to_numpy(), _matrix(probes.column("vector")), strict=True):
-                nearest.add(query, distances(vector, vectors), ids)
+            queries, asked = probes.column("rep").to_numpy(), _matrix(probes.column("vector"))
+            step = max(1, COMPARED // vectors.size)
+            for at in range(0, len(queries), step):
+                nearest.add(queries[at:at + step], distances(asked[at:at + step, None], vectors), *ids)
                 if nearest.size > nearest.most:
                     yield nearest.taken()
     if nearest.size:
