@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from bidstrata.schema import AUTOBIDDER_BATTERY, NON_BATTERY, OTHER_BATTERY, VIRTUAL_PLANTS
 
 
-def is_battery(type_col: str = "DISPATCHTYPE") -> Column:
-    """True for bidirectional units; a missing type is not a battery."""
-    return F.coalesce(F.col(type_col) == "BIDIRECTIONAL", F.lit(False))
+def is_battery(type_col: str = "DISPATCHTYPE", storage_col: str | None = None) -> Column:
+    """True for bidirectional units and, with ``storage_col``, for units of any storage capacity; what is missing speaks for
+    no battery."""
+    both_ways = F.coalesce(F.col(type_col) == "BIDIRECTIONAL", F.lit(False))
+    return both_ways if storage_col is None else both_ways | F.coalesce(F.col(storage_col) > 0, F.lit(False))
 
 
 def is_autobidder(flag_col: str = "AUTOBIDDER") -> Column:

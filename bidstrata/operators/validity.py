@@ -87,25 +87,28 @@ def in_force(
 
 def version_periods(
     df: DataFrame, keys: Sequence[str], effective: str = "EFFECTIVEDATE", version: str = "VERSIONNO", start: str = "START_DATE",
-    end: str = "END_DATE",
+    end: str = "END_DATE", cols: Sequence[str] = (),
 ) -> DataFrame:
-    """(*keys, effective, version, start, end): the versions of a key that ever count, and from when until when.
+    """(*keys, effective, version, *cols, start, end): the versions of a key that ever count, from when until when.
 
     A version counts from its effective date until the next one's; of one date the greatest version does. Versions
-    without a date are left out. There is a row for each version, however many rows of ``df`` belong to it.
+    without a date are left out. There is a row for each version, however many rows of ``df`` belong to it; ``cols`` are
+    those of the greatest of them.
     """
-    dated = df.where(F.col(effective).isNotNull()).groupBy(*keys, effective).agg(F.max(version).alias(version))
+    best = F.max(F.struct(version, *cols)).alias("_best")
+    dated = df.where(F.col(effective).isNotNull()).groupBy(*keys, effective).agg(best).select(*keys, effective, "_best.*")
     following = F.lead(effective).over(Window.partitionBy(*keys).orderBy(effective))
     return dated.withColumns({start: F.col(effective), end: following})
 
 
 def versions_in_force(
     df: DataFrame, versioned: DataFrame, keys: Sequence[str], at: str, effective: str = "EFFECTIVEDATE", version: str = "VERSIONNO",
-    how: str = "left",
+    cols: Sequence[str] | None = None, how: str = "left",
 ) -> DataFrame:
-    """Each row of ``df`` with the ``effective`` date and ``version`` of ``versioned`` that count at its time ``at``."""
-    periods = version_periods(versioned, keys, effective, version, "_since", "_until")
-    return in_force(df, periods, keys, at, "_since", "_until", [effective, version], how)
+    """Each row of ``df`` with ``cols`` of the version in ``versioned`` that counts at its time ``at``, by default its
+    ``effective`` date and ``version``."""
+    periods = version_periods(versioned, keys, effective, version, "_since", "_until", cols or ())
+    return in_force(df, periods, keys, at, "_since", "_until", [effective, version] if cols is None else cols, how)
 
 
 def merged_periods(

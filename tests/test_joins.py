@@ -153,3 +153,30 @@ def test_wide_dispatch_becomes_long(spark):
                                  "DUID string, SETTLEMENTDATE int, TOTALCLEARED double, RAISEREG double, LOWERREG double")
     assert rows(b.dispatch_load_long(wide), "DUID", "BIDTYPE", "MW") == [
         ("a", "ENERGY", 10.0), ("a", "RAISEREG", 2.0), ("b", "LOWERREG", 1.0), ("b", "RAISEREG", 0.0)]
+
+
+@pytest.mark.parametrize("split", [10**6, 4])
+def test_charge_stays_within_the_capacity_in_force(spark, split):
+    """Against a plain loop: hot units, a null unit, missing MW and capacity, ties on time."""
+    draw = random.Random(4)
+    data = [(draw.choice(["hot"] * 6 + ["b", None]), at("2025-10-01T00:00:00") + timedelta(minutes=5 * (n // 3)), n,
+             draw.choice([None, *range(-60, 61, 7)]), draw.choice([None, -1.0, 3.0, 8.0]) if n % 10 == 0 else 8.0) for n in range(300)]
+    data = [(u, t, n, None if mw is None else float(mw), c) for u, t, n, mw, c in data]
+    df = spark.createDataFrame(data, "DUID string, SETTLEMENTDATE timestamp_ntz, n int, MW double, MAXSTORAGECAPACITY double").repartition(3)
+    got = {r.n: r.charge_mwh for r in o.state_of_charge(df, efficiency=0.9, initial=2.0, split_rows=split).collect()}
+    level = {}
+    for u, _, n, mw, c in sorted(data, key=lambda r: (r[1], r[2])):
+        taken = 0.0 if mw is None else (-mw * 0.9 if mw < 0 else -mw) / 12
+        cap = max(c or 0.0, 0.0)
+        level[u] = min(cap, max(0.0, level.get(u, 2.0) + taken))
+        assert got.pop(n) == (None if c is None or c < 0 else pytest.approx(level[u], abs=1e-9))
+    assert not got and o.state_of_charge(df.where("false")).collect() == []
+
+
+def test_capacity_of_the_version_in_force(spark):
+    details = spark.createDataFrame(
+        [("u", at("2025-10-01T00:00:00"), 1, 4.0), ("u", at("2025-10-03T00:00:00"), 1, 5.0), ("u", at("2025-10-03T00:00:00"), 2, 6.0), ("w", None, 1, 7.0)],
+        "DUID string, EFFECTIVEDATE timestamp_ntz, VERSIONNO int, MAXSTORAGECAPACITY double")
+    load = spark.createDataFrame([("u", at(f"2025-{d}T00:00:00")) for d in ("09-30", "10-01", "10-02", "10-03")] + [("w", at("2025-10-03T00:00:00"))],
+                                 "DUID string, SETTLEMENTDATE timestamp_ntz")
+    assert [r[2] for r in rows(o.with_capacity(load, details))] == [None, 4.0, 4.0, 6.0, None]

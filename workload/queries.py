@@ -904,6 +904,24 @@ def cumulative_energy(spark, sf):
                          r4("cumulative_mwh").alias("cumulative_mwh"))
 
 
+@query(f"""WITH RECURSIVE {DISPATCH}, {t.STORAGE}, steps AS (
+        SELECT DUID, L_ORDER, L_LINE, L_PART, SETTLEMENTDATE, CASE WHEN SETTLEMENTDATE < later THEN size ELSE size * 0.5 END AS cap,
+               CASE WHEN FLOW < 0 THEN -FLOW * CAST(0.85 AS DOUBLE) ELSE -FLOW END * (CAST(5 AS DOUBLE) / 60) AS taken,
+               row_number() OVER (PARTITION BY DUID ORDER BY SETTLEMENTDATE, L_ORDER, L_LINE, L_PART) AS n
+        FROM dispatch JOIN storage USING (DUID)),
+    levels AS (
+        SELECT DUID, n, least(coalesce(cap, 0), greatest(0, 1.5 + taken)) AS level FROM steps WHERE n = 1
+        UNION ALL
+        SELECT steps.DUID, steps.n, least(coalesce(cap, 0), greatest(0, level + taken))
+        FROM levels JOIN steps ON steps.DUID = levels.DUID AND steps.n = levels.n + 1)
+    SELECT DUID, L_ORDER, L_LINE, L_PART, {sday('SETTLEMENTDATE')} AS SETTLEMENTDATE, {s4('CASE WHEN cap IS NOT NULL THEN level END')} AS charge_mwh
+    FROM steps JOIN levels USING (DUID, n)""")
+def state_of_charge(spark, sf):
+    load = o.with_capacity(t.dispatch(spark, sf), t.archived(t.storage_details(spark, sf), "DUDETAIL"))
+    level = o.state_of_charge(load, order=["SETTLEMENTDATE", "L_ORDER", "L_LINE", "L_PART"], mw="FLOW", efficiency=0.85, initial=1.5)
+    return level.select("DUID", "L_ORDER", "L_LINE", "L_PART", day("SETTLEMENTDATE").alias("SETTLEMENTDATE"), r4("charge_mwh").alias("charge_mwh"))
+
+
 CONSTRAINTS = """results AS (
     SELECT l_partkey AS CONSTRAINTID, l_shipdate AS SETTLEMENTDATE, l_discount - 0.05 AS MARGINALVALUE FROM lineitem),
 definitions AS (SELECT p_partkey AS CONSTRAINTID, p_type AS CONSTRAINTTYPE FROM part),

@@ -329,6 +329,21 @@ unit_periods AS (
     JOIN nation ON n = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def storage_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Storage capacities, halved from a day of the unit's own by a second version; every ninth unit has none."""
+    later = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("s_suppkey") % 900).cast("int"))
+    size = F.when(F.col("s_suppkey") % 9 != 0, 4.0 + F.col("s_suppkey") % 13)
+    versions = F.array(*[
+        F.struct(since.alias("EFFECTIVEDATE"), F.lit(n).alias("VERSIONNO"), (size * share).alias("MAXSTORAGECAPACITY"))
+        for since, n, share in ((F.lit("1990-01-01").cast("date"), 1, 1.0), (later, 1, 9.0), (later, 2, 0.5))])
+    return load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("DUID"), F.explode(versions).alias("v")).select("v.*", "DUID")
+
+
+STORAGE = """storage AS (
+    SELECT CAST(s_suppkey AS VARCHAR) AS DUID, CASE WHEN s_suppkey % 9 <> 0 THEN CAST(4 + s_suppkey % 13 AS DOUBLE) END AS size,
+           DATE '1997-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS later FROM supplier)"""
+
+
 def constraint_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Three versions a constraint: a first one, and two of one later date."""
     later = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("p_partkey") % 1500).cast("int"))
