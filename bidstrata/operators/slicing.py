@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Default of ``split_rows``: rows a group may have before it is cut.
 SPLIT_ROWS = 1_000_000
+#: As ``split_rows``: no group is cut, and rows that storage keeps together by their keys stay where they are.
+WHOLE = 0
 MAX_HOT_GROUPS = 100_000
 MAX_SLICES = 65_536
 #: Slices aimed at in ``split_rows`` rows, and rows sampled (about) for each.
@@ -137,6 +139,9 @@ def running_sums(
 ) -> DataFrame:
     """Running totals along ``order`` within ``keys``; ``order`` must be a total order. Nulls add nothing, and
     a total is null until the first value."""
+    if split_rows == WHOLE:
+        here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: F.sum(c).over(here) for n, c in sums.items()})
     inputs = {n: f"_in_{n}" for n in sums}
     df = slice_hot_groups(df.withColumns({inputs[n]: c for n, c in sums.items()}), keys, order, split_rows=split_rows)
     df = carry_in(
@@ -158,6 +163,9 @@ def previous_row(
 ) -> DataFrame:
     """Struct of ``cols`` from the row before along ``order`` (``name``) and whether there is none (``first``)."""
     row = F.struct(*cols)
+    if split_rows == WHOLE:
+        here = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({name: F.lag(row).over(here), first: F.row_number().over(here) == 1})
     df = slice_hot_groups(df, keys, order, split_rows=split_rows)
     df = carry_in(
         df,

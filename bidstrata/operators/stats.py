@@ -73,19 +73,21 @@ def participation_table(shares: DataFrame, services: Sequence[str], category: st
 
 # --- exact quantiles ------------------------------------------------------------------------------
 
-def compact(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Distinct non-null values of ``col`` per group with their number of rows ``_w``."""
-    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_w"))
+def compact(df: DataFrame, by: Sequence[str], col: str, weight: str | None = None) -> DataFrame:
+    """Distinct non-null values of ``col`` per group with their number of rows ``_w``; a row of ``df`` stands for one or,
+    where values were counted before, for as many as the column ``weight`` says."""
+    n = F.sum(weight) if weight else F.count("*")
+    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(n.alias("_w"))
 
 
 def _ranked(
-    df: DataFrame, by: Sequence[str], col: str, mean: bool = False, split_rows: int | None = None
+    df: DataFrame, by: Sequence[str], col: str, mean: bool = False, split_rows: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Distinct values with the group's size ``_n`` (and ``_mean``) and the rows up to and with each value,
     ``_upto``. The group is one struct column, ``_g``: it is never null, so no branch of the plan adds a key
     filter of its own and all of them read one counting shuffle."""
     key, x = ["_g"], F.col(col)
-    values = compact(df.select(F.struct(*by).alias("_g"), col), key, col).withColumn("_xw", x * F.col("_w"))
+    values = compact(df.select(F.struct(*by).alias("_g"), col, *([weight] if weight else [])), key, col, weight).withColumn("_xw", x * F.col("_w"))
     summed = ["_w", "_xw"] if mean else ["_w"]
     values = slice_hot_groups(values, key, [col], totals={f"_all{c}": F.sum(c) for c in summed}, split_rows=split_rows)
     values = carry_in(values, {"_sum": F.sum("_w")}, {"_carried": F.sum("_sum").over(slices_before())},
@@ -113,28 +115,28 @@ def _picks(col: str, probs: Mapping[str, float]) -> tuple[list[Column], list[Col
 
 def quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float], n_distinct: str | None = None,
-    method: str = "ranked", split_rows: int | None = None,
+    method: str = "ranked", split_rows: int | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``col`` per group: one column per entry of ``probs``.
 
     ``ranked`` works on distinct values and their counts: running counts give every value its ranks, and the two
     values beside each wanted rank are picked by an ordinary aggregation. ``histogram`` hands the counted values to
     ``percentile``, which is cheaper and fit for columns of counts. A group of more than ``split_rows`` distinct values
-    (``slicing.SPLIT_ROWS`` if not given) is ranked in slices.
+    (``slicing.SPLIT_ROWS`` if not given) is ranked in slices. ``weight``: see ``compact``.
     """
     if not by:
-        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct, method, split_rows).drop("_g")
+        return quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs, n_distinct, method, split_rows, weight).drop("_g")
     by = list(by)
     distinct = [F.count("*").alias(n_distinct)] if n_distinct else []
     if method == "histogram":
-        values = compact(df, by, col).groupBy(*by).agg(
+        values = compact(df, by, col, weight).groupBy(*by).agg(
             F.percentile(col, list(probs.values()), F.col("_w")).alias("_q"), *distinct)
         outs = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
         return values.select(*by, *outs, *([n_distinct] if n_distinct else []))
     if method != "ranked":
         raise ValueError(f"unknown method {method!r}")
     picks, outs = _picks(col, probs)
-    found = _ranked(df, by, col, split_rows=split_rows).groupBy("_g").agg(*picks, *distinct)
+    found = _ranked(df, by, col, split_rows=split_rows, weight=weight).groupBy("_g").agg(*picks, *distinct)
     return found.select("_g.*", *outs, *([n_distinct] if n_distinct else []))
 
 
@@ -153,15 +155,15 @@ def summary_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     )
 
 
-def band_stats(long: DataFrame, by: Sequence[str], value: str = "PRICE") -> DataFrame:
-    """N, mean, std, min, quartiles, max and distinct values of a long band table, nulls left out.
+def band_stats(long: DataFrame, by: Sequence[str], value: str = "PRICE", weight: str | None = None) -> DataFrame:
+    """N, mean, std, min, quartiles, max and distinct values of a long band table, nulls left out. ``weight``: see ``compact``.
 
     All of it comes from one pass over the distinct values; the std is taken about the mean, not from squares.
     """
     by, x = list(by), F.col(value)
     picks, quartiles = _picks(value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     spread = F.sum(F.col("_w") * (x - F.col("_mean")) * (x - F.col("_mean")))
-    found = _ranked(long, by, value, mean=True).groupBy("_g").agg(
+    found = _ranked(long, by, value, mean=True, weight=weight).groupBy("_g").agg(
         F.max("_n").alias("n"), F.max("_mean").alias("mean"), spread.alias("_spread"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.count("*").alias("n_distinct"), *picks,
     )
@@ -320,21 +322,23 @@ def services(df: DataFrame, col: str = "BIDTYPE") -> DataFrame:
 
 # --- box plots, histograms, verdicts --------------------------------------------------------------
 
-def _with_fences(df: DataFrame, by: Sequence[str], col: str, method: str) -> DataFrame:
+def _with_fences(df: DataFrame, by: Sequence[str], col: str, method: str, weight: str | None) -> DataFrame:
     """Distinct values with their group's quartiles and 1.5·IQR fences."""
     by = list(by)
-    q = quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, method=method)
+    q = quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, method=method, weight=weight)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     q = q.withColumns({"_lower": F.col("q1") - reach, "_upper": F.col("q3") + reach})
-    return compact(df, by, col).join(q, by)
+    return compact(df, by, col, weight).join(q, by)
 
 
-def box_stats(df: DataFrame, by: Sequence[str], col: str, method: str = "ranked") -> DataFrame:
+def box_stats(
+    df: DataFrame, by: Sequence[str], col: str, method: str = "ranked", weight: str | None = None
+) -> DataFrame:
     """Box-plot figures: N, quartiles, whiskers (last values within 1.5·IQR of the box, never inside it) and the
-    number of outliers."""
+    number of outliers. ``weight``: see ``compact``."""
     x, inside = F.col(col), F.col(col).between(F.col("_lower"), F.col("_upper"))
     return (
-        _with_fences(df, by, col, method)
+        _with_fences(df, by, col, method, weight)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.sum("_w").alias("n"),
@@ -348,10 +352,12 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str, method: str = "ranked"
     )
 
 
-def box_outliers(df: DataFrame, by: Sequence[str], col: str, method: str = "ranked") -> DataFrame:
+def box_outliers(
+    df: DataFrame, by: Sequence[str], col: str, method: str = "ranked", weight: str | None = None
+) -> DataFrame:
     """Distinct values beyond the whiskers, with how often each occurs."""
     outside = ~F.col(col).between(F.col("_lower"), F.col("_upper"))
-    return _with_fences(df, by, col, method).where(outside).select(*by, col, F.col("_w").alias("n"))
+    return _with_fences(df, by, col, method, weight).where(outside).select(*by, col, F.col("_w").alias("n"))
 
 
 def int_histogram(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
@@ -371,8 +377,13 @@ def int_histogram(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     )
 
 
+# The ratios of means above and below which a verdict is given, and its words.
+VARIES_MORE, VARIES_LESS = 1.1, 0.9
+VERDICTS = {"more": "SUPPORTED", "less": "REJECTED", "alike": "INCONCLUSIVE"}
+
+
 def compare_groups(
-    variation: DataFrame, flag: str = "is_autobidder", col: str = "std", high: float = 1.1, low: float = 0.9
+    variation: DataFrame, flag: str = "is_autobidder", col: str = "std", high: float = VARIES_MORE, low: float = VARIES_LESS
 ) -> DataFrame:
     """Mean of ``col`` in the flagged and in the other group, their ratio, and the verdict on whether the flagged
     group varies more."""
@@ -381,7 +392,7 @@ def compare_groups(
         F.avg(F.when(~F.col(flag), F.col(col))).alias("other_mean"),
     )
     a, o = F.col("autobidder_mean"), F.col("other_mean")
-    verdict = F.when(a > o * high, "SUPPORTED").when(a < o * low, "REJECTED").otherwise("INCONCLUSIVE")
+    verdict = F.when(a > o * high, VERDICTS["more"]).when(a < o * low, VERDICTS["less"]).otherwise(VERDICTS["alike"])
     return means.withColumns({"ratio": F.try_divide(a, o), "verdict": verdict})
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bidstrata.functions.periods import expand_periods, market_time
 from bidstrata.operators.joins import align_detail
-from bidstrata.schema import LINE_PREFIX, TABLES
+from bidstrata.schema import AUCTION, LINE_PREFIX, TABLES
 
 PART_GLOB = "FILE*.[cC][sS][vV]"
 #: Where the reader puts the text of a line whose cells do not fit the columns.
@@ -196,3 +196,25 @@ def ingest_detail(df: DataFrame, dst: str) -> None:
     """``ingest`` of quantity detail as the archive has it: names aligned to the header table, and a row per period
     where one row covers several."""
     ingest(expand_periods(align_detail(df)), dst)
+
+
+def ingest_together(
+    df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = AUCTION, order: Sequence[str] = (),
+) -> None:
+    """Write typed rows as the catalogue's ``table`` under ``path``, rows of equal ``keys`` in one of ``buckets`` files, sorted
+    by keys and ``order``.
+
+    Tables written with the same keys and number of buckets meet where they lie: a window over the keys, or over these and
+    more, needs no exchange (``split_rows=slicing.WHOLE``), and neither does a join on them (``join_in_place``). All rows of
+    a key are one task's then, so this is for keys of ordinary size; ``ingest`` spreads any.
+    """
+    (
+        df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(table)
+    )
+
+
+def join_in_place(spark: SparkSession) -> None:
+    """Let this session join tables on more columns than they are partitioned by without exchanging them again: a panel's
+    price and quantity side share an auction's bucket and are joined on the offer time as well."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")

@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from bidstrata.schema import ALIGN_DETAIL, PRICE_BANDS, QUANTITY_BANDS, TABLES
 from bidstrata.operators.joins import align_detail, price_quantity_panel
-from bidstrata.sources import archive, sinks
-from tests.conftest import at, on, rows
+from bidstrata.operators import stats
+from bidstrata.sources import archive, counted, sinks
+from tests.conftest import SF, at, on, rows
 
 
 def line(table, **cells):
@@ -169,3 +170,56 @@ def test_lines_that_do_not_fit_go_to_quarantine(spark, tmp_path):
 def test_clean_archives_have_an_empty_quarantine(spark, tmp_path):
     write_part(tmp_path, "BIDDAYOFFER", 1, [header("C"), header("D")])
     assert archive.quarantine(spark, archive.parts(str(tmp_path), "BIDDAYOFFER")).collect() == []
+
+
+def test_bucketed_tables_meet_where_they_lie(spark, monkeypatch):
+    from workload import queries as q
+    from workload import tables as t
+
+    price, qty = q.bucketed_panel(spark, SF, 4)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+        archive.join_in_place(spark)
+        panel = price_quantity_panel(price, q.flagged_in_place(qty), t.FIVE)
+        plan = panel._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "SortMergeJoin" in plan and "Exchange" not in plan
+        assert panel.count() == q.QUERIES["price_quantity_panel"](spark, SF).count()
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def counted_table(spark, path):
+    data = [(on(f"2031-03-{d:02d}"), g, float((d * 7 + k * k) % 23)) for d in range(1, 9) for g in "ab" for k in range(30)] + [
+        (on("2031-03-01"), "a", None), (None, "a", 5.0)]
+    long = spark.createDataFrame(data, "SETTLEMENTDATE date, g string, PRICE double")
+    counted.write_counts(counted.value_counts(long, ["g"]), path)
+    return long
+
+
+@pytest.mark.parametrize("first, last", [(None, None), ("2031-03-03", "2031-03-05"), ("2031-03-08", None)])
+def test_counts_of_days_give_the_quartiles_of_their_offers(spark, tmp_path, first, last):
+    path = str(tmp_path / "counts")
+    long = counted_table(spark, path)
+    counts = counted.counts_of_days(spark, path, first, last)
+    own = long.where(F.coalesce(F.col("SETTLEMENTDATE") >= F.lit(first or "1900-01-01").cast("date"), F.lit(first is None))
+                     & F.coalesce(F.col("SETTLEMENTDATE") <= F.lit(last or "2999-01-01").cast("date"), F.lit(first is None)))
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    assert rows(stats.quantiles(counts, ["g"], "PRICE", probs, weight="n")) == rows(stats.quantiles(own, ["g"], "PRICE", probs))
+    assert rows(stats.quantiles(counts, ["g"], "PRICE", probs, method="histogram", weight="n")) == rows(stats.quantiles(own, ["g"], "PRICE", probs))
+    assert rows(stats.box_stats(counts, ["g"], "PRICE", weight="n")) == rows(stats.box_stats(own, ["g"], "PRICE"))
+    assert rows(stats.band_stats(counts, ["g"], weight="n")) == rows(stats.band_stats(own, ["g"]))
+
+
+def test_a_day_counted_again_replaces_itself_alone(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    counted_table(spark, path)
+    before = rows(counted.counts_of_days(spark, path).where("market_day <> '2031-03-02'"))
+    again = spark.createDataFrame([(on("2031-03-02"), "a", 1.0)] * 3, "SETTLEMENTDATE date, g string, PRICE double")
+    counted.write_counts(counted.value_counts(again, ["g"]), path)
+    assert rows(counted.counts_of_days(spark, path).where("market_day <> '2031-03-02'")) == before
+    assert rows(counted.counts_of_days(spark, path, "2031-03-02", "2031-03-02"), "g", "PRICE", "n") == [("a", 1.0, 3)]
+    plan = counted.counts_of_days(spark, path, "2031-03-02", "2031-03-02")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(market_day" in plan

@@ -16,6 +16,7 @@ from bidstrata.functions import units as u
 from bidstrata.operators import bands as b
 from bidstrata.operators import joins as j
 from bidstrata.operators import outcomes as o
+from bidstrata.operators import slicing
 from bidstrata.operators import stats as s
 from bidstrata.operators import versions as v
 from bidstrata.plans import reports
@@ -23,6 +24,7 @@ from bidstrata.schema import BATTERY_CATEGORIES, CATEGORIES
 from bidstrata.schema import PRICE_BANDS as BANDS10
 from bidstrata.schema import REGIONAL_PRICES as REGIONAL
 from bidstrata.sources import archive, sinks
+from bidstrata.sources import counted as cd
 from workload import tables as t
 from workload.archives import write_archive
 from workload.tables import (
@@ -682,6 +684,50 @@ def exact_quantiles(spark, sf):
     return rounded(q, "p10", "p50", "p99")
 
 
+COUNTED_RANGES = {"whole": ("1995-01-01", "2001-12-31"), "middle": ("1996-04-01", "1999-09-30"), "quarter": ("1998-01-01", "1998-03-31")}
+
+
+def counted_prices(spark, sf):
+    """Prices of line items by quarter, counted and written; a first, wrong version of one quarter is replaced."""
+    path, days = t.scratch(spark), t.load(spark, sf, "lineitem").withColumn("SETTLEMENTDATE", F.trunc("l_shipdate", "quarter"))
+    counts = cd.value_counts(days, ["l_returnflag"], "l_extendedprice")
+    wrong = counts.where("market_day = '1998-01-01'").withColumn("n", F.col("n") * 7)
+    cd.write_counts(counts.where("market_day <> '1998-01-01'").unionByName(wrong), path)
+    cd.write_counts(counts.where("market_day = '1998-01-01'"), path)
+    return path
+
+
+COUNTED_SQL = " UNION ALL ".join(f"SELECT '{name}' AS days, * FROM lineitem WHERE l_shipdate BETWEEN '{a}' AND '{b}'" for name, (a, b) in COUNTED_RANGES.items())
+
+
+@query(f"""WITH ranged AS ({COUNTED_SQL})
+    SELECT days, l_returnflag, count(*) AS n, {s4('avg(l_extendedprice)')} AS mean, {s4('stddev_samp(l_extendedprice)')} AS std, min(l_extendedprice) AS min,
+           {s4('quantile_cont(l_extendedprice, 0.25)')} AS q25, {s4('quantile_cont(l_extendedprice, 0.5)')} AS median,
+           {s4('quantile_cont(l_extendedprice, 0.75)')} AS q75, max(l_extendedprice) AS max, count(DISTINCT l_extendedprice) AS n_distinct
+    FROM ranged GROUP BY 1, 2""")
+def stats_of_counted_days(spark, sf):
+    path, out = counted_prices(spark, sf), None
+    for name, (first, last) in COUNTED_RANGES.items():
+        stats = s.band_stats(cd.counts_of_days(spark, path, first, last), ["l_returnflag"], "l_extendedprice", weight=cd.COUNT)
+        stats = stats.select(F.lit(name).alias("days"), "*")
+        out = stats if out is None else out.unionByName(stats)
+    return rounded(out, "mean", "std", "q25", "median", "q75")
+
+
+@query(f"""WITH ranged AS ({COUNTED_SQL}), {box_sql('ranged', 'days, l_returnflag', 'l_extendedprice')}
+    SELECT days, l_returnflag, count(*) AS n, {s4('q1')} AS q1, {s4('median')} AS median, {s4('q3')} AS q3,
+           {s4('least(min(l_extendedprice) FILTER (inside), q1)')} AS whisker_low,
+           {s4('greatest(max(l_extendedprice) FILTER (inside), q3)')} AS whisker_high, count(*) FILTER (NOT inside) AS n_outliers
+    FROM placed GROUP BY days, l_returnflag, q1, median, q3""")
+def boxes_of_counted_days(spark, sf):
+    path, out = counted_prices(spark, sf), None
+    for name, (first, last) in COUNTED_RANGES.items():
+        boxes = s.box_stats(cd.counts_of_days(spark, path, first, last), ["l_returnflag"], "l_extendedprice", weight=cd.COUNT)
+        boxes = boxes.select(F.lit(name).alias("days"), "*")
+        out = boxes if out is None else out.unionByName(boxes)
+    return rounded(out, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 # --- panel and curves -----------------------------------------------------------------------------
 
 PANEL_KEYS = "OFFER_ID, PERIODID, L_PART, L_SUPP, " + sday("SHIPPED") + " AS SHIPPED"
@@ -705,6 +751,35 @@ def price_quantity_panel(spark, sf):
     return joined.select(*sided_keys(), *[r4(x).alias(x) for x in PRICES3 + MWS3])
 
 
+@query(f"""WITH {t.SIDED}, flagged AS (
+        SELECT *, row_number() OVER w = 1 AS is_first, row_number() OVER w > 1 AND (
+            BANDAVAIL1 IS DISTINCT FROM lag(BANDAVAIL1) OVER w OR BANDAVAIL2 IS DISTINCT FROM lag(BANDAVAIL2) OVER w
+            OR BANDAVAIL3 IS DISTINCT FROM lag(BANDAVAIL3) OVER w) AS is_true_rebid
+        FROM sided_detail WINDOW w AS (PARTITION BY DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, PERIODID ORDER BY OFFERDATE, L_ORDER, L_PART))
+    SELECT {SIDED_KEYS}, is_first, is_true_rebid, {s4("PRICEBAND1")} AS PRICEBAND1
+    FROM flagged JOIN sided_prices USING (DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE)""")
+def panel_in_place(spark, sf):
+    """Changes flagged on the quantity side, then prices joined, both sides read from buckets of their auctions."""
+    price, qty = bucketed_panel(spark, sf, 8)
+    panel = j.price_quantity_panel(price, flagged_in_place(qty), t.FIVE)
+    return panel.select(*sided_keys(), "is_first", "is_true_rebid", r4("PRICEBAND1").alias("PRICEBAND1"))
+
+
+def bucketed_panel(spark, sf, buckets):
+    """Price and quantity side of the panel as bucketed tables."""
+    out = []
+    for df, order in ((t.sided_prices(spark, sf), ["OFFERDATE"]), (t.sided_detail(spark, sf), ["PERIODID", "OFFERDATE"])):
+        path = t.scratch(spark)
+        name = "bidstrata_" + path.rsplit("-", 1)[-1]
+        archive.ingest_together(df, name, path, buckets, t.SIDE_AUCTION, order)
+        out.append(spark.table(name))
+    return out
+
+
+def flagged_in_place(qty):
+    return v.flag_true_rebids(qty, [*t.SIDE_AUCTION, "PERIODID"], t.DETAIL_ORDER, MWS3, split_rows=slicing.WHOLE)
+
+
 @query(f"""WITH {t.SIDED}, {UNITS}, four AS (SELECT * EXCLUDE (DIRECTION) FROM sided_prices)
     SELECT {SIDED_KEYS}, {s4("PRICEBAND1")} AS PRICEBAND1, DISPATCHTYPE AS dispatch_type
     FROM sided_detail JOIN four USING (DUID, BIDTYPE, SETTLEMENTDATE, OFFERDATE) LEFT JOIN units USING (DUID)""")
