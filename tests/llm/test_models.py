@@ -68,7 +68,7 @@ def test_label_model_discounts_copies_of_a_voter():
         return np.where(draw.random(3000) < accuracy, y, ~y) * 2 - 1
     anchor, good, weak = voter(0.95), voter(0.9), voter(0.7)
     votes = np.stack([anchor, good, weak, weak, weak, weak], 1).astype(float)
-    posterior, accuracies, rho = toxicity.fit_label_model(votes, 0)
+    posterior, accuracies, rho = toxicity.fit_label_model(votes)
     assert rho[2, 3] > 0.9 and rho[1, 2] < 0.2
     assert ((posterior > 0.5) == y).mean() > 0.94
     assert accuracies[1] > accuracies[2]
