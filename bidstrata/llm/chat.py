@@ -31,6 +31,8 @@ _SPECIAL = re.compile(r"([\\<>])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<>]|\\.)*)</turn>\n", re.DOTALL)
 LOSS_ROLE = "assistant"
+#: Text (in all its repetitions) that one shard holds, about.
+SHARD_BYTES = 4 << 20
 
 
 def escape(text: str) -> str:
@@ -155,7 +157,7 @@ def _emit(tokenizer_path: str):
     return run
 
 
-def write_tree(conversations: DataFrame, path: str, tokenizer_path: str) -> None:
+def write_tree(conversations: DataFrame, path: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the tree of ``conversations`` (conv_id, turn, role, text) under ``path``.
 
     ``read_nodes`` gives shard, node, start (place of its first token in the shard's sequence), position (position
@@ -164,7 +166,8 @@ def write_tree(conversations: DataFrame, path: str, tokenizer_path: str) -> None
     ``read_turns`` gives which node is which turn (depth, from 0) of which conversation.
 
     Turns are ordered by turn, then role and text where turns are equal; repeated rows stay turns of their own. Null
-    roles and texts are empty. Rows with null conv_id form one conversation. No rows, no nodes. A conversation's turns
+    roles and texts are empty. Rows with null conv_id form one conversation. No rows, no nodes. There is a shard for
+    about every ``shard_bytes`` of text. A conversation's turns
     stream through one task, which holds a batch of them; the shared first turns of many cost a row each.
     """
     rows = _in_turns(conversations)
@@ -173,15 +176,17 @@ def write_tree(conversations: DataFrame, path: str, tokenizer_path: str) -> None
     chains = settled(
         rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
         .mapInArrow(_chains, T.StructType([conv, T.StructField("chain", T.BinaryType())])))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = int(size // shard_bytes) + 1
     placed = settled(
-        chains.repartitionByRange("chain", "conv_id").sortWithinPartitions("chain", "conv_id")
+        chains.repartitionByRange(shards, "chain", "conv_id").sortWithinPartitions("chain", "conv_id")
         .mapInArrow(_shared_turns, T.StructType([
             conv, T.StructField("shard", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("shared", T.LongType())])))
     here = placed.withColumnRenamed("conv_id", "_conv")
     turns = rows.join(here, F.expr("conv_id <=> _conv")).drop("_conv")
     long = T.LongType()
     nodes = (
-        turns.repartition("shard").sortWithinPartitions("shard", "rank", *order).mapInArrow(_by_shard(_emit(tokenizer_path)), T.StructType([
+        turns.repartition(shards, "shard").sortWithinPartitions("shard", "rank", *order).mapInArrow(_by_shard(_emit(tokenizer_path)), T.StructType([
             conv, T.StructField("depth", long), T.StructField("shard", T.IntegerType()), T.StructField("node", long),
             T.StructField("fresh", T.BooleanType()), T.StructField("start", long), T.StructField("position", long),
             T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("loss_start", long),
