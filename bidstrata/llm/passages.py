@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from bidstrata.llm.common import CHUNK_BYTES, doc_starts, pieces, split_words, spread, stored
 
 WINDOW, PHRASE = 20, 6
-#: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together.
-HOT_ANCHOR, GROUP_ROWS = 200_000, 10_000
+#: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together. A
+#: segment has 34 words at most, so those of a group and the anchor that closes it fit the 1,112,063 characters there are.
+HOT_ANCHOR, GROUP_ROWS = 20_000, 10_000
 #: Patterns in one automaton at most; a shard with more compiles several, one after the other.
 AUTOMATON_PATTERNS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
