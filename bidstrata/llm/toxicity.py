@@ -4,8 +4,9 @@ Words and word beginnings that mark toxic texts are mined from a bounded sample
 voters by kind and strength; pattern voters look at shouting, exclamation marks, symbols and repetition. Each voter
 votes toxic or clean or abstains. A generative label model estimates by expectation-maximisation how often each voter
 votes what in either class, and how voters correlate within a class: evidence that several voters share counts once.
-Its posteriors are the training labels of a linear classifier on the mined terms, which scores every text. Labels mine
-the lexica and say which of the two classes is the toxic one; they are no voter, and the model never sees them.
+The posteriors of these voters are the training labels of a linear classifier on the mined terms, which scores every
+text. Labels mine the lexica and anchor the model: while rates and correlations are estimated, they name the classes. In
+the posteriors they have no vote.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from bidstrata.llm.common import crc_mod, doc_starts, pieces, releasing, settled
 #: About how many labelled rows the model is fitted on at most, and how many mined terms it may use.
 FIT_ROWS, MAX_TERMS = 20_000, 4_096
 THRESHOLD = 0.3
-#: Share of a term's texts that are toxic from which it is in a lexicon; the classifier learns of the others too.
-LEXICON_SHARE = 0.8
 _EDGES = re.compile(r"^\W+|\W+$")
 _BEGINNINGS = (3, 4, 5, 6)
 #: Odd factors that turn one hash into several.
@@ -122,12 +121,15 @@ def _g2(a, n, toxic, total):
 
 # --- the label model ------------------------------------------------------------------------------
 
-def fit_label_model(votes: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_label_model(
+    votes: np.ndarray, anchor: int, rounds: int = 25, anchor_votes: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability of class 1 for each row of ``votes`` (-1, 0 or 1), the voters' accuracies where they
-    vote, and their within-class correlations. It starts from the share of each row's votes that are 1, which also names
-    the classes: class 1 is the one that is voted for."""
+    vote, and their within-class correlations. ``anchor`` is a column known to be good, which names the classes while rates
+    and correlations are estimated. Without ``anchor_votes`` the posterior is of the other columns' votes alone."""
     n, voters = votes.shape
-    y = np.clip(((votes > 0).sum(1) + 0.1) / ((votes != 0).sum(1) + 0.2), 0.02, 0.98)
+    y = np.clip((votes[:, anchor] + 1) / 2, 0.02, 0.98)
+    weight = np.ones(voters)
     rho = np.zeros((voters, voters))
     for _ in range(rounds):
         prior = (y.sum() + 1) / (n + 2)
@@ -142,11 +144,14 @@ def fit_label_model(votes: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, n
         rho = np.clip((center.T @ center) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(rho, 0)
         weight = 1 / (1 + rho.sum(1))
+        weight[anchor] = 1
         new = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + llr @ weight, -30, 30)))
         moved = np.abs(new - y).max()
         y = new
         if moved < 1e-4:
             break
+    rest = (np.arange(voters) != anchor) | anchor_votes
+    y = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + llr[:, rest] @ weight[rest], -30, 30)))
     cast = votes != 0
     right = (cast & (votes > 0)) * y[:, None] + (cast & (votes < 0)) * (1 - y[:, None])
     return y, right.sum(0) / np.maximum(cast.sum(0), 1), rho
@@ -209,23 +214,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
 
     # Lexicon voters: kind of term by strength; and one voter a kind that votes clean where none of its terms occurs.
     kinds = sorted({t[0] for t in place})
-    tier = [(t[0], 0 if a / n >= 0.97 else 1 if a / n >= 0.9 else 2) if a / n >= LEXICON_SHARE else None for t, a, n in best]
-    lexica = sorted(set(filter(None, tier)))
-    names = [*[f"{k}/{s}" for k, s in lexica], *[f"no {k}" for k in kinds], *PATTERN_VOTERS]
+    tier = [(t[0], 0 if a / n >= 0.97 else 1 if a / n >= 0.8 else 2) for t, a, n in best]
+    lexica = sorted(set(tier))
+    names = ["labels", *[f"{k}/{s}" for k, s in lexica], *[f"no {k}" for k in kinds], *PATTERN_VOTERS]
     votes = np.zeros((len(rows), len(names)), np.int8)
     for i, r in enumerate(rows):
         ks = r.ks or []
-        got = {tier[k] for k in ks if tier[k]}
-        for j, lex in enumerate(lexica):
+        votes[i, 0] = 1 if r.y else -1
+        got = {tier[k] for k in ks}
+        for j, lex in enumerate(lexica, 1):
             votes[i, j] = lex in got
         had = {k for k, _ in got}
-        for j, kind in enumerate(kinds, len(lexica)):
+        for j, kind in enumerate(kinds, 1 + len(lexica)):
             votes[i, j] = 0 if kind in had else -1
         votes[i, -len(PATTERN_VOTERS):] = r.patterns
-    y, accuracies, _ = fit_label_model(votes.astype(float))
-    gold = np.array([r.y for r in rows], float)
-    if y @ gold / gold.sum() < y.mean():  # the class the voters vote for is the clean one
-        y, accuracies = 1 - y, 1 - accuracies
+    y, accuracies, _ = fit_label_model(votes.astype(float), anchor=0, anchor_votes=False)
     where = np.repeat(np.arange(len(rows)), [len(r.ks or []) for r in rows])
     which = np.array([k for r in rows for k in (r.ks or [])], np.int64)
     w, b = _fit_linear(where, which, y, len(best))
