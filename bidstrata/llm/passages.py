@@ -34,6 +34,8 @@ WINDOW, PHRASE = 20, 6
 #: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together. A
 #: segment has 34 words at most, so those of a group and the anchor that closes it fit the 1,112,063 characters there are.
 HOT_ANCHOR, GROUP_ROWS = 20_000, 10_000
+#: An anchor with more rows than this, and than a so-manieth of all, is very common.
+COMMON_ROWS, MAX_COMMON = 2_000, 100_000
 #: Patterns in one automaton at most; a shard with more compiles several, one after the other.
 AUTOMATON_PATTERNS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,8 +226,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     long = T.LongType()
     rows = stored(docs.mapInArrow(_anchor_rows, T.StructType([
         doc, T.StructField("copy", long), T.StructField("anchor", long)])))
-    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = rows.join(recurring, "anchor").groupBy("doc_id", "copy").agg(  # no more than a text has words
+    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # Rows of very common anchors stay where they are: each has a MAX_COMMON-th of all rows, so there are fewer of them.
+    common = stored(recurring.where(F.col("n") > F.greatest(F.lit(COMMON_ROWS), rows.agg(F.count("*")).scalar() / MAX_COMMON)).select("anchor"))
+    theirs = rows.join(F.broadcast(common), "anchor", "left_semi")
+    others = rows.join(F.broadcast(common), "anchor", "left_anti").join(recurring.select("anchor"), "anchor")
+    wanted = theirs.unionByName(others).groupBy("doc_id", "copy").agg(  # no more than a text has words
         F.collect_list("anchor").alias("wanted")).selectExpr("doc_id AS want_id", "copy AS want_copy", "wanted")
     packed = docs.mapInArrow(_pack, T.StructType([doc, T.StructField("copy", long), T.StructField("packed", T.BinaryType())]))
     texts = packed.join(wanted, F.expr("doc_id <=> want_id AND copy = want_copy")).select("doc_id", "copy", "packed", "wanted")
