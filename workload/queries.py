@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidstrata.functions import checks, periods
 from bidstrata.functions import units as u
 from bidstrata.operators import bands as b
+from bidstrata.operators import carry
 from bidstrata.operators import joins as j
 from bidstrata.operators import outcomes as o
 from bidstrata.operators import slicing
@@ -339,6 +340,29 @@ def true_rebids_null_unequal(spark, sf):
         F.count_if("is_true_rebid").alias("n"))
 
 
+@query(f"WITH {FLAGS} SELECT {ROW_SQL}, is_first, is_true_rebid FROM flagged")
+def true_rebid_flags_stepwise(spark, sf):
+    """The same flags from three runs, each over some offers of every auction and what the runs before carried over."""
+    keys, order = [*SIDE_AUCTION, "PERIODID"], t.DETAIL_ORDER
+    nth = Window.partitionBy(*keys).orderBy(*order)
+    steps = t.detail(spark, sf).withColumn("step", F.least(F.row_number().over(nth), F.lit(3)))
+    path = t.scratch(spark)
+    steps.write.partitionBy("step").parquet(path)
+    held, out = None, None
+    for step in (1, 2, 3):
+        now = spark.read.parquet(path).where(F.col("step") == step).drop("step")
+        if held is None:
+            flagged = v.flag_true_rebids(now, keys, order, MWS3)
+        else:
+            flagged = carry.flag_true_rebids_after(now, held, keys, order, MWS3)
+        made = carry.carry_of(now, keys, order, MWS3, before=held)
+        kept = t.scratch(spark)
+        made.write.parquet(kept)
+        held = spark.read.parquet(kept)
+        out = flagged if out is None else out.unionByName(flagged)
+    return detail_rows(out, "is_first", "is_true_rebid")
+
+
 @query(f"WITH {FLAGS} SELECT {ROW_SQL}, BANDAVAIL1, BANDAVAIL2, BANDAVAIL3 FROM flagged WHERE is_first OR is_true_rebid")
 def kept_true_rebids(spark, sf):
     return detail_rows(v.keep_true_rebids(t.detail(spark, sf), SIDE_DETAIL, DETAIL_ORDER, MWS3), *MWS3)
