@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidstrata.llm.common import crc_mod, doc_starts, pieces, releasing, settled, split_words
+from bidstrata.llm.common import crc_mod, doc_starts, pieces, releasing, split_words, stored
 
 #: About how many labelled rows the model is fitted on at most, and how many mined terms it may use.
 FIT_ROWS, MAX_TERMS = 20_000, 4_096
@@ -187,8 +187,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, m
     schema = T.StructType([
         chosen.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("sketch", T.LongType()),
         T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
-    seen = settled(chosen.mapInArrow(releasing(_described), schema))
-    apart = seen.groupBy("sketch", "y").agg(F.min_by("terms", "doc_id").alias("terms"))
+    seen = stored(chosen.mapInArrow(releasing(_described), schema).withColumn("row", F.monotonically_increasing_id()))
+    firsts = seen.groupBy("sketch", "y").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+    apart = seen.join(F.broadcast(firsts), "row", "left_semi").select("y", "terms")  # about fit_rows numbers at most
     sizes = apart.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     total, toxic = sizes[0], sizes[1]
     if not 0 < toxic < total:
