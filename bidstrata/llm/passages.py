@@ -31,11 +31,10 @@ from pyspark.sql import types as T
 from bidstrata.llm.common import CHUNK_BYTES, doc_starts, pieces, split_words, spread, stored
 
 WINDOW, PHRASE = 20, 6
-#: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together. A
-#: segment has 34 words at most, so those of a group and the anchor that closes it fit the 1,112,063 characters there are.
-HOT_ANCHOR, GROUP_ROWS = 20_000, 10_000
-#: An anchor with more rows than this, and than a so-manieth of all, is very common.
-COMMON_ROWS, MAX_COMMON = 2_000, 100_000
+#: Distinct segments from which an anchor's windows are treated one by one, and rows a worker locates in together.
+HOT_ANCHOR, GROUP_ROWS = 200_000, 10_000
+#: Characters there are, and the one for words that occur once.
+LETTERS, _BREAK = 0x110000 - 0x800, "\0"
 #: Patterns in one automaton at most; a shard with more compiles several, one after the other.
 AUTOMATON_PATTERNS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -151,33 +150,50 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ], ["doc_id", "copy", "start", "windows", "anchor", "segment"])
 
 
+def _letters(segments: list[list[str]]) -> list[str] | None:
+    """Each segment as a string with a character for a word, all from one alphabet; None if that is too small. Only words
+    that occur again need a character of their own: no window with another one recurs, and ``_BREAK`` stands for those."""
+    seen: set[str] = set()
+    code: dict[str, str] = {}
+    for words in segments:
+        for w in words:
+            if w in seen and w not in code:
+                n = len(code) + 1
+                if n >= LETTERS:
+                    return None
+                code[w] = chr(n if n < 0xD800 else n + 0x800)
+            seen.add(w)
+    return ["".join([code.get(w, _BREAK) for w in words]) for words in segments]
+
+
 def _locate(segments: list[str]) -> list[tuple[int, int, int]]:
     """Runs of repeated windows in distinct segments, sorted by first occurrence: (which, first window, windows).
 
     Words become single characters of one alphabet, windows strings of 20. What occurs twice is compiled, with its
-    first occurrence, and the segments stream through the automaton.
+    first occurrence, and the segments stream through the automaton. Should more words recur than there are characters,
+    the windows are looked up as they are, without an automaton.
     """
-    code: dict[str, str] = {}
-    strings = []
-    for segment in segments:
-        coded = []
-        for w in segment.split(" "):
-            c = code.get(w)
-            if c is None:
-                n = len(code) + 1
-                c = code[w] = chr(n if n < 0xD800 else n + 0x800)
-            coded.append(c)
-        strings.append("".join(coded))
+    split = [s.split(" ") for s in segments]
+    strings = _letters(split)
+    covered: dict[int, set[int]] = {}
+    if strings is None:
+        known: dict[str, int] = {}
+        for row, words in enumerate(split):
+            for k in range(len(words) - WINDOW + 1):
+                if known.setdefault(" ".join(words[k:k + WINDOW]), 64 * row + k) != 64 * row + k:
+                    covered.setdefault(row, set()).add(k)
+        return _runs(covered)
     first: dict[str, int] = {}
     recurring: dict[str, int] = {}
     for row, s in enumerate(strings):
         for k in range(len(s) - WINDOW + 1):
             window = s[k:k + WINDOW]
+            if _BREAK in window:
+                continue
             place = 64 * row + k
             seen = first.setdefault(window, place)
             if seen != place:
                 recurring[window] = seen
-    covered: dict[int, set[int]] = {}
     patterns = list(recurring.items())
     for at in range(0, len(patterns), AUTOMATON_PATTERNS):
         automaton = ahocorasick.Automaton()
@@ -188,6 +204,10 @@ def _locate(segments: list[str]) -> list[tuple[int, int, int]]:
             for end, seen in automaton.iter(s):
                 if seen != 64 * row + end - WINDOW + 1:
                     covered.setdefault(row, set()).add(end - WINDOW + 1)
+    return _runs(covered)
+
+
+def _runs(covered: dict[int, set[int]]) -> list[tuple[int, int, int]]:
     out = []
     for row, places in covered.items():
         places = sorted(places)
@@ -226,12 +246,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     long = T.LongType()
     rows = stored(docs.mapInArrow(_anchor_rows, T.StructType([
         doc, T.StructField("copy", long), T.StructField("anchor", long)])))
-    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    # Rows of very common anchors stay where they are: each has a MAX_COMMON-th of all rows, so there are fewer of them.
-    common = stored(recurring.where(F.col("n") > F.greatest(F.lit(COMMON_ROWS), rows.agg(F.count("*")).scalar() / MAX_COMMON)).select("anchor"))
-    theirs = rows.join(F.broadcast(common), "anchor", "left_semi")
-    others = rows.join(F.broadcast(common), "anchor", "left_anti").join(recurring.select("anchor"), "anchor")
-    wanted = theirs.unionByName(others).groupBy("doc_id", "copy").agg(  # no more than a text has words
+    recurring = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = rows.join(recurring, "anchor").groupBy("doc_id", "copy").agg(  # no more than a text has words
         F.collect_list("anchor").alias("wanted")).selectExpr("doc_id AS want_id", "copy AS want_copy", "wanted")
     packed = docs.mapInArrow(_pack, T.StructType([doc, T.StructField("copy", long), T.StructField("packed", T.BinaryType())]))
     texts = packed.join(wanted, F.expr("doc_id <=> want_id AND copy = want_copy")).select("doc_id", "copy", "packed", "wanted")

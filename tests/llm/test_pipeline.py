@@ -7,12 +7,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from bidstrata.llm import mixing, toxicity
 from tests.conftest import SF
+from tests.llm.conftest import ODD
 from tests.llm.test_texts import contaminated
 from tests.llm.test_tokens_simhash import fingerprint, roots
 
@@ -111,3 +113,39 @@ def test_queries_equal_their_sql(spark, name):
     df = entry.TEXT_QUERIES[name](spark, SF)
     assert sorted(df.columns) == columns
     assert sorted(rows(df.select(columns))) == sorted(expected.select(*columns).fetchall())
+
+
+CLASHING = ["gone_id", "gone_hash", "mix_id", "mix_hash", "mix_rate", "mix_times", "toxicity", "fp", "text_hash", "_gone", "_hash", "_mix_rate",
+            "_toxicity", "rate", "shard", "offset", "n_tokens", "tokens", "row", "root", "first", "phrase", "anchor"]
+
+
+def with_clashes(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_bear_odd_rows_and_clashing_names(spark, documents, name, stage):
+    docs = with_clashes(documents(ODD).drop("fp", "rate").withColumn("n_chars", F.length("text").cast("long")))
+    done = stage(spark, docs, SF)
+    got = done.collect()
+    if name == "token_files":
+        assert sorted(r.doc_id if r.doc_id is not None else -1 for r in got) == sorted(-1 if i is None else i for i, _ in ODD)
+        return
+    assert done.columns == docs.columns
+    assert all(r[c] == f"own {c}" for r in got for c in CLASHING)
+    left = Counter((r.doc_id, r.text) for r in got)
+    if name == "mixing":
+        assert set(left) == set(ODD) and all(n >= Counter(ODD)[row] for row, n in left.items())
+    elif name == "simhash_dedup":  # texts without words are alike; of them the least named one stays
+        kept = {(0, ODD[0][1]), (1, None), (4, "word"), (5, ODD[5][1]), (6, "same text here"), (None, "no id"), (8, ODD[12][1]), (9, ODD[13][1])}
+        assert set(left) >= kept and set(left.values()) == {1}
+        assert not {(2, ""), (3, " \t\n"), (None, None)} & set(left)
+    else:  # nothing here is toxic or benchmark text
+        assert left == Counter(ODD)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_bear_an_empty_table(spark, documents, name, stage):
+    docs = with_clashes(documents([]).drop("fp", "rate"))
+    done = stage(spark, docs, SF)
+    assert done.collect() == [] and (name == "token_files" or done.columns == docs.columns)

@@ -46,6 +46,26 @@ def test_repeated_passages(documents, monkeypatch, hot, patterns, group):
     assert sorted(map(tuple, got.collect()), key=str) == without_repeats(rows)
 
 
+@pytest.mark.parametrize("letters", [passages.LETTERS, 30, 2])
+def test_segments_with_more_words_than_characters(monkeypatch, letters):
+    monkeypatch.setattr(passages, "LETTERS", letters)
+    draw = random.Random(2)
+    for _ in range(40):
+        base = [f"w{draw.randrange(40)}" for _ in range(60)]
+        segments = {" ".join(w if draw.random() < 0.98 else f"n{draw.randrange(1000)}" for w in base[a:a + draw.randint(20, 34)])
+                    for a in (draw.randrange(26) for _ in range(20))}
+        segments = list(segments)
+        first, expected = {}, set()
+        for row, segment in enumerate(segments):
+            ws = segment.split(" ")
+            for k in range(len(ws) - 19):
+                if first.setdefault(tuple(ws[k:k + 20]), (row, k)) != (row, k):
+                    expected.add((row, k))
+        assert {(row, k + j) for row, k, n in passages._locate(segments) for j in range(n)} == expected
+    many = [" ".join(f"a{i}_{k}" for k in range(25)) for i in range(50_000)]  # more different words than characters
+    assert passages._locate([*many, many[7] + " x"]) == [(50_000, 0, 6)]
+
+
 def test_passages_of_odd_rows(documents):
     text = " ".join(f"t{k}" for k in range(25))
     got = passages.without_repeats(documents([(1, text), (1, text), (1, text + " end"), (None, None)])).collect()
