@@ -79,17 +79,17 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
             yield batch.slice(a, b - a)
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, giving memory that Arrow and the C library no longer use back at its end: the worker lives on for other
-    tasks."""
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], trim: bool = False):
+    """``run``, giving memory that Arrow no longer uses back at its end: the worker lives on for other tasks. With ``trim``
+    the C library gives back what it holds as well, which the next task must ask for again."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others return memory by themselves
-            if trim:
-                trim(0)
+            give_back = getattr(ctypes.CDLL(None), "malloc_trim", None) if trim else None  # glibc's
+            if give_back:
+                give_back(0)
 
     return wrapped
 

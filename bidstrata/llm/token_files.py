@@ -148,12 +148,14 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *, metadata: Sequence[str] = (),
     encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10,
     page_rows: int = 2_000, compression: str = "zstd", piece_bytes: int = PIECE_BYTES,
+    thrifty: bool = False,
 ) -> None:
     """Encode ``text`` and write it in ascending ``doc_id`` order.
 
     ``tokenizer_path`` is read on every executor. Words are encoded apart and lower-cased (A-Z), and their ids are
     remembered; this equals encoding the text for tokenizers that lower-case, split at white space and drop it.
-    ``piece_bytes``: text encoded at a time; smaller pieces take less memory and more time.
+    ``piece_bytes``: text encoded at a time; smaller pieces take less memory and more time. ``thrifty``: workers give freed
+    memory back after each task, which takes time too.
     ``encoding``: "dictionary", or "delta" (binary packed differences). ``metadata``: columns to keep; where one
     is called shard, offset, n_tokens or tokens, it is left out in favour of the file's own.
 
@@ -174,7 +176,7 @@ def write_tokens(
         T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType())),
     ])
     (
-        placed.mapInArrow(releasing(_encode(tokenizer_path, end_id, piece_bytes)), schema).write.mode("overwrite")
+        placed.mapInArrow(releasing(_encode(tokenizer_path, end_id, piece_bytes), trim=thrifty), schema).write.mode("overwrite")
         .option("compression", compression).option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
