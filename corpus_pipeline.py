@@ -38,7 +38,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in order of doc_id, and what they hold."""
     return token_files.write_and_digest(
         docs, public_tokenizers.path("word_bpe_49k.json"), 1, metadata=["lang", "source"],
-        piece_bytes=1 << 20)  # the workers still hold memory from the stages before
+        piece_bytes=1 << 20, thrifty=True)  # the workers still hold memory from the stages before
 
 
 STAGES = [
