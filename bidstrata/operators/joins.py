@@ -80,14 +80,18 @@ def applied_offers(
     """The (version, period) row that dispatch applied in each tracked interval.
 
     ``tracking`` has the interval in SETTLEMENTDATE and points at an offer by BIDSETTLEMENTDATE and
-    BIDOFFERDATE; ``panel`` is keyed by SETTLEMENTDATE (day), OFFERDATE and PERIODID.
+    BIDOFFERDATE; ``panel`` is keyed by SETTLEMENTDATE (day), OFFERDATE and PERIODID. A panel read from ``ingest`` has its
+    directories' ``market_day`` too, which is joined on as well: only the days that the tracking names are read.
     """
     pointed = tracking.select(
         F.col("SETTLEMENTDATE").alias("interval"), "DUID", "BIDTYPE",
         F.col("BIDSETTLEMENTDATE").alias("SETTLEMENTDATE"), F.col("BIDOFFERDATE").alias("OFFERDATE"),
         period_id(F.col("SETTLEMENTDATE"), origin, convention).alias("PERIODID"),
     )
-    return pointed.join(panel, ["DUID", "BIDTYPE", "SETTLEMENTDATE", "OFFERDATE", "PERIODID"], how)
+    keys = ["DUID", "BIDTYPE", "SETTLEMENTDATE", "OFFERDATE", "PERIODID"]
+    if "market_day" in panel.columns:
+        pointed, keys = pointed.withColumn("market_day", F.to_date("SETTLEMENTDATE")), [*keys, "market_day"]
+    return pointed.join(panel, keys, how)
 
 
 def with_region(

@@ -175,21 +175,24 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.limit(n)
 
 
-def ingest(df: DataFrame, dst: str, day: str = "SETTLEMENTDATE", sort: Sequence[str] = ("DUID", "BIDTYPE")) -> None:
+def ingest(
+    df: DataFrame, dst: str, day: str = "SETTLEMENTDATE", sort: Sequence[str] = ("DUID", "BIDTYPE"), bloom: Sequence[str] = ("DUID",),
+) -> None:
     """Write typed rows to Parquet, a directory per market day, so that later jobs prune days and columns.
 
     Rows go out spread over the sort columns as well as the day: one day's file set has many writers, and each
     file holds a narrow range of units, which makes its row-group statistics useful. Days present in ``df``
-    replace those at ``dst``; other days stay, so months can be ingested one after another or again.
+    replace those at ``dst``; other days stay, so months can be ingested one after another or again. Columns of ``bloom`` that
+    the table has get Bloom filters, which tell a reader of a few units the row groups without them where ranges do not.
     """
     # The row's hash comes last among the range columns, so that even one unit's day and service can be divided.
     spread = df.withColumn("market_day", F.to_date(day)).repartitionByRange(
         "market_day", *sort, F.xxhash64(*df.columns))
-    (
-        spread.sortWithinPartitions("market_day", *sort)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("market_day").parquet(dst)
-    )
+    writer = spread.sortWithinPartitions("market_day", *sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    for c in bloom:
+        if c in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.partitionBy("market_day").parquet(dst)
 
 
 def ingest_detail(df: DataFrame, dst: str) -> None:

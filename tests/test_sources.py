@@ -223,3 +223,33 @@ def test_a_day_counted_again_replaces_itself_alone(spark, tmp_path):
     assert rows(counted.counts_of_days(spark, path, "2031-03-02", "2031-03-02"), "g", "PRICE", "n") == [("a", 1.0, 3)]
     plan = counted.counts_of_days(spark, path, "2031-03-02", "2031-03-02")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(market_day" in plan
+
+
+def test_only_the_days_that_tracking_names_are_read(spark, tmp_path):
+    from bidstrata.operators.joins import applied_offers
+
+    days = [on(f"2031-03-{d:02d}") for d in range(1, 9)]
+    panel = spark.createDataFrame(
+        [(f"u{k % 5}", "ENERGY", d, at("2031-02-01T00:00:00"), p, float(k)) for d in days for k in range(10) for p in (1, 2) if k < 5],
+        "DUID string, BIDTYPE string, SETTLEMENTDATE date, OFFERDATE timestamp_ntz, PERIODID int, PRICE double")
+    archive.ingest(panel, str(tmp_path / "panel"))
+    tracking = spark.createDataFrame(
+        [(at("2031-03-03T04:05:00"), f"u{k}", "ENERGY", days[2], at("2031-02-01T00:00:00")) for k in range(3)] + [
+            (at("2031-03-05T04:10:00"), "u1", "ENERGY", days[4], at("2031-02-01T00:00:00"))],
+        "SETTLEMENTDATE timestamp_ntz, DUID string, BIDTYPE string, BIDSETTLEMENTDATE date, BIDOFFERDATE timestamp_ntz")
+    tracking.write.parquet(str(tmp_path / "tracking"))
+    week = spark.read.parquet(str(tmp_path / "tracking")).where("SETTLEMENTDATE < timestamp_ntz'2031-03-08'")
+    found = applied_offers(week, spark.read.parquet(str(tmp_path / "panel")))
+    assert rows(found.drop("market_day")) == rows(applied_offers(tracking, panel)) and found.count() == 4
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_units_have_bloom_filters(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{k:05d}", "ENERGY", on("2031-03-01")) for k in range(0, 4000, 2)], "DUID string, BIDTYPE string, SETTLEMENTDATE date")
+    sizes = []
+    for name, bloom in (("with", ["DUID", "absent"]), ("without", [])):
+        archive.ingest(df.coalesce(1), str(tmp_path / name), bloom=bloom)
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet")))
+        assert spark.read.parquet(str(tmp_path / name)).where("DUID IN ('u00500', 'u00501')").count() == 1
+    assert sizes[0] > sizes[1] + 1_000  # the filters themselves
