@@ -86,6 +86,20 @@ def language_rows(n=120):
     return rows, labels
 
 
+def test_rates_off_the_bounds_are_the_nearest_that_meet_the_targets(spark, documents):
+    """Against the dense least-norm solution of the normal equations."""
+    rows, labels = language_rows()
+    domains = spark.createDataFrame(labels, "doc_id long, domain string")
+    first, names = mixing.mixing_rates(documents(rows), domains, {"a": 1.0, "b": 1.0})
+    amount = {r.doc_id: r.n_words * np.array(r.posteriors) for r in first.collect()}
+    have = sum(amount.values())
+    weights = 0.95 * have / have.sum() + 0.05 / len(names)
+    got = {r.doc_id: r.rate for r in mixing.mixing_rates(documents(rows), domains, dict(zip(names, map(float, weights), strict=True)))[0].collect()}
+    a = np.stack([amount[i] for i in sorted(amount)], axis=1)
+    nearest = 1 + a.T @ np.linalg.solve(a @ a.T, weights * have.sum() - a.sum(1))
+    assert (nearest > 0).all() and np.allclose([got[i] for i in sorted(got)], nearest, atol=1e-6)
+
+
 @pytest.mark.parametrize("floor", [0.0, 1.0])
 def test_rates_meet_targets(spark, documents, floor):
     rows, labels = language_rows()
