@@ -70,7 +70,7 @@ def in_force(
     if not many:
         right = periods.select(
             *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(start).alias("_from"), F.col(end).alias("_till"),
-            F.struct(*cols).alias("_held"))
+            F.struct(F.lit(True).alias("_"), *cols).alias("_held"))
         same = " AND ".join(f"`{k}` <=> _k{n}" for n, k in enumerate(keys))
         joined = df.join(right, F.expr(f"{same} AND " + _HOLDS.format(start="_from", end="_till", at=f"`{at}`")), how)
         return joined.select(*df.columns, *[F.col(f"_held.{c}").alias(c) for c in cols])
