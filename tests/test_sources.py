@@ -6,6 +6,7 @@ from bidstrata.operators.joins import align_detail, price_quantity_panel
 from bidstrata.operators import stats
 from bidstrata.sources import archive, counted, sinks
 from tests.conftest import SF, at, on, rows
+from workload.archives import write_archive
 
 
 def line(table, **cells):
@@ -253,3 +254,22 @@ def test_units_have_bloom_filters(spark, tmp_path):
         sizes.append(sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet")))
         assert spark.read.parquet(str(tmp_path / name)).where("DUID IN ('u00500', 'u00501')").count() == 1
     assert sizes[0] > sizes[1] + 1_000  # the filters themselves
+
+
+def test_an_archive_is_written_in_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 1000, 1, 4).where("id < 250 OR id >= 500").select(
+        F.concat(F.lit("U,"), F.col("id").cast("string")).alias("DUID"), F.lit("GEN").alias("DISPATCHTYPE"))
+    write_archive(df.mapInArrow(counting, df.schema), "DUDETAILSUMMARY", df.columns, str(tmp_path / "a"))
+    assert seen.value == 750  # a sort or a count beside the writing would read the rows again
+    back = archive.read_archive(spark, str(tmp_path / "a"), "DUDETAILSUMMARY")
+    assert rows(back, "DUID", "DISPATCHTYPE") == sorted((f"U,{n}", "GEN") for n in range(1000) if not 250 <= n < 500)
+    # A partition without rows has no file of lines; every other one is complete.
+    footers = rows(archive.check_footer(spark, str(tmp_path / "a")), "data_rows", "footer_lines", "complete")
+    assert footers == [(250, 253, True)] * 3

@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Types whose text holds no comma.
+PLAIN = ("int", "bigint", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def write_archive(df: DataFrame, table: str, columns: Sequence[str], path: str) -> None:
-    """Every partition as one archive file: first line, column names, data rows, footer with the line count.
+    """Every partition that has rows as one archive file, compressed: first line, column names, data rows, footer with the
+    line count. Lines stream through the partition's task, which counts them; no row leaves it."""
+    kinds = dict(df.dtypes)
 
-    A partition's rows are numbered by ``monotonically_increasing_id``; its first and last row bring the lines around.
-    """
     def quoted(name: str):
         text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        return F.when(text.contains(","), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+        return text if kinds[name] in PLAIN else F.when(text.contains(","), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
 
-    cells = [F.lit("D"), F.lit("BIDS"), F.lit(table), F.lit("1"), *[quoted(c) for c in columns]]
-    data = df.select(F.concat_ws(",", *cells).alias("value"), F.monotonically_increasing_id().alias("id"))
-    data = data.select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
     head = [f"C,BIDS,{table},PUBLIC", ",".join(["I", "BIDS", table, "1", *columns])]
-    sizes = data.groupBy("part").agg(F.count("*").alias("n"))
-    frame = sizes.select("part", F.explode(F.array(
-        F.struct(F.lit(head[0]).alias("value"), F.lit(-2).cast("long").alias("nth")),
-        F.struct(F.lit(head[1]).alias("value"), F.lit(-1).cast("long").alias("nth")),
-        F.struct(F.concat(F.lit("C,END OF REPORT,"), (F.col("n") + 3).cast("string")).alias("value"), F.col("n").alias("nth")),
-    )).alias("line")).select("line.value", "part", "line.nth")
-    lines = data.unionByName(frame).repartitionByRange(F.col("part")).sortWithinPartitions("part", "nth")
-    lines.select("value").write.text(path)
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
+        for batch in batches:
+            if not rows and batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"value": head}, batch.schema)
+            rows += batch.num_rows
+            yield batch
+        if rows:
+            yield pa.RecordBatch.from_pydict({"value": [f"C,END OF REPORT,{rows + 3}"]}, batch.schema)
+
+    cells = [F.lit("D"), F.lit("BIDS"), F.lit(table), F.lit("1"), *[quoted(c) for c in columns]]
+    lines = df.select(F.concat_ws(",", *cells).alias("value")).mapInArrow(framed, "value string")
+    lines.write.option("compression", "lz4").text(path)
