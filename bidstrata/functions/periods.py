@@ -12,7 +12,7 @@ PERIOD_SECONDS = 300
 
 def market_time(text: Column) -> Column:
     """Parse ``yyyy/MM/dd HH:mm:ss[.SSS]``; anything else becomes null."""
-    return F.translate(text, "/", "-").try_cast("timestamp_ntz")
+    return F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
 
 
 def period_id(ts: Column | str, origin: int = 0, convention: str = "end") -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidstrata.functions.periods import period_id
@@ -193,16 +193,23 @@ def constraint_units(
         dated = in_force(bound, version_periods(definitions, ["GENCONID"]), ["GENCONID"], at, cols=version, how="inner")
     else:
         dated = in_force(bound, invoked, ["GENCONID"], at, cols=version, how="inner")
-    of_units = lhs.select("GENCONID", *version, unit, "FACTOR").distinct()
+    columns = ["GENCONID", *version, unit, "FACTOR"]
     if per_interval:
         described = dated.join(definitions.dropDuplicates(["GENCONID", *version]), ["GENCONID", *version])
-        return described.join(of_units, ["GENCONID", *version]).withColumnRenamed("GENCONID", "CONSTRAINTID")
+        return described.join(lhs.select(*columns).distinct(), ["GENCONID", *version]).withColumnRenamed("GENCONID", "CONSTRAINTID")
     sums = dated.groupBy("GENCONID", *version).agg(
         F.count("*").alias("n"), F.sum("MARGINALVALUE").alias("total"), F.max("MARGINALVALUE").alias("most"))
-    return sums.join(of_units, ["GENCONID", *version]).groupBy(F.col("GENCONID").alias("CONSTRAINTID"), unit).agg(
+    # A constraint's versions are numbered, and compared by <= and >=, which are no join keys: left-hand sides, by far the
+    # most rows, then lie by constraint, and neither taking out their repeats nor the sums per unit moves or sorts them again.
+    numbered = sums.withColumn("_nth", F.row_number().over(Window.partitionBy("GENCONID").orderBy(*version)))
+    same = " AND ".join(f"u.{c} <= s.{c} AND u.{c} >= s.{c}" for c in version)
+    met = lhs.select(*columns).alias("u").join(numbered.alias("s"), F.expr(f"u.GENCONID = s.GENCONID AND {same}"))
+    key = [F.col("u.GENCONID").alias("CONSTRAINTID"), unit]
+    once = met.groupBy(*key, "_nth", "FACTOR").agg(*[F.max(c).alias(c) for c in ("n", "total", "most")])
+    return once.groupBy("CONSTRAINTID", unit).agg(
         F.sum("n").alias("binding_intervals"), (F.sum("total") / F.sum("n")).alias("mean_marginal_value"),
-        F.max("most").alias("max_marginal_value"), F.count_distinct(*version).alias("versions"),
-        F.max_by("FACTOR", F.struct(*version)).alias("last_factor"))
+        F.max("most").alias("max_marginal_value"), F.count_distinct("_nth").alias("versions"),
+        F.max_by("FACTOR", "_nth").alias("last_factor"))
 
 
 def with_error(pair: DataFrame) -> DataFrame:

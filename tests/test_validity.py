@@ -177,6 +177,17 @@ def test_only_invoked_intervals_count(spark):
     assert rows(j.constraint_units(results, definitions, lhs, invoked)) == [("c", "p", 5, 1.4, 2.0, 2, 4.0), ("c", "q", 4, 1.5, 2.0, 1, 2.0)]
 
 
+def test_left_hand_sides_are_moved_once(spark):
+    results, definitions, lhs = constraint_tables(spark)
+    twice = lhs.union(lhs).union(spark.createDataFrame([("c", D(6), 2, "p", 6.0), ("c", D(6), None, "p", 9.0), (None, D(0), 1, "p", 9.0)], POINTS))
+    got = j.constraint_units(results, definitions, twice)
+    # A repeated row counts once; a unit with two factors in a version, twice. The greatest nth is the last version's.
+    assert [r[:6] for r in rows(got)] == [("c", "p", 8, 1.5, 2.0, 2), ("c", "q", 4, 1.5, 2.0, 1), ("d", "p", 1, 5.0, 5.0, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert moved and not any("CONNECTIONPOINTID" in line for line in moved)
+
+
 # --- forecasts ------------------------------------------------------------------------------------
 
 def test_the_last_forecast_early_enough(spark):
