@@ -200,16 +200,18 @@ def constraint_units(
     sums = dated.groupBy("GENCONID", *version).agg(
         F.count("*").alias("n"), F.sum("MARGINALVALUE").alias("total"), F.max("MARGINALVALUE").alias("most"))
     # A constraint's versions are numbered, and compared by <= and >=, which are no join keys: left-hand sides, by far the
-    # most rows, then lie by constraint, and neither taking out their repeats nor the sums per unit moves or sorts them again.
+    # most rows, then lie by constraint, and neither taking out their repeats nor the sums per unit moves them again. Sums
+    # kept as structs let Spark sort them once for all these steps, where hash tables of each would take a task's memory.
     numbered = sums.withColumn("_nth", F.row_number().over(Window.partitionBy("GENCONID").orderBy(*version)))
     same = " AND ".join(f"u.{c} <= s.{c} AND u.{c} >= s.{c}" for c in version)
     met = lhs.select(*columns).alias("u").join(numbered.alias("s"), F.expr(f"u.GENCONID = s.GENCONID AND {same}"))
-    key = [F.col("u.GENCONID").alias("CONSTRAINTID"), unit]
-    once = met.groupBy(*key, "_nth", "FACTOR").agg(*[F.max(c).alias(c) for c in ("n", "total", "most")])
+    once = met.groupBy(F.col("u.GENCONID").alias("CONSTRAINTID"), unit, "_nth", "FACTOR").agg(
+        F.max(F.struct("n", "total", "most")).alias("_sums"))
     return once.groupBy("CONSTRAINTID", unit).agg(
-        F.sum("n").alias("binding_intervals"), (F.sum("total") / F.sum("n")).alias("mean_marginal_value"),
-        F.max("most").alias("max_marginal_value"), F.count_distinct("_nth").alias("versions"),
-        F.max_by("FACTOR", "_nth").alias("last_factor"))
+        F.sum("_sums.n").alias("binding_intervals"), (F.sum("_sums.total") / F.sum("_sums.n")).alias("mean_marginal_value"),
+        F.max("_sums.most").alias("max_marginal_value"), F.count_distinct("_nth").alias("versions"),
+        F.max(F.struct("_nth", "FACTOR")).alias("_last")
+    ).withColumn("last_factor", F.col("_last.FACTOR")).drop("_last")
 
 
 def with_error(pair: DataFrame) -> DataFrame:
