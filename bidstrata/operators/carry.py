@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidstrata.operators.joins import offer_in_force
-from bidstrata.operators.slicing import running_sums
-from bidstrata.operators.versions import DETAIL, flag_true_rebids
+from bidstrata.operators.slicing import previous_row, running_sums
+from bidstrata.operators.versions import DETAIL, differs
 from bidstrata.schema import OFFER_TIME, QUANTITY_BANDS
 
 
@@ -32,8 +32,8 @@ def carry_of(
         parts = parts.unionByName(before.select(
             *keys, F.struct(*order).alias("_at"), F.struct(*cols, F.lit(0).alias("_")).alias("_held"), *names, "rows"))
     found = parts.groupBy(*keys).agg(
-        F.max("_at").alias("_last"), F.max_by("_held", "_at").alias("_held"), *[F.sum(n).alias(n) for n in names], F.sum("rows").alias("rows"))
-    return found.select(*keys, "_last.*", *[F.col(f"_held.{c}").alias(c) for c in cols], *names, "rows")
+        F.max_by(F.struct("_at", "_held"), "_at").alias("_end"), *[F.sum(n).alias(n) for n in names], F.sum("rows").alias("rows"))
+    return found.select(*keys, "_end._at.*", *[F.col(f"_end._held.{c}").alias(c) for c in cols], *names, "rows")
 
 
 def not_before(df: DataFrame, carry: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -56,10 +56,22 @@ def flag_true_rebids_after(
     df: DataFrame, carry: DataFrame, keys: Sequence[str] = DETAIL, order: Sequence[str] = (OFFER_TIME,),
     bands: Sequence[str] = QUANTITY_BANDS, null_equal: bool = True, split_rows: int | None = None,
 ) -> DataFrame:
-    """``flag_true_rebids`` of new rows, whose first in a group is compared with the carried one (``cols=bands``)."""
-    both = _led(df, carry.select(*keys, *order, *bands), keys, order)
-    flagged = flag_true_rebids(both, keys, order, bands, null_equal, split_rows)
-    return flagged.where("NOT _old").select(*df.columns, "is_first", "is_true_rebid")
+    """``flag_true_rebids`` of new rows, whose first in a group is compared with the carried one (``cols=bands``).
+
+    A carried row must come first in its group, and no new one at its time: the pass that finds each row's last offer
+    finds late rows too, so nothing is joined to check for them."""
+    order, held = list(order), list(dict.fromkeys([*bands, *order, "_old"]))
+    both = df.withColumn("_old", F.lit(False)).unionByName(
+        carry.select(*keys, *order, *bands, F.lit(True).alias("_old")), allowMissingColumns=True)
+    placed = previous_row(both, keys, order, held, "_seen", "is_first", split_rows)
+    before = F.struct(*[F.col(f"_seen.{c}") for c in order])
+    late = F.when(F.col("_old"), ~F.col("is_first")).otherwise(
+        F.coalesce(F.col("_seen._old"), F.lit(False)) & F.struct(*order).eqNullSafe(before))
+    fail = F.raise_error(F.concat(
+        F.lit("a row comes before what is carried: "), F.to_json(F.struct(*keys, before.alias("at")))))
+    new = placed.where(F.when(late, fail.cast("boolean")).otherwise(~F.col("_old")))
+    flagged = new.withColumn("_prev", F.struct(*[F.col(f"_seen.{c}") for c in bands]))
+    return flagged.select(*df.columns, "is_first", (~F.col("is_first") & differs(bands, "_prev", null_equal)).alias("is_true_rebid"))
 
 
 def running_sums_after(

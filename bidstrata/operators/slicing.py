@@ -4,7 +4,7 @@ A window over (keys; order) puts each group into one task. Here a group larger t
 along its order: the window runs per (keys, slice), and what a slice needs from the ones before
 it — a last row, a row count, a running sum — is summarised per slice by an ordinary aggregation, prefixed
 over the slices of the group, and joined back. Slices only decide where a row is computed; results are those
-of the plain window. Ordinary groups have no slice and cost one narrow count.
+of the plain window. Ordinary groups have no slice and cost one narrow count, by hash.
 
 Cuts are made at equal depth over the whole order, all its columns as one tuple: a sample of a group's rows by hash is
 sorted and every so-manieth one is a bound. However rows crowd, at a time or within one instant, slices come out
@@ -31,16 +31,27 @@ MAX_HOT_GROUPS = 100_000
 MAX_SLICES = 65_536
 #: Slices aimed at in ``split_rows`` rows, and rows sampled (about) for each.
 SLICES, SAMPLED = 4, 64
+#: Hashes of groups that rows are counted by before any group is.
+HASHES = 65_536
 
 KEY, SLICE = "_key", "_slice"
 
 
-def _largest(groups: DataFrame, keep: Sequence[str], split_rows: int) -> DataFrame:
-    """The groups over ``split_rows`` and over a ``MAX_HOT_GROUPS``-th of all rows, into how many slices to cut each, and
-    the share of its rows to sample."""
-    least = F.greatest(F.lit(split_rows), groups.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
+def _largest(df: DataFrame, totals: Mapping[str, Column], split_rows: int) -> DataFrame:
+    """The groups over ``split_rows`` and over a ``MAX_HOT_GROUPS``-th of all rows, into how many slices to cut each, the
+    share of its rows to sample, and their ``totals``.
+
+    Rows are counted by a hash of their group first, which takes a number a task and hash to add up. Only the groups of
+    hashes with that many rows are counted themselves: as a rule there are none, and no row's keys are moved.
+    """
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(KEY), F.lit(HASHES)).cast("int"))
+    coarse = hashed.groupBy("_hash").agg(F.count("*").alias("_rows"))
+    least = F.greatest(F.lit(split_rows), coarse.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
+    full = coarse.where(F.col("_rows") > least).select("_hash")  # at most HASHES
+    groups = hashed.join(F.broadcast(full), "_hash", "left_semi").groupBy(KEY).agg(
+        F.count("*").alias("_rows"), *[c.alias(n) for n, c in totals.items()])
     return groups.withColumn("_least", least).where("_rows > _least").selectExpr(
-        f"`{KEY}` AS `_hot`", *keep, f"least({MAX_SLICES}, ceil(_rows * {SLICES} / _least)) AS _parts",
+        f"`{KEY}` AS `_hot`", *totals, f"least({MAX_SLICES}, ceil(_rows * {SLICES} / _least)) AS _parts",
         f"least(1D, {SLICES * SAMPLED} / _least) AS _rate")
 
 
@@ -86,8 +97,7 @@ def slice_hot_groups(
     totals, split_rows = dict(totals or {}), split_rows or SPLIT_ROWS
     df = df.withColumn(KEY, F.struct(*keys))
     names = df.columns
-    hot = _largest(
-        df.groupBy(KEY).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in totals.items()]), list(totals), split_rows)
+    hot = _largest(df, totals, split_rows)
     marked = _attach(df, hot, "_hot").withColumn("_at", F.struct(*order))
     found = _attach(marked, _bounds(marked.drop("_hot"), totals), "_cut")
     # The chunk whose first bound is the last one reached, then the bounds reached in it.

@@ -36,7 +36,7 @@ def lag_bands(
     return df.withColumns({f"{b}{suffix}": F.col(f"_prev.{b}") for b in bands}).drop("_prev")
 
 
-def _differs(bands: Sequence[str], prev: str, null_equal: bool) -> Column:
+def differs(bands: Sequence[str], prev: str, null_equal: bool) -> Column:
     if null_equal:
         return ~F.struct(*bands).eqNullSafe(F.col(prev))
     # A missing band counts as different from everything, itself included.
@@ -52,7 +52,7 @@ def flag_true_rebids(
 ) -> DataFrame:
     """Add ``is_first`` and ``is_true_rebid``: not first, and some band differs from the previous offer."""
     df = previous_row(df, keys, order or default_order(df, bands), bands, "_prev", "is_first", split_rows)
-    return df.withColumn("is_true_rebid", ~F.col("is_first") & _differs(bands, "_prev", null_equal)).drop("_prev")
+    return df.withColumn("is_true_rebid", ~F.col("is_first") & differs(bands, "_prev", null_equal)).drop("_prev")
 
 
 def keep_true_rebids(
@@ -82,7 +82,7 @@ def number_true_rebids(
     sliced = sliced.withColumns({"_opens": F.row_number().over(here) == 1, "_before": F.lag(row).over(here)}).withColumn(
         "_prev", F.when(F.col("_opens"), F.col("_carried")).otherwise(F.col("_before")))
     first = F.col("_opens") & F.col("_carried").isNull()
-    kept = sliced.where(first | _differs(bands, "_prev", null_equal)).select(*columns, KEY, SLICE, "_parts")
+    kept = sliced.where(first | differs(bands, "_prev", null_equal)).select(*columns, KEY, SLICE, "_parts")
     counts = kept.where("_parts IS NOT NULL").groupBy(KEY, SLICE).agg(F.count("*").alias("_kept"))
     earlier = counts.select(KEY, SLICE, F.sum("_kept").over(slices_before()).alias("_earlier"))
     numbered = kept.join(earlier, [KEY, SLICE], "left")

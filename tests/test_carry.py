@@ -71,6 +71,15 @@ def test_a_late_row_is_an_error(months):
         carry.flag_true_rebids_after(months.where("m = 0"), held, KEYS, ORDER, BANDS).collect()
 
 
+def test_late_rows_are_found_without_a_join(months):
+    held = carry.carry_of(months.where("m = 0"), KEYS, ORDER, BANDS)
+    plan = carry.flag_true_rebids_after(months.where("m = 1"), held, KEYS, ORDER, BANDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_k0" not in plan  # the carried rows' keys beside those of new rows
+    again = months.where("m = 0").limit(1).drop("m")
+    with pytest.raises(Exception, match="comes before what is carried"):  # a new row at the very time of the carried one
+        carry.flag_true_rebids_after(again, carry.carry_of(again, KEYS, ORDER, BANDS), KEYS, ORDER, BANDS).collect()
+
+
 def test_a_month_reads_itself_and_the_carry_only(spark, months, tmp_path):
     for m in range(3):
         months.where(f"m = {m}").drop("m").write.parquet(str(tmp_path / f"month={m}"))

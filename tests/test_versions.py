@@ -2,6 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidstrata.operators import joins, outcomes, slicing
@@ -299,3 +300,13 @@ def test_a_crowded_instant_is_cut_as_deep_as_the_rest(crowded):
 ], ids=["lag", "flag", "keep", "number", "index", "timeline", "energy", "in_force"])
 def test_slices_of_a_crowded_instant_equal_the_plain_window(crowded, operator):
     assert sorted(map(repr, operator(crowded, 100).collect())) == sorted(map(repr, operator(crowded, 10**6).collect()))
+
+
+def test_groups_are_counted_by_hash_first(spark, monkeypatch, cut):
+    df = spark.range(60).selectExpr("id % 7 % 3 AS k", "id AS t")
+    plan = slicing.slice_hot_groups(df, ["k"], ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan  # only groups whose hash has many rows are counted themselves
+    plain = rows(df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t")).cast("bigint")))
+    for hashes in (1, 2, 65_536):
+        monkeypatch.setattr(slicing, "HASHES", hashes)
+        assert rows(slicing.running_sums(df, ["k"], ["t"], {"n": F.lit(1)})) == plain
