@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from bidstrata.plans import reports
 from bidstrata.schema import PRICE_BANDS, QUANTITY_BANDS
+from tests.conftest import SF, rows
+from workload import tables
 
 UNITS = [("A", "BIDIRECTIONAL", True, "p"), ("B", "BIDIRECTIONAL", None, "q"), ("C", "GENERATOR", None, "r")]
 SERVICES = ["RAISEREG", "LOWERREG"]
@@ -147,3 +149,12 @@ def test_market_report_takes_one_run(spark, book):
     assert [(r.CONSTRAINTID, r.MARGINALVALUE) for r in got["binding"]] == [("c", 5.0)]
     assert [(r.DUID, r.binding_intervals) for r in got["binding_by_unit"]] == [("A", 1)]
     assert got["demand_error"][0].error == 0.0 and got["available"][0].available_mw == 8.0
+
+
+def test_price_rows_of_lines_need_no_join(spark):
+    made = tables.sided_prices(spark, SF)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    lines = tables.load(spark, SF, "lineitem")
+    same = lines.select(F.col("l_orderkey").alias("L_ORDER"), F.col("l_linenumber").alias("PERIODID"), "l_extendedprice")
+    joined = tables.detail(spark, SF).join(same, ["L_ORDER", "PERIODID"]).groupBy(*tables.FIVE).agg(F.min("l_extendedprice").alias("PRICEBAND1"))
+    assert rows(made, *tables.FIVE, "PRICEBAND1") == rows(joined)

@@ -106,8 +106,9 @@ CATEGORY_SQL = """CASE WHEN coalesce(DISPATCHTYPE = 'BIDIRECTIONAL', false) AND
 
 # --- detail: quantity rows from line items --------------------------------------------------------
 
-def detail(spark: SparkSession, sf: str) -> DataFrame:
+def detail(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     return load(spark, sf, "lineitem").select(
+        *more,
         F.col("l_suppkey").cast("string").alias("DUID"), F.col("l_returnflag").alias("BIDTYPE"),
         F.col("l_linestatus").alias("DIRECTION"), F.trunc("l_shipdate", "year").alias("SETTLEMENTDATE"),
         F.col("l_shipdate").alias("OFFERDATE"), F.col("l_linenumber").alias("PERIODID"),
@@ -165,11 +166,12 @@ FIVE = ["DUID", "BIDTYPE", "DIRECTION", "SETTLEMENTDATE", "OFFERDATE"]
 
 
 def sided_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """One price row per unit, service, side, day and time; the side is the line's status."""
-    return detail(spark, sf).join(
-        load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("L_ORDER"), F.col("l_linenumber").alias("PERIODID"),
-                                           F.col("l_extendedprice").alias("x")), ["L_ORDER", "PERIODID"]
-    ).groupBy(*FIVE).agg(*[(F.min("x") * k).alias(f"PRICEBAND{k}") for k in (1, 2, 3)])
+    """One price row per unit, service, side, day and time; the side is the line's status. Lines of one order and number
+    share the least price among them, as if lines were joined with themselves."""
+    line = ["L_ORDER", "PERIODID"]
+    priced = detail(spark, sf, F.col("l_extendedprice").alias("x")).dropna(subset=line)
+    least = priced.withColumn("x", F.min("x").over(Window.partitionBy(*line)))
+    return least.groupBy(*FIVE).agg(*[(F.min("x") * k).alias(f"PRICEBAND{k}") for k in (1, 2, 3)])
 
 
 def sided_detail(spark: SparkSession, sf: str) -> DataFrame:
