@@ -28,6 +28,10 @@ _MISFIT = "_misfit"
 _CELL_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+#: Rows to a bucket of a table.
+BUCKET_ROWS = 500_000
+
+
 def parts(directory: str, table: str) -> str:
     """Glob over every part file of a table in a directory of archives."""
     return f"{directory}/*#{table}#{PART_GLOB}"
@@ -201,6 +205,12 @@ def ingest_detail(df: DataFrame, dst: str) -> None:
     ingest(expand_periods(align_detail(df)), dst)
 
 
+def buckets_for(df: DataFrame, least: int = 1) -> int:
+    """How many buckets keep a bucket of ``df`` at about ``BUCKET_ROWS`` rows, so that tasks which read or write one need no
+    more memory as tables grow. Counts the rows; give the table as read, whose files know their number."""
+    return max(least, -(-df.count() // BUCKET_ROWS))
+
+
 def ingest_together(
     df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = AUCTION, order: Sequence[str] = (),
 ) -> None:

@@ -6,6 +6,7 @@ from bidstrata.operators.joins import align_detail, price_quantity_panel
 from bidstrata.operators import stats
 from bidstrata.sources import archive, counted, sinks
 from tests.conftest import SF, at, on, rows
+from workload import queries
 from workload.archives import write_archive
 
 
@@ -273,3 +274,13 @@ def test_an_archive_is_written_in_one_pass(spark, tmp_path):
     # A partition without rows has no file of lines; every other one is complete.
     footers = rows(archive.check_footer(spark, str(tmp_path / "a")), "data_rows", "footer_lines", "complete")
     assert footers == [(250, 253, True)] * 3
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(archive, "BUCKET_ROWS", 400)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert archive.buckets_for(lines.limit(100), least=8) == 8
+    asked = []
+    monkeypatch.setattr(archive, "ingest_together", lambda df, name, path, buckets, *a: asked.append(buckets) or df.createOrReplaceTempView(name))
+    queries.panel_in_place(spark, SF)
+    assert asked == [-(-lines.count() // 400)] * 2 and asked[0] > 8

@@ -784,7 +784,7 @@ def price_quantity_panel(spark, sf):
     FROM flagged JOIN sided_prices USING (DUID, BIDTYPE, DIRECTION, SETTLEMENTDATE, OFFERDATE)""")
 def panel_in_place(spark, sf):
     """Changes flagged on the quantity side, then prices joined, both sides read from buckets of their auctions."""
-    price, qty = bucketed_panel(spark, sf, 8)
+    price, qty = bucketed_panel(spark, sf, archive.buckets_for(t.load(spark, sf, "lineitem"), least=8))
     panel = j.price_quantity_panel(price, flagged_in_place(qty), t.FIVE)
     return panel.select(*sided_keys(), "is_first", "is_true_rebid", r4("PRICEBAND1").alias("PRICEBAND1"))
 
