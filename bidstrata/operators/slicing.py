@@ -42,14 +42,19 @@ def _largest(df: DataFrame, totals: Mapping[str, Column], split_rows: int) -> Da
     share of its rows to sample, and their ``totals``.
 
     Rows are counted by a hash of their group first, which takes a number a task and hash to add up. Only the groups of
-    hashes with that many rows are counted themselves: as a rule there are none, and no row's keys are moved.
+    hashes with that many rows are counted themselves: as a rule there are none, and no row's keys are moved. Who wants
+    totals has few groups, and large ones, which would only be counted twice: they are counted themselves at once.
     """
-    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(KEY), F.lit(HASHES)).cast("int"))
-    coarse = hashed.groupBy("_hash").agg(F.count("*").alias("_rows"))
-    least = F.greatest(F.lit(split_rows), coarse.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
-    full = coarse.where(F.col("_rows") > least).select("_hash")  # at most HASHES
-    groups = hashed.join(F.broadcast(full), "_hash", "left_semi").groupBy(KEY).agg(
-        F.count("*").alias("_rows"), *[c.alias(n) for n, c in totals.items()])
+    counted = [F.count("*").alias("_rows"), *[c.alias(n) for n, c in totals.items()]]
+    if totals:
+        groups = df.groupBy(KEY).agg(*counted)
+        least = F.greatest(F.lit(split_rows), groups.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
+    else:
+        hashed = df.withColumn("_hash", F.pmod(F.xxhash64(KEY), F.lit(HASHES)).cast("int"))
+        coarse = hashed.groupBy("_hash").agg(F.count("*").alias("_rows"))
+        least = F.greatest(F.lit(split_rows), coarse.agg(F.sum("_rows")).scalar() / MAX_HOT_GROUPS)
+        full = coarse.where(F.col("_rows") > least).select("_hash")  # at most HASHES
+        groups = hashed.join(F.broadcast(full), "_hash", "left_semi").groupBy(KEY).agg(*counted)
     return groups.withColumn("_least", least).where("_rows > _least").selectExpr(
         f"`{KEY}` AS `_hot`", *totals, f"least({MAX_SLICES}, ceil(_rows * {SLICES} / _least)) AS _parts",
         f"least(1D, {SLICES * SAMPLED} / _least) AS _rate")
