@@ -428,8 +428,15 @@ def _mean_prices() -> list[Column]:
 
 
 def rebid_frequency(
-    df: DataFrame, keys: Sequence[str] = AUCTION, order: str = "OFFERDATE", period: str | None = None
+    df: DataFrame, keys: Sequence[str] = AUCTION, order: str = "OFFERDATE", period: str | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """Distinct offer versions per auction day, or per ``period`` of it."""
+    """Distinct offer versions per auction day, or per ``period`` of it.
+
+    ``tasks``: how many to spread the rows over, by offer and then by auction (see ``archive.buckets_for``), where the
+    session's number of shuffle partitions would give a task more than its memory holds as the table grows.
+    """
     level = [*keys, period] if period else list(keys)
-    return df.groupBy(*level).agg(F.count_distinct(order).alias("n_versions"))
+    if not tasks:
+        return df.groupBy(*level).agg(F.count_distinct(order).alias("n_versions"))
+    versions = df.select(*level, order).repartition(tasks, *level, order).distinct()
+    return versions.repartition(tasks, *level).groupBy(*level).agg(F.count(order).alias("n_versions"))

@@ -169,3 +169,12 @@ def test_melting_keeps_missing_bands(spark):
     long = b.bands_long(df, ["u"], ["PRICEBAND1", "PRICEBAND10"])
     assert rows(long.withColumn("n", b.band_number()), "PRICE", "n") == [(1.0, 1), (None, 10)]
     assert rows(b.first_bands(long, 8), "PRICEBAND") == [("PRICEBAND1",)]
+
+
+def test_versions_counted_over_given_tasks(spark):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", 1), ("a", 2), ("a", None), ("b", None), (None, 3), (None, 4)], "DUID string, OFFERDATE int")
+    spread = s.rebid_frequency(df, ["DUID"], tasks=7)
+    # Both the distinct offers and their counts are made in as many tasks as asked for, whatever the session's number.
+    assert spread._jdf.queryExecution().executedPlan().toString().count(", 7), REPARTITION_BY_NUM") == 2
+    assert rows(spread) == rows(s.rebid_frequency(df, ["DUID"])) == [("a", 2), ("b", 0), (None, 2)]

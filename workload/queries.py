@@ -895,7 +895,8 @@ def peak_offer_price(spark, sf):
 @query(f"""WITH {DETAIL} SELECT DUID, BIDTYPE, DIRECTION, {sday('SETTLEMENTDATE')} AS SETTLEMENTDATE, PERIODID,
         count(DISTINCT OFFERDATE) AS n_versions FROM detail GROUP BY ALL""")
 def rebid_frequency(spark, sf):
-    freq = s.rebid_frequency(t.detail(spark, sf), SIDE_AUCTION, period="PERIODID")
+    tasks = archive.buckets_for(t.load(spark, sf, "lineitem"), least=8)
+    freq = s.rebid_frequency(t.detail(spark, sf), SIDE_AUCTION, period="PERIODID", tasks=tasks)
     return freq.withColumn("SETTLEMENTDATE", day("SETTLEMENTDATE"))
 
 
